@@ -142,3 +142,46 @@ def test_op8(spark, sf):
         r = got[doc_id]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(raw), len(payload), sha(payload))
         assert r.tail_crc32 == zlib.crc32(payload[-64:]) and r.media_bytes == len(payload) + 44
+
+
+def test_op9(spark, sf):
+    import xxhash
+
+    docs, prints = rows_of(sf, "documents"), {}
+    for doc_id, text, *_ in docs:
+        w = words("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+        shingles = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or ([" ".join(w)] if w else [])
+        h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+        prints[doc_id] = sum((2 * sum(x >> b & 1 for x in h) > len(h)) << b for b in range(64))
+    parent = {i: i for i in prints}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    ids = sorted(prints)
+    for k, i in enumerate(ids):
+        for j in ids[k + 1 :]:
+            if (prints[i] ^ prints[j]).bit_count() <= 3:
+                a, b = sorted((find(i), find(j)))
+                parent[b] = a
+    got = queries.op9_simhash(spark, sf).collect()
+    assert sorted(map(tuple, got)) == [(i, f"{prints[i]:016x}", find(i)) for i in ids]
+    assert any(find(i) != i for i in ids)
+
+
+def test_golay_keys_meet_all_near_fingerprints():
+    import numpy as np
+
+    from tracemill.llm import simhash
+
+    table, rng = simhash.golay(), np.random.default_rng(5)
+    x = rng.integers(0, 2**64, 4000, np.uint64, endpoint=False)
+    y = x.copy()
+    for _ in range(3):
+        y ^= np.uint64(1) << rng.integers(0, 64, len(x)).astype(np.uint64)
+    at, wide = simhash.pair_keys(x, table, True)
+    to, near = simhash.pair_keys(y, table, False)
+    have = set(zip(at.tolist(), wide.tolist()))
+    assert {i for i, k in zip(to.tolist(), near.tolist()) if (i, k) in have} == set(range(len(x)))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, media, mixing, quality, toxicity, urls
+from . import bpe, chat, media, mixing, quality, simhash, toxicity, urls
 from .common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -56,9 +56,14 @@ def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", media.feature().alias("feature"))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_url_filters, op2_byte_bpe, op3_toxicity, op4_quality_rules, op5_mixing, op6_chat_formatting, op8_media_columns)
+    for f in (op1_url_filters, op2_byte_bpe, op3_toxicity, op4_quality_rules, op5_mixing, op6_chat_formatting, op8_media_columns, op9_simhash)
 }
 
 ORACLES: dict[str, str] = {}
