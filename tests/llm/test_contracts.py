@@ -185,3 +185,40 @@ def test_golay_keys_meet_all_near_fingerprints():
     to, near = simhash.pair_keys(y, table, False)
     have = set(zip(at.tolist(), wide.tolist()))
     assert {i for i, k in zip(to.tolist(), near.tolist()) if (i, k) in have} == set(range(len(x)))
+
+
+def brute_substrings(docs, window=50):
+    first = {}
+    w = {i: words(t) for i, t in docs}
+    for i in w:
+        for s in range(len(w[i]) - window + 1):
+            key = tuple(w[i][s : s + window])
+            first[key] = min(first.get(key, i), i)
+    out = []
+    for i in w:
+        gone = set()
+        for s in range(len(w[i]) - window + 1):
+            if first[tuple(w[i][s : s + window])] < i:
+                gone.update(range(s, s + window))
+        out.append((i, len(w[i]), len(gone), sha(" ".join(x for k, x in enumerate(w[i]) if k not in gone))))
+    return sorted(out)
+
+
+def test_op7(spark):
+    sf = "/root/testdata/sf0.01"
+    got = queries.op7_substring_dedup(spark, sf).collect()
+    want = brute_substrings([(d[0], d[1]) for d in rows_of(sf, "documents")])
+    assert sorted(map(tuple, got)) == want
+    assert sum(0 < r[2] < r[1] for r in want) > 10
+
+
+def test_substring_edges(spark):
+    from tracemill.llm import substrings
+
+    base = " ".join(f"w{i}" for i in range(120))
+    docs = [(1, base), (2, "x " * 9 + " ".join(f"w{i}" for i in range(30, 80)) + " y"), (3, " ".join(f"w{i}" for i in range(30, 79))), (4, "a " * 200), (5, "a " * 60), (6, None), (7, ""), (8, base), (9, " ".join(f"w{i}" for i in range(49)))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substrings.substring_dedup(df).collect())
+    assert got == brute_substrings(docs)
+    assert substrings.substring_dedup(df.limit(0)).count() == 0
+    assert [n for n, _ in substrings.levels(df)] == [25, 50, 100]
