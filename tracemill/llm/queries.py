@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, media, mixing, quality, simhash, substrings, toxicity, urls
+from . import bpe, chat, media, mixing, quality, secrets, simhash, substrings, toxicity, urls
 from .common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -66,9 +66,15 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forest = secrets.fit(secrets.labelled_findings(spark))
+    out = secrets.scan(table(spark, sf_dir, "documents"), forest)
+    return out.select("doc_id", "ordinal", F.length("candidate").alias("length"), F.sha2("candidate", 256).alias("candidate_sha256"), "score", "is_secret")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_url_filters, op2_byte_bpe, op3_toxicity, op4_quality_rules, op5_mixing, op6_chat_formatting, op7_substring_dedup, op8_media_columns, op9_simhash)
+    for f in (op1_url_filters, op2_byte_bpe, op3_toxicity, op4_quality_rules, op5_mixing, op6_chat_formatting, op7_substring_dedup, op8_media_columns, op9_simhash, op10_secret_scans)
 }
 
 ORACLES: dict[str, str] = {}
