@@ -31,37 +31,31 @@ def fold(df: DataFrame, keys: list[str], columns: list[str], f: Callable[[list[t
 
 
 def stack(rows: list[tuple]) -> Iterable[tuple]:
-    """From (ts, seq, end_ts, name, anchor) sorted: seq, depth, parent_seq, is_recursive, owner_seq. A span stays open for
+    """From (ts, seq, end_ts, name, anchor) sorted: seq, depth, parent_seq, is_recursive, owner_seq, above. A span stays open for
     later ones that start before its end, even if it outlives its parent; the owner is the nearest anchor, itself first."""
     open_: list[tuple] = []  # end, seq, name, owner
     for ts, seq, end, name, anchor in rows:
         while open_ and ts >= open_[-1][0]:
             open_.pop()
         owner = seq if anchor else open_[-1][3] if open_ else None
-        yield seq, len(open_), open_[-1][1] if open_ else None, any(x[2] == name for x in open_), owner
+        yield seq, len(open_), open_[-1][1] if open_ else None, any(x[2] == name for x in open_), owner, [x[1] for x in reversed(open_)]
         open_.append((end, seq, name, owner))
 
 
-def nested(spans: DataFrame, keys: list[str], anchor: Column | None = None) -> DataFrame:
-    """Keys, seq, depth, parent_seq, is_recursive (a caller has the same name), owner_seq."""
+def nested(spans: DataFrame, keys: list[str], anchor: Column | None = None, callers: bool = False) -> DataFrame:
+    """Keys, seq, depth, parent_seq, is_recursive (a caller has the same name), owner_seq; with callers also above."""
     pieces = interval.sessions(spans, keys, 0).withColumn("_pack", F.floor(F.sum(F.lit(1)).over(Window.partitionBy(*keys).orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)) / PACK))
     # a piece goes where its first span goes
     pieces = pieces.withColumn("_pack", F.min("_pack").over(Window.partitionBy(*keys, "session")))
     pieces = pieces.withColumn("_anchor", anchor if anchor is not None else F.lit(False))
-    kinds = "seq long, depth int, parent_seq long, is_recursive boolean, owner_seq long"
+    kinds = "seq long, depth int, parent_seq long, is_recursive boolean, owner_seq long, above array<bigint>"
     out = fold(pieces.withColumn("seq", F.col("seq").cast("bigint")), [*keys, "_pack"], ["ts", "seq", "end_ts", "name", "_anchor"], stack, kinds)
-    return out.drop("_pack")
-
-
-def ancestors(tree: DataFrame, keys: list[str], most: int = 64) -> DataFrame:
-    """Rows keys, seq, ancestor_seq, distance of a nested() result, by doubling jumps: log2(depth) joins."""
-    jump = tree.where("parent_seq is not null").select(*keys, "seq", F.col("parent_seq").alias("ancestor_seq"), F.lit(1).alias("distance"))
-    found, step = jump, 1
-    while step < most:
-        ahead = found.where(F.col("distance") == step).select(*keys, F.col("seq").alias("_s"), F.col("ancestor_seq").alias("_up"))
-        far = found.join(ahead.withColumnRenamed("_s", "ancestor_seq"), [*keys, "ancestor_seq"]).select(*keys, "seq", F.col("_up").alias("ancestor_seq"), (F.col("distance") + step).alias("distance"))
-        found, step = found.unionByName(far), step * 2
-    return found
+    return out.drop("_pack") if callers else out.drop("_pack", "above")
+
+
+def ancestors(tree: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows keys, seq, ancestor_seq, distance of a nested(callers=True) result."""
+    return tree.select(*keys, "seq", F.posexplode("above").alias("_p", "ancestor_seq")).select(*keys, "seq", "ancestor_seq", (F.col("_p") + 1).alias("distance"))
 
 
 def boundary_nodes(tree: DataFrame, keys: list[str], anchors: DataFrame) -> DataFrame:

@@ -35,21 +35,21 @@ def F3_non_recursive_stats(spark, sf):
 @query()
 def G4_E24_boundary_nodes(spark, sf):
     rows = _spans(spark, sf)
-    tree = nest.nested(rows, ["tid"])
+    tree = nest.nested(rows, ["tid"], callers=True)
     return nest.boundary_nodes(tree, ["tid"], rows.where("name = 'purchase'").select("tid", "seq"))
 
 
 @query()
 def G15_operators(spark, sf):
     rows = _spans(spark, sf).withColumn("name", F.concat("name", F.lit("."), (F.col("seq") % 3).cast("string")))
-    tree = nest.nested(rows, ["tid"]).join(rows.select("seq", "name"), "seq")
+    tree = nest.nested(rows, ["tid"], callers=True).join(rows.select("seq", "name"), "seq")
     return nest.operators(tree, ["tid"], rows.where("name like 'purchase%'").select("tid", "seq"))
 
 
 @query()
 def G19_collapsed_tree(spark, sf):
     rows = _spans(spark, sf)
-    tree = nest.nested(rows, ["tid"]).join(rows.select("seq", "name", "dur"), "seq")
+    tree = nest.nested(rows, ["tid"], callers=True).join(rows.select("seq", "name", "dur"), "seq")
     return nest.collapsed(tree, ["tid"], 0.5)
 
 
