@@ -221,4 +221,4 @@ def test_substring_edges(spark):
     got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substrings.substring_dedup(df).collect())
     assert got == brute_substrings(docs)
     assert substrings.substring_dedup(df.limit(0)).count() == 0
-    assert [n for n, _ in substrings.levels(df)] == [25, 50, 100]
+    assert [n for n, _ in substrings.levels(df)] == [25, 50]  # the longest repeat, of 120 words, holds no anchor of 100

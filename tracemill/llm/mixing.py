@@ -104,11 +104,11 @@ def copies(docs: DataFrame, block: int = BLOCK, id: str = "doc_id", text: str =
     return out.select(F.col("id").cast(kind).alias(id), "k", F.col("source").alias(source), "size", "source_size", "target", (F.col("base") + F.col("bit")).alias("copies"))
 
 
-def mixture(docs: DataFrame, text: str = "text", id: str = "doc_id", source: str = "source") -> DataFrame:
+def mixture(docs: DataFrame, text: str = "text", id: str = "doc_id", source: str = "source", block: int = BLOCK) -> DataFrame:
     """The documents, each repeated as often as the mix takes it; the columns stay. Rows that agree in id, source and
     size are told apart by the order of their texts."""
-    plan = copies(docs, id=id, text=text, source=source).where("copies > 0").select(F.col(id).alias("_id"), F.col("k").alias("_k"), F.col(source).alias("_source"), F.col("size").alias("_size"), F.col("copies").alias("_copies"))
-    per = plan.groupBy("_id", "_source", "_size").agg(F.collect_list(F.struct("_k", "_copies")).alias("_takes"), F.max("_k").alias("_last"))
+    plan = copies(docs, block, id, text, source).select(F.col(id).alias("_id"), F.col("k").alias("_k"), F.col(source).alias("_source"), F.col("size").alias("_size"), F.col("copies").alias("_copies"))
+    per = plan.groupBy("_id", "_source", "_size").agg(F.collect_list(F.when(F.col("_copies") > 0, F.struct("_k", "_copies"))).alias("_takes"), F.max("_k").alias("_last")).where(F.size("_takes") > 0)
     rows = docs.withColumn("_n", word_count(F.col(text)))
     same = F.col(id).eqNullSafe(F.col("_id")) & F.col(source).eqNullSafe(F.col("_source")) & (F.col("_n") == F.col("_size"))
     rows = rows.join(per, same)
