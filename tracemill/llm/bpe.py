@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import heapq
 import re
+import struct
 from itertools import islice
 
 import numpy as np
@@ -28,9 +29,9 @@ from pyspark.sql import types as T
 from . import common
 
 #: Pre-tokens resolved at once.
-RUN = 1_000_000
+RUN = 300_000
 #: Chunks, and merged pre-tokens, that a worker remembers before it forgets them all.
-MEMO = 200_000
+MEMO = 100_000
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -97,12 +98,12 @@ class ByteBPE:
         self.tokens, self.table = pa.array(tokens, pa.binary()), table
         self.rank = {t: i for i, t in enumerate(tokens)}
         self.pattern = regex.compile(pattern)
-        self.memo: dict[str, list[int]] = {}
-        self.merged: dict[bytes, list[int]] = {}
+        self.memo: dict[str, bytes] = {}
+        self.merged: dict[bytes, bytes] = {}
         self.mark, self.loose = "\0", re.compile(r" (?:\s|\Z)").search
 
-    def merge(self, piece: bytes) -> list[int]:
-        """Ids of a pre-token: merge the pair of lowest rank, the leftmost first, until no pair has a rank."""
+    def merge(self, piece: bytes) -> bytes:
+        """Packed ids of a pre-token: merge the pair of lowest rank, the leftmost first, until no pair has a rank."""
         get, n = self.rank.get, len(piece)
         end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the part that begins here; where the one before begins
         pair = [get(piece[i : i + 2], -1) for i in range(n - 1)]  # rank of the part that begins here with the next
@@ -130,27 +131,27 @@ class ByteBPE:
         while i < n:
             ids.append(get(piece[i : end[i]]))
             i = end[i]
-        return ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
-    def resolve(self, chunks: list[str]) -> list[list[int]]:
-        """The ids of each chunk."""
+    def resolve(self, chunks: list[str]) -> list[bytes]:
+        """The packed ids of each chunk."""
         split = [self.pattern.findall(c) for c in chunks]
         keys = pa.array([p for pieces in split for p in pieces], pa.string()).cast(pa.binary())
         raw = keys.to_pylist()
         at = self.table.candidates(raw)
         known = pc.equal(self.tokens.take(pa.array(at)), keys).to_pylist()
-        at, out, i, merged = at.tolist(), [], 0, self.merged
+        whole, out, i, merged = at.astype("<u4").tobytes(), [], 0, self.merged
         for pieces in split:
             ids = []
             for i in range(i, i + len(pieces)):
                 if known[i]:
-                    ids.append(at[i])
+                    ids.append(whole[4 * i : 4 * i + 4])
                 else:
                     if (more := merged.get(raw[i])) is None:
                         more = merged[raw[i]] = self.merge(raw[i])
-                    ids.extend(more)
+                    ids.append(more)
             i += len(pieces) > 0
-            out.append(ids)
+            out.append(b"".join(ids))
         return out
 
     def ids(self, chunks: list[str]) -> pa.ListArray:
@@ -162,7 +163,9 @@ class ByteBPE:
                 kept.clear()
         if new := [c for c in distinct if c not in memo]:
             memo.update(zip(new, self.resolve(new), strict=True))
-        return pa.array([memo[c] for c in distinct], pa.list_(pa.uint32())).take(coded.indices)
+        packed = [memo[c] for c in distinct]
+        stops = np.cumsum([0, *map(len, packed)]) // 4
+        return pa.ListArray.from_arrays(pa.array(stops.astype(np.int32)), pa.array(np.frombuffer(b"".join(packed), "<u4"))).take(coded.indices)
 
     def chunks(self, text: str) -> list[str]:
         """Cut a text before each space that begins a pre-token: where no space stands before white space or the end,
@@ -186,7 +189,7 @@ class ByteBPE:
             counts.clear()
 
         for text in texts:
-            if len(text) > 6 * RUN:
+            if len(text) > 20 * RUN:
                 flush()
                 rest, runs = (m.group() for m in self.pattern.finditer(text)), []
                 while part := list(islice(rest, RUN)):

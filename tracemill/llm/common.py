@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Text handed to one vectorised step, in bytes; a longer document makes a slice of its own.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 2 << 20
 #: Largest estimated size of a side that may be broadcast.
 BROADCAST_BYTES = 8 << 20
 #: Upper bound of labelled rows that a model is fitted on.

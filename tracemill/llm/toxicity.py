@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from . import common
 
 BITS, EPOCHS, ALPHA, BETA, L1, L2 = 20, 6, 0.4, 1.0, 5.0, 0.1
-SAMPLE_ROWS = 12_000
+SAMPLE_ROWS = 10_000
 THRESHOLD = 0.7
 
 _TOKEN = re.compile(r"[^\W_]+")
@@ -65,13 +65,14 @@ def packed(texts: pa.Array) -> pa.Array:
     return pa.array([at[bounds[i] : bounds[i + 1]].tobytes() for i in range(len(texts))], pa.binary())
 
 
-def ftrl(rows: list[tuple[np.ndarray, int]]) -> np.ndarray:
-    """Weights of each place, the bias last."""
+def ftrl(rows: list[tuple[bytes, int]]) -> np.ndarray:
+    """Weights of each place, the bias last, from packed places and labels."""
     z, n, w = (np.zeros((1 << BITS) + 1) for _ in range(3))
     ones = sum(label for _, label in rows)
     weight = max(1.0, (len(rows) - ones) / ones) ** 0.5 if ones else 1.0  # the rarer toxic rows count more
     for _ in range(EPOCHS):
-        for at, label in rows:
+        for places, label in rows:
+            at = np.append(np.frombuffer(places, "<u4"), np.uint32(1 << BITS))
             wx = w[at]
             g = (1 / (1 + np.exp(-np.clip(wx.sum(), -35, 35))) - label) * (weight if label else 1)
             nx, zx = n[at], z[at]
@@ -92,7 +93,7 @@ def fit(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             for i, label, places in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                 rows.append((xxhash.xxh3_64_intdigest(str(i)), places, label))
         rows.sort(key=lambda r: r[:2])
-        w = ftrl([(np.append(np.frombuffer(p, "<u4"), 1 << BITS).astype(np.int64), y) for _, p, y in rows])
+        w = ftrl([(p, y) for _, p, y in rows])
         at = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(w[at], pa.float64())], names=["place", "weight"])
 
