@@ -46,11 +46,11 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], ts: str = "ts", se
     """left with `match`: the struct of the right row with the greatest (ts, seq) not after the left one's, or with
     forward the least not before it (E5, E6, H2)."""
     body = F.struct(*right.columns)
-    l = left.select(*left.columns, F.lit(None).cast(right.select(body.alias("m")).schema["m"].dataType).alias("_m"), F.lit(0 if forward else 1).alias("_side"))
-    r = right.select(*(F.col(c) if c in (*keys, ts) else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left.columns if c != seq), F.col(seq).cast(left.schema[seq].dataType).alias(seq), body.alias("_m"), F.lit(1 if forward else 0).alias("_side"))
-    w = Window.partitionBy(*keys).orderBy(ts, "_side", seq)
-    match = F.first("_m", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)) if forward else F.last("_m", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return l.unionByName(r).withColumn("match", match).where(F.col("_side") == (0 if forward else 1)).drop("_m", "_side")
+    l = left.select(*left.columns, F.lit(None).cast(right.select(body.alias("m")).schema["m"].dataType).alias("_m"), F.lit(1).alias("_side"))
+    r = right.select(*(F.col(c) if c in (*keys, ts) else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left.columns if c != seq), F.col(seq).cast(left.schema[seq].dataType).alias(seq), body.alias("_m"), F.lit(0).alias("_side"))
+    down = lambda c: F.desc(c) if forward else F.asc(c)  # noqa: E731  (a frame that looks ahead would cost the square)
+    w = Window.partitionBy(*keys).orderBy(down(ts), "_side", down(seq)).rowsBetween(Window.unboundedPreceding, 0)
+    return l.unionByName(r).withColumn("match", F.last("_m", ignorenulls=True).over(w)).where("_side = 1").drop("_m", "_side")
 
 
 def merged(spans: DataFrame, keys: list[str]) -> DataFrame:

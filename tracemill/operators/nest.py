@@ -1,33 +1,50 @@
 """Call nesting of spans and what follows from it.
 
 A thread is cut where no earlier span is open any more; the stack is empty there, so the pieces nest by themselves. Pieces
-are packed into groups of a bounded number of spans as far as the data allow, and folded in Arrow batches.
+are packed into runs of a bounded number of spans as far as the data allow; a long thread is many runs in many tasks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import interval
 
-#: Spans that one call gets, if pieces are small.
+#: Spans of a run, if pieces are small.
 PACK = 20_000
 
 
 def fold(df: DataFrame, keys: list[str], columns: list[str], f: Callable[[list[tuple]], Iterable[tuple]], schema: str) -> DataFrame:
-    """f over the rows (tuples of `columns`) of each key, sorted; results get the key's columns in front."""
-    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
-    names = [*keys, *(c.strip().split(" ")[0] for c in schema.split(","))]
-
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = sorted(pdf[columns].itertuples(index=False, name=None))
-        return pd.DataFrame([(*key, *r) for r in f(rows)], columns=names)
-
-    return df.select(*keys, *columns).groupBy(*keys).applyInPandas(run, f"{kinds}, {schema}")
+    """f over the rows (tuples of `columns`) of each key, sorted; results get the key's columns in front. Partitions are sorted by
+    key and streamed through Python, so a task holds the rows of one key at a time, and small keys cost no call of their own."""
+    n = len(keys)
+    out = T.StructType([T.StructField(k, df.schema[k].dataType) for k in keys] + list(T.StructType.fromDDL(schema)))
+    kinds = to_arrow_schema(out)
+
+    def pack(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
+
+    def run(batches):
+        key, rows, done = None, [], []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:n] != key:
+                    done += [(*key, *r) for r in f(rows)] if rows else []
+                    key, rows = row[:n], []
+                rows.append(row[n:])
+            if done:
+                yield pack(done)
+                done = []
+        if rows and (done := [(*key, *r) for r in f(rows)]):
+            yield pack(done)
+
+    return df.select(*keys, *columns).repartition(*keys).sortWithinPartitions(*keys, *columns).mapInArrow(run, out)
 
 
 def stack(rows: list[tuple]) -> Iterable[tuple]:
