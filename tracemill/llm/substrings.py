@@ -25,6 +25,8 @@ from pyspark.sql import types as T
 from . import common
 
 WINDOW = 50
+#: Bits of the bitmap that preselects documents: 8 MB.
+BITMAP = 1 << 26
 #: Odd bases of the window polynomials.
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
@@ -107,26 +109,48 @@ def surveyed(docs: DataFrame, window: int) -> DataFrame:
 
 
 def extended(docs: DataFrame, window: int) -> DataFrame:
-    """From doc_id, text, places (of repeated half windows) the windows that hold one: doc_id, start, h1, h2."""
+    """From doc_id, text, places (of repeated half windows) the windows whose anchor is one: doc_id, start, h1, h2."""
     half = window // 2
-    reach = window - half
+    span = window - half + 1
 
     def run(batches):
         for batch in batches:
             for part in common.slices(batch, 1):
                 words, bounds = word_hashes(pc.fill_null(part.column(1), ""))
-                doc = np.repeat(np.arange(part.num_rows), np.diff(bounds))
-                near = np.zeros(len(words) + 1, np.int64)
+                hashes, valid = window_hashes(words, half, _BASES[0]) | np.uint64(1), inside(bounds, window)
+                repeated = np.full(len(hashes), np.iinfo(np.uint64).max, np.uint64)
                 for i, places in enumerate(part.column(2)):
                     at = bounds[i] + np.asarray(places.values)
-                    np.add.at(near, np.maximum(at - reach, bounds[i]), 1)
-                    np.add.at(near, at + 1, -1)
-                valid = inside(bounds, window)
-                start = np.flatnonzero((np.cumsum(near)[: len(valid)] > 0) & valid)
+                    at = at[at < min(bounds[i + 1], len(hashes))]  # rows of one id may differ in text
+                    repeated[at] = hashes[at]
+                start = np.zeros(0, np.int64)
+                if valid.any():
+                    start = np.flatnonzero((_sliding(repeated, span, np.minimum) == _sliding(hashes, span, np.minimum)) & valid)
+                doc = (np.searchsorted(bounds, start, side="right") - 1).astype(np.int64)
                 ids = part.column(0).to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[doc[start]], pa.int64()), pa.array((start - bounds[doc[start]]).astype(np.int32)), *(pa.array(window_hashes(words, window, b)[start].view(np.int64)) for b in _BASES)], names=["doc_id", "start", "h1", "h2"])
+                first, second = (window_hashes(words, window, b)[start] if len(start) else np.zeros(0, np.uint64) for b in _BASES)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[doc], pa.int64()), pa.array((start - bounds[doc]).astype(np.int32)), pa.array(first.view(np.int64)), pa.array((second >> np.uint64(32)).astype(np.uint32).view(np.int32))], names=["doc_id", "start", "h1", "h2"])
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "places").mapInArrow(run, "doc_id long, start int, h1 long, h2 long")
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "places").mapInArrow(run, "doc_id long, start int, h1 long, h2 int")
+
+
+def among(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and text of the documents whose id may be among `ids` (column _id): a bitmap of BITMAP bits, which never
+    grows, drops most others before their texts are shuffled. With very many ids it passes all, which costs time alone."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(BITMAP))
+    words = ids.select(F.shiftright(place("_id"), 6).alias("word"), F.expr(f"shiftleft(1L, CAST(pmod(xxhash64(_id), {BITMAP}) & 63 AS INT))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    bitmap = np.zeros(BITMAP >> 6, np.uint64)
+    bitmap[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches):
+        bits = shared.value
+        for batch in batches:
+            at = batch.column(2).to_numpy(zero_copy_only=False)
+            keep = bits[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)
+            yield batch.select([0, 1]).filter(pa.array(keep.astype(bool)))
+
+    return docs.where("doc_id is not null").select("doc_id", "text", place("doc_id").alias("_at")).mapInArrow(run, "doc_id long, text string")
 
 
 def reduced(docs: DataFrame, window: int) -> DataFrame:
@@ -138,6 +162,7 @@ def reduced(docs: DataFrame, window: int) -> DataFrame:
                 for text, starts in zip(part.column(1).cast(pa.binary()).to_pylist(), part.column(2), strict=True):
                     words = text.split()
                     edge, at = np.zeros(len(words) + 1, np.int64), np.asarray(starts.values)
+                    at = at[at + window <= len(words)]  # rows of one id may differ in text
                     np.add.at(edge, at, 1)
                     np.add.at(edge, at + window, -1)
                     stay = np.flatnonzero(np.cumsum(edge)[:-1] == 0).tolist()
@@ -148,31 +173,24 @@ def reduced(docs: DataFrame, window: int) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "starts").mapInArrow(run, "doc_id long, n_removed long, kept_text string")
 
 
-def repeats(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """The survey of all documents (with rep: the smallest id of their exact text), and doc_id, starts: the windows that
-    also start in a document with a smaller id. Of exact copies the first alone is looked at."""
-    survey = common.checkpoint(surveyed(docs, window))
-    reps = survey.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
-    first = survey.join(reps.select(F.col("rep").alias("_rep")), F.col("doc_id") == F.col("_rep"), "left_semi")
-    # level one: anchors that at least two documents hold
-    marks = first.select("doc_id", F.explode(F.arrays_zip("hashes", "places")).alias("x")).select("doc_id", F.col("x.hashes").alias("h"), F.col("x.places").alias("place"))
-    again = marks.groupBy(F.col("h").alias("_h")).agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).where("_a < _b").select("_h")
-    places = marks.join(again, F.col("h") == F.col("_h")).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("place").alias("places"))
-    # level two: windows of twice the length around them
-    windows = extended(docs.select("doc_id", "text").join(places, F.col("doc_id") == F.col("_id")), window)
-    windows = common.checkpoint(windows)
-    held = windows.groupBy(F.col("h1").alias("_h1"), F.col("h2").alias("_h2")).agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).where("_a < _b")
-    same = (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")) & (F.col("doc_id") > F.col("_a"))
-    starts = windows.join(held, same).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("start").alias("starts"))
-    survey = survey.drop("hashes", "places").join(reps.select(F.col("d1").alias("_d1"), F.col("d2").alias("_d2"), "rep"), (F.col("d1") == F.col("_d1")) & (F.col("d2") == F.col("_d2"))).drop("_d1", "_d2")
-    return survey, starts
-
-
 def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """Rows doc_id, n_words, n_removed, kept_text (null where nothing or everything goes), kept_sha256."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    survey, starts = repeats(docs, window)
-    cut = reduced(docs.join(starts, F.col("doc_id") == F.col("_id")), window).select(F.col("doc_id").alias("_id"), "n_removed", "kept_text", F.sha2("kept_text", 256).alias("_sha")).dropDuplicates(["_id", "_sha"])
+    survey = common.checkpoint(surveyed(docs, window))
+    reps = survey.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))  # of exact copies the first alone is looked at
+    # level one: anchors that at least two different texts hold
+    marks = survey.where("doc_id is not null").select("doc_id", "d1", F.explode(F.arrays_zip("hashes", "places")).alias("x")).select("doc_id", "d1", F.col("x.hashes").alias("h"), F.col("x.places").alias("place"))
+    again = marks.groupBy(F.col("h").alias("_h")).agg(F.min("d1").alias("_a"), F.max("d1").alias("_b")).where("_a < _b").select("_h")
+    places = marks.drop("d1").join(again, F.col("h") == F.col("_h")).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("place").alias("places"))
+    places = common.checkpoint(places.join(reps.select("rep"), F.col("_id") == F.col("rep"), "left_semi"))
+    # level two: windows of twice the length around them, without a copy of them on disk
+    texts = among(docs, places)
+    windows = extended(texts.join(places, F.col("doc_id") == F.col("_id")), window)
+    held = windows.groupBy(F.col("h1").alias("_h1"), F.col("h2").alias("_h2")).agg(F.min("doc_id").alias("_a"))
+    same = (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")) & (F.col("doc_id") > F.col("_a"))
+    starts = common.checkpoint(windows.join(held, same).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("start").alias("starts")))
+    cut = reduced(texts.join(starts, F.col("doc_id") == F.col("_id")), window).select(F.col("doc_id").alias("_id"), "n_removed", "kept_text", F.sha2("kept_text", 256).alias("_sha")).dropDuplicates(["_id", "_sha"])
+    survey = survey.drop("hashes", "places").join(reps.select(F.col("d1").alias("_d1"), F.col("d2").alias("_d2"), "rep"), (F.col("d1") == F.col("_d1")) & (F.col("d2") == F.col("_d2"))).drop("_d1", "_d2")
     rows = survey.join(cut, F.col("doc_id") == F.col("_id"), "left")
     copy = (F.col("doc_id") > F.col("rep")) & (F.col("n_words") >= window)
     return rows.select(
@@ -183,18 +201,17 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def levels(docs: DataFrame, start: int = WINDOW // 2, most: int = 1 << 20) -> list[tuple[int, int]]:
     """Window lengths from `start`, doubled as long as windows repeat between documents, with the number of distinct
-    windows that do. Windows are formed only inside what survived the length before."""
+    anchors of that length that do. The anchors of each length are looked for in the documents that the length before left."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found, length = [], start
-    survey = surveyed(docs, 2 * start)
-    alive = survey.select("doc_id", F.explode(F.arrays_zip("hashes", "places")).alias("x")).select("doc_id", F.col("x.places").alias("start"), F.col("x.hashes").alias("h1"), F.lit(0).alias("h2"))
     while length <= most:
-        held = alive.groupBy(F.col("h1").alias("_h1"), F.col("h2").alias("_h2")).agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).where("_a < _b")
-        n = held.count()
+        marks = surveyed(docs, 2 * length).where("doc_id is not null").select("doc_id", F.explode("hashes").alias("h"))
+        again = marks.groupBy(F.col("h").alias("_h")).agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).where("_a < _b").select("_h")
+        held = common.checkpoint(marks.join(again, F.col("h") == F.col("_h")).select("doc_id", "h"))
+        n = held.select("h").distinct().count()
         if not n:
             break
         found.append((length, n))
-        places = alive.join(held, (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2"))).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("start").alias("places"))
+        docs = docs.join(held.select(F.col("doc_id").alias("_id")).distinct(), F.col("doc_id") == F.col("_id"), "left_semi")
         length *= 2
-        alive = common.checkpoint(extended(docs.join(places, F.col("doc_id") == F.col("_id")), length))
     return found
