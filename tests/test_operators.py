@@ -203,3 +203,29 @@ def test_log_search():
 def test_detect_on_nulls(spark, rows):
     df = spark.createDataFrame(rows, "k string, v double")
     assert detect.iqr_clean(df, detect.iqr_bounds(df, ["k"], "v"), ["k"], "v").count() == len(rows)
+
+
+def test_workflows(spark):
+    import json
+
+    from tracemill.plans import workflow
+
+    raw = [("step", "python", "X", "a(1)", "m", t, 50, {}) for t in (0, 100, 200, 300)] + [("oncpu main", "CAT_CPU", "X", "a(1)", "m", t + 2, 20, {}) for t in (0, 100, 200, 300)]
+    raw += [("cudaLaunch", "cuda_runtime", "X", "a(1)", "m", t + 5, 5, {"correlation": str(t)}) for t in (0, 100, 200, 300)] + [("triton_x", "Kernel", "X", "a(1)", "stream 7", t + 10, 30, {"correlation": str(t), "device": "0"}) for t in (0, 100, 200, 300)]
+    raw += [("gpu_usage_0", "CAT_XPU", "C", "a(1)", "CAT_XPU_0", t, 0, {"value": "80", "hostname": "a"}) for t in range(0, 400, 10)] + [("cpu_temp_0", "CAT_CPU", "C", "a(1)", "", t, 0, {"value": "95", "hostname": "a"}) for t in range(0, 400, 10)]
+    df = spark.createDataFrame([(i, n, c, ph, p, t, str(ts), str(d), None, None, a) for i, (n, c, ph, p, t, ts, d, a) in enumerate(raw)], "seq long, name string, cat string, ph string, pid string, tid string, ts string, dur string, id string, bp string, args map<string,string>")
+    events = sources.normalised(df)
+    parts = workflow.deep_dive(events, "step", 8, 100)
+    got = parts["perf"].where("name = 'triton_kernel' and metric = 'gpu_usage'").collect()
+    assert len(got) == 4 and all(abs(r.mu_pct - 80) < 1e-9 for r in got)
+    assert {r.fingerprint for r in parts["bottlenecks"].collect()} == {"CPU_THERMAL_THROTTLING"}
+    assert "CPU_THERMAL_THROTTLING" in workflow.report(parts, "run")
+    scores = workflow.compared(parts["perf"], parts["perf"])["scores"]
+    assert scores.where("suspicion <> 0 or u_p_beta < 0.5").count() == 0 and scores.count() > 0
+
+    names = [("Scheduler.run_batch", 100), ("Scheduler.process_batch_result", 150), ("Scheduler.get_next_batch_to_run", 170), ("Scheduler.get_next_batch_to_run", 180), ("Scheduler.run_batch", 300), ("Scheduler.process_batch_result", 350)]
+    ev = spark.createDataFrame([(i, n, float(t), float(t + 10)) for i, (n, t) in enumerate(names)], "seq long, name string, ts double, end_ts double")
+    line = lambda n, t: json.dumps({"kunlunClassAttr": {"class": "Scheduler", "fn": n.split(".")[1], "attr": "reqs"}})[:-1] + f', "Value": forward_mode=DECODE rid=a1 rid=b2 input_ids=[1, 2] output_ids=[3], "start_time": {t + 2}}}'
+    lines = spark.createDataFrame([("log", i, line(n, t)) for i, (n, t) in enumerate(names) if "next" not in n], "path string, line_no long, line string")
+    rows = {(r.kind, r.start_ts): (r.duration_us, r.mode, r.batch_size, r.max_input) for r in workflow.monitored(ev, lines, "job").collect()}
+    assert rows == {("batch", 100.0): (60.0, "DECODE", 2, 2), ("batch", 300.0): (60.0, "DECODE", 2, 2), ("idle", 160.0): (140.0, "N/A", 0, 0)}

@@ -196,3 +196,27 @@ def B7_F15_graph_edges(spark, sf):
     from .aggregates import F15_call_edges
 
     return F15_call_edges(spark, sf)
+
+
+@query("""WITH u AS (SELECT event_id AS seq, user_id % 4 AS host, user_id AS pid, event_id % 8 AS logical FROM events), i AS (SELECT s_nationkey % 4 AS host, s_suppkey AS pid, s_nationkey % 8 AS logical, s_suppkey * 10 AS physical FROM supplier)
+ SELECT seq, (SELECT max(physical) FROM i WHERE i.host = u.host AND i.pid = u.pid AND i.logical = u.logical) AS physical FROM u""")
+def E13_physical_gpus(spark, sf):
+    from ..operators import topology
+
+    u = table(spark, sf, "events").select(F.col("event_id").alias("seq"), (F.col("user_id") % 4).alias("host"), F.col("user_id").alias("pid"), (F.col("event_id") % 8).alias("logical"))
+    i = table(spark, sf, "supplier").select((F.col("s_nationkey") % 4).alias("host"), F.col("s_suppkey").alias("pid"), (F.col("s_nationkey") % 8).alias("logical"), (F.col("s_suppkey") * 10).alias("physical"))
+    return topology.physical_gpus(u, i).select("seq", "physical")
+
+
+@query("SELECT 'f' || (event_id % 3) AS path, CASE event_id % 3 WHEN 0 THEN 'sglang' WHEN 1 THEN 'vllm' ELSE 'generic' END AS framework FROM events GROUP BY 1, 2")
+def A11_framework(spark, sf):
+    e = F.col("event_id")
+    word = F.when(e % 3 == 0, "start SGLang server").when(e % 3 == 1, "vLLM engine").otherwise("plain")
+    return logs.framework(table(spark, sf, "events").select(F.concat(F.lit("f"), (e % 3).cast("string")).alias("path"), e.alias("line_no"), word.alias("line")))
+
+
+@query()
+def C14_demangled(spark, sf):
+    from ..functions.demangle import demangled
+
+    return demangled(table(spark, sf, "events").select("event_id", F.concat(F.lit("_Z3f"), (F.col("user_id") % 5).cast("string"), F.lit("xi")).alias("name")))
