@@ -222,3 +222,13 @@ def test_substring_edges(spark):
     assert got == brute_substrings(docs)
     assert substrings.substring_dedup(df.limit(0)).count() == 0
     assert [n for n, _ in substrings.levels(df)] == [25, 50]  # the longest repeat, of 120 words, holds no anchor of 100
+
+
+def test_sql(spark):
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.sql(f"create view conversations as select * from '{sf}/conversations.parquet'")
+    for name, sql in queries.ORACLES.items():
+        got, want = queries.QUERIES[name](spark, sf), con.sql(sql)
+        at = [want.columns.index(c) for c in got.columns]
+        assert sorted(map(tuple, got.collect())) == sorted(tuple(r[k] for k in at) for r in want.fetchall())
