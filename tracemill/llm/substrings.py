@@ -181,12 +181,14 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     # level one: anchors that at least two different texts hold
     marks = survey.where("doc_id is not null").select("doc_id", "d1", F.explode(F.arrays_zip("hashes", "places")).alias("x")).select("doc_id", "d1", F.col("x.hashes").alias("h"), F.col("x.places").alias("place"))
     again = marks.groupBy(F.col("h").alias("_h")).agg(F.min("d1").alias("_a"), F.max("d1").alias("_b")).where("_a < _b").select("_h")
+    again = common.checkpoint(again)  # by itself, so that the join may split a hot anchor
     places = marks.drop("d1").join(again, F.col("h") == F.col("_h")).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("place").alias("places"))
     places = common.checkpoint(places.join(reps.select("rep"), F.col("_id") == F.col("rep"), "left_semi"))
     # level two: windows of twice the length around them, without a copy of them on disk
     texts = among(docs, places)
     windows = extended(texts.join(places, F.col("doc_id") == F.col("_id")), window)
-    held = windows.groupBy(F.col("h1").alias("_h1"), F.col("h2").alias("_h2")).agg(F.min("doc_id").alias("_a"))
+    held = windows.groupBy(F.col("h1").alias("_h1"), F.col("h2").alias("_h2")).agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).where("_a < _b").drop("_b")
+    held = common.checkpoint(held)
     same = (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")) & (F.col("doc_id") > F.col("_a"))
     starts = common.checkpoint(windows.join(held, same).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("start").alias("starts")))
     cut = reduced(texts.join(starts, F.col("doc_id") == F.col("_id")), window).select(F.col("doc_id").alias("_id"), "n_removed", "kept_text", F.sha2("kept_text", 256).alias("_sha")).dropDuplicates(["_id", "_sha"])
