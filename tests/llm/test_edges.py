@@ -129,6 +129,17 @@ def test_media_files(spark):
     assert frames == 31 and {int(p) >> 14 & 1023 for p in prints} >= {20} and (np.diff(prints) > 0).all()
 
 
+def test_media_frames_reach_the_end():
+    import numpy as np
+
+    text = bytes(random.Random(5).choices(range(32, 127), k=320 + 64 * 8))
+    for size in range(64, len(text) + 1, 64):
+        one, other = text[:size], text[: size - 64] + text[:64][::-1]
+        frames, prints = media.describe(one)[-2:]
+        assert 128 * (frames - 1) + 256 >= size > 128 * (frames - 2) + 256 or frames == 1
+        assert not np.array_equal(prints, media.describe(other)[-1]) or frames == 1
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     got = {r.v: r.root for r in simhash.components(edges).collect()}

@@ -5,8 +5,8 @@ a short-time Fourier transform (Hann window, half overlap); in each frame the st
 neighbours are peaks, and each peak is paired with the peaks of the next frames. A pair is one integer that holds its
 two bins, their distance and the frame where it begins, so the array is ordered in time.
 
-Cases: a null text is an empty one, whose payload is 64 zero bytes; equal texts give equal values; a payload shorter than a
-window is padded with silence for the transform alone; a very long text is transformed in runs of frames.
+Cases: a null text is an empty one, whose payload is 64 zero bytes; equal texts give equal values; for the transform alone
+a payload is padded with silence until whole frames cover it; a very long text is transformed in runs of frames.
 """
 
 from __future__ import annotations
@@ -53,8 +53,7 @@ def load(media: bytes) -> bytes:
 def peaks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bins of the PEAKS strongest local maxima of each frame (-1: none), and the number of frames."""
     x = samples.astype(np.float32) - 128
-    if len(x) < WINDOW:
-        x = np.pad(x, (0, WINDOW - len(x)))
+    x = np.pad(x, (0, max(WINDOW - len(x), 0) or -(len(x) - WINDOW) % HOP))
     frames = np.lib.stride_tricks.sliding_window_view(x, WINDOW)[::HOP]
     hann, found = np.hanning(WINDOW).astype(np.float32), []
     for at in range(0, len(frames), RUN):
