@@ -157,6 +157,17 @@ def test_secrets_held_out_and_redacted(spark):
     assert got[1].startswith('x token = "[SECRET]" y') and got[2] == "plain words only" and key not in got[3]
 
 
+def test_secrets_in_env_lines(spark):
+    forest = secrets.fit(secrets.labelled_findings(spark))
+    key = "a9Bc3dE5fG7hJ1kL2mN4pQ6rS8tU0vW2xY4z"
+    lines = [("export GITHUB_TOKEN=", f"ghp_{key}"), ("aws_secret_access_key=", "wJalrXUtnFEMI7K7MDENG+bPxRfiCYEXAMPLEKEY"), ("AWS_S3_SECRET_ACCESS_KEY=", "wJalrXUtnFEMI7K7MDENG+bPxRfiCYEXAMPLEKEY"), ("TOKEN=", f"{key}=="), ("DB_PASSWORD=", "hunter2abc9x"), ('API_TOKEN_V2_PRODUCTION="', key)]
+    docs = spark.createDataFrame([(i, f"a b\n{name}{value}" + '"' * name.endswith('"') + "\nc d") for i, (name, value) in enumerate(lines)] + [(99, "commit=0123456789abcdef0123456789abcdef01234567")], "doc_id long, text string")
+    found = {(r.doc_id, r.candidate) for r in secrets.scan(docs, forest).where("is_secret").collect()}
+    assert found == {(i, value) for i, (_, value) in enumerate(lines)}
+    got = {r.doc_id: r.text for r in secrets.redact(docs, forest).collect()}
+    assert all(got[i] == f"a b\n{name}{secrets.MASK}" + '"' * name.endswith('"') + "\nc d" for i, (name, _) in enumerate(lines))
+
+
 def test_slices_cut_rows_not_texts():
     import pyarrow as pa
 

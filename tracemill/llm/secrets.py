@@ -1,7 +1,8 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
-Candidates are long runs of key characters with a digit, and longer quoted values behind an equals sign or colon. Their
-features are length, shares and changes of character classes, the share covered by dictionary words, whether they
+Candidates are long runs of key characters with a digit, shorter ones right behind NAME=, and quoted values behind an equals
+sign or colon. An equals sign ends a run, but for padding; if the name of a value is a candidate itself, it counts as text
+before the value too. Their features are length, shares and changes of character classes, the share covered by dictionary words, whether they
 stand in a path, and the words around. Spark ML trains the forest on labelled findings; its trees are compiled into one
 conditional expression, so a scan is a projection over the text without a shuffle.
 
@@ -18,10 +19,12 @@ from pyspark.sql import functions as F
 
 FINDINGS, TREES, DEPTH, SEED, THRESHOLD, MASK = 4000, 24, 6, 29, 0.5, "[SECRET]"
 #: What candidates look like, and a quick test for texts that may have one.
-_RUN = "A-Za-z0-9+/_=-"
-_KEY = rf"(?<![{_RUN}])(?=[A-Za-z+/_=-]*+[0-9])[{_RUN}]{{16,}}+"
+_RUN = "A-Za-z0-9+/_-"
+_KEY = rf"(?:(?<=[A-Za-z0-9_]=)(?=[{_RUN}]{{8}})|(?<![{_RUN}])(?=[{_RUN}]{{16}}))(?=[A-Za-z+/_-]*+[0-9])[{_RUN}]++(?:={{1,2}}+(?![\"']?[={_RUN}]))?+"
 CANDIDATE = rf"(?<=[:=] {{0,2}}[\"'])[^\s\"']{{8,}}+|{_KEY}"
 MAYBE = rf"[:=] {{0,2}}[\"'][^\s\"']{{8}}|{_KEY}"
+#: Fixed value: what stands between a name and its value.
+SIGN = "^[:=] {0,2}[\"']?$"
 #: Words that a key hardly holds, and words before keys and before other long strings.
 DICTIONARY = "about account after agent build button class color content data date default document download email example file first float format guide header height home html http image index info install issue item label large last line link list local login mail main manual media menu message model module month name news note number object order page photo picture post price print product profile project public query release report sample script search section server service size small source standard start state static status store style summary system table test text thumb time title type update user value version video view width window world year"
 SECRET_WORDS = r"(?i)(?:key|token|secret|passw|pwd|auth|credential|bearer|private|access)"
@@ -97,7 +100,9 @@ def scanned(docs: DataFrame, forest: str, text: str = "text") -> DataFrame:
     """Add _parts (the text between candidates) and findings: array of candidate and score."""
     hit = F.coalesce(F.col(text).rlike(MAYBE), F.lit(False))
     rows = docs.drop("findings").withColumn("_parts", F.when(hit, F.split(text, CANDIDATE))).withColumn("_found", F.when(hit, F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))))
-    around = lambda c, i: F.struct(c.alias("c"), F.right(F.get("_parts", i), F.lit(48)).alias("b"), F.left(F.get("_parts", i + 1), F.lit(8)).alias("a"))
+    part = lambda i: F.get("_parts", i)
+    before = lambda i: F.when((i > 0) & part(i).rlike(SIGN), F.concat(F.get("_found", i - 1), part(i))).otherwise(part(i))
+    around = lambda c, i: F.struct(c.alias("c"), F.right(before(i), F.lit(48)).alias("b"), F.left(part(i + 1), F.lit(8)).alias("a"))
     rows = rows.withColumn("_found", F.transform("_found", around))
     rows = rows.withColumn("_features", F.transform("_found", lambda x: F.struct(*(c.alias(k) for k, c in features(x["c"], x["b"], x["a"]).items()))))
     rows = rows.withColumn("_scores", F.expr(f"transform(_features, f -> {forest})"))
