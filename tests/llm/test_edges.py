@@ -146,6 +146,15 @@ def test_components_of_a_chain(spark):
     assert got == {i: 0 for i in range(1, 41)} | {101: 100}
 
 
+def test_one_representative_of_each_component(spark):
+    said = lambda k: " ".join(hashlib.sha1(f"{k}:{i}".encode()).hexdigest() for i in range(30))
+    rows = [(None, "a"), (None, "b"), (None, "b"), (None, "c"), (3, "c"), (1, "d"), (1, "d"), (2, "d"), (5, "e"), (5, "f"), (4, "f"), (6, "g"), (6, "h")]
+    docs = spark.createDataFrame([(i, said(k), k) for i, k in rows] + [(None, None, "null"), (None, "", "null")], "doc_id long, text string, source string")
+    got = simhash.representatives(docs)
+    assert got.columns == docs.columns
+    assert sorted(((r.source, r.doc_id) for r in got.collect()), key=str) == [("a", None), ("b", None), ("c", 3), ("d", 1), ("e", 5), ("f", 4), ("g", 6), ("h", 6), ("null", None)]
+
+
 def test_secrets_held_out_and_redacted(spark):
     forest = secrets.fit(secrets.labelled_findings(spark, 2000))
     fresh = secrets.labelled_findings(spark, 4000).withColumn("_features", F.array(F.struct(*(c.alias(k) for k, c in secrets.features(F.col("candidate"), F.col("before"), F.col("after")).items()))))

@@ -154,19 +154,28 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("v"), F.col("b").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows id, fp, component_id (the smallest id that links reach)."""
-    prints = common.checkpoint(fingerprinted(docs.select(id, text), text))
+def _grouped(docs: DataFrame, id: str, text: str, *more: str) -> DataFrame:
+    """Rows id, more, fp, root (one value for each component), component_id."""
+    prints = common.checkpoint(fingerprinted(docs.select(id, text, *more), text))
     fps = common.checkpoint(prints.groupBy("fp").agg(F.min(id).alias("rep")))
     n = fps.count()
     roots = components(links(fps))
     rooted = common.checkpoint(fps.join(roots, F.col("fp") == F.col("v"), "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")))
     names = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = rooted.select(F.col("fp").alias("_fp"), "root").join(names, "root").select("_fp", "component_id")
-    return prints.join(common.small(named, n, 24), F.col("fp") == F.col("_fp")).select(id, "fp", "component_id")
+    named = rooted.select(F.col("fp").alias("_fp"), "root").join(names, "root").select("_fp", "root", "component_id")
+    return prints.join(common.small(named, n, 32), F.col("fp") == F.col("_fp")).select(id, *more, "fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows id, fp, component_id (the smallest id that links reach)."""
+    return _grouped(docs, id, text).select(id, "fp", "component_id")
 
 
 def representatives(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each component, that with the smallest id; rows with a null id alone in theirs stay. Columns stay."""
-    found = near_duplicates(docs, id, text).where(F.col(id) == F.col("component_id")).select(F.col(id).alias("_id")).distinct()
-    return docs.join(found, F.col(id) == F.col("_id")).select(*docs.columns)
+    """One row of each component: one with the smallest id, or with a null id if it has no other. Columns stay.
+    Of several such rows that with the least hash of its text stays; rows of equal id and text are repeats, and any one stays."""
+    key = {"_h": F.xxhash64(text), "_g": F.hash(text)}
+    rows = _grouped(docs.withColumns(key), id, text, *key).where(F.col(id).eqNullSafe(F.col("component_id")))
+    found = rows.groupBy("root").agg(F.min(F.struct(F.col(id).alias("_id"), *key)).alias("x")).select(*(F.col(f"x.{c}").alias(f"_{c}") for c in ("_id", *key)))
+    same = F.col(id).eqNullSafe(F.col("__id")) & (F.col("_h") == F.col("__h")) & (F.col("_g") == F.col("__g"))
+    return docs.withColumns(key).join(found, same).dropDuplicates([id, *key]).select(*docs.columns)
