@@ -1,5 +1,6 @@
 """Boundary rules of the operators on small frames."""
 
+import collections
 import math
 
 import numpy as np
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 from tracemill.functions import demangle
 from tracemill.functions import scalar as S
 from tracemill.operators import compare, cycles, detect, diagnose, folds, interval, learn, metrics, nest
+from tracemill.plans import folds as plan_folds
+from tracemill.plans.registry import spans
 from tracemill.sources import logs, sinks
 from tracemill.sources import trace as sources
 
@@ -19,6 +22,15 @@ def frame(spark, rows):
     return spark.createDataFrame([(i, 1, "t", n, float(a), float(b), float(b - a)) for i, (n, a, b) in enumerate(rows)], SPAN)
 
 
+def test_virtual_cycles_of_all_spans(spark, sf):
+    want, rows = [], collections.defaultdict(list)
+    for r in spans(spark, sf).collect():
+        rows[r.tid].append((r.ts, r.seq, "result" if r.name == "purchase" else "run", r.end_ts, 1 if r.name == "view" else 2))
+    for tid, part in rows.items():
+        want += [(tid, *x) for x in folds.virtual_cycles(sorted(part))]
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in plan_folds.G18_virtual_cycles(spark, sf).collect())
+
+
 def test_merge_keeps_touching_spans_apart(spark):
     got = interval.merged(frame(spark, [("a", 0, 10), ("b", 5, 7), ("c", 10, 12), ("d", 11, 15)]), ["pid"]).orderBy("ts").collect()
     assert [(r.ts, r.end_ts, r.n, r.total_dur) for r in got] == [(0, 10, 2, 12), (10, 15, 2, 6)]

@@ -68,7 +68,7 @@ def G7_lead_groups(spark, sf):
 @query()
 def G18_virtual_cycles(spark, sf):
     kind = F.when(F.col("name") == "purchase", "result").otherwise("run")
-    rows = spans(spark, sf).where("name <> 'click' or k % 2 = 0").withColumn("kind", kind).withColumn("mode", F.when(F.col("name") == "view", 1).otherwise(2))
+    rows = spans(spark, sf).withColumn("kind", kind).withColumn("mode", F.when(F.col("name") == "view", 1).otherwise(2))
     return nest.fold(rows, ["tid"], ["ts", "seq", "kind", "end_ts", "mode"], folds.virtual_cycles, "kind string, start_ts long, end_ts long, run_seq long, result_seq long")
 
 
