@@ -11,7 +11,8 @@ from tracemill.functions import demangle
 from tracemill.functions import scalar as S
 from tracemill.operators import compare, cycles, detect, diagnose, folds, interval, learn, metrics, nest
 from tracemill.plans import folds as plan_folds
-from tracemill.plans.registry import spans
+from tracemill.plans import systems
+from tracemill.plans.registry import spans, table
 from tracemill.sources import logs, sinks
 from tracemill.sources import trace as sources
 
@@ -164,6 +165,25 @@ def test_ridge_equals_closed_form(spark):
     assert np.allclose(got, z @ w + y.mean(), atol=1e-8)
 
 
+def test_models_of_many_modes_predict_all_rows(spark):
+    rows = [(float(i), m, 2.0 * i + m) for m in range(12) for i in range(25)] + [(1.0, 50, 1.0), (2.0, None, 1.0), (None, 3, 1.0), (float("nan"), 3, 1.0)]
+    df = spark.createDataFrame(rows, "x double, mode int, y double")
+    models = learn.trained(df, ["x"], "y", mode="mode")
+    assert [v for v, _ in models] == list(range(12))
+    got = learn.predicted(df, models, mode="mode").collect()
+    assert len(got) == len(rows) and sum(r.predicted is None for r in got) == 4
+    assert learn.predicted(df, []).count() == len(rows)
+
+
+def test_registered_models_use_all_rows_and_trees(spark, sf, monkeypatch):
+    asked, fit = [], learn.trained
+    monkeypatch.setattr(learn, "trained", lambda *a, **k: asked.append(k.pop("trees", 200)) or fit(*a, **k, **({"trees": 2} if "boosted" in a else {})))
+    for f in (systems.L1_boosted_trees, systems.L2_L3_ridge):
+        got = f(spark, sf)
+        assert got.count() == table(spark, sf, "lineitem").count() and {r.is_train for r in got.select("is_train").distinct().collect()} == {True, False}
+    assert asked == [200, 200]
+
+
 def test_metrics_real_and_interpolated(spark):
     e = spark.createDataFrame([(1, 0, "oncpu", "f", 7, -1, 0.0, 10.0, 10.0, 100.0), (1, 1, "oncpu", "f", 7, -1, 20.0, 30.0, 10.0, 100.0)], "cycle int, seq long, func_type string, name string, pid long, device int, ts double, end_ts double, dur double, cycle_dur double")
     points = [("process_cpu_usage", 7, float(t), v, 100.0, i) for i, (t, v) in enumerate([(0, 10.0), (5, 20.0), (10, 30.0), (40, 60.0)])]

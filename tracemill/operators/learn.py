@@ -37,17 +37,22 @@ def trained(rows: DataFrame, features: list[str], label: str, kind: str = "ridge
     """L3, L4: (mode value or None, model) fitted on all rows, or apart for each value of a mode column; fewer than LEAST rows give none."""
     target = "_target"
     rows = rows.withColumn(target, F.log1p(label) if log else F.col(label).cast("double"))
-    parts = [(None, rows)] if mode is None else [(v, rows.where(F.col(mode) == v)) for (v,) in rows.select(mode).distinct().orderBy(mode).limit(8).collect()]
+    parts = [(None, rows)] if mode is None else [(v, rows.where(F.col(mode) == v)) for (v,) in rows.select(mode).distinct().orderBy(mode).collect() if v is not None]
     return [(v, (boosted if kind == "boosted" else ridge)(part, features, target, **options)) for v, part in parts if part.count() >= LEAST]
 
 
 def predicted(rows: DataFrame, models: list[tuple], log: bool = False, mode: str | None = None) -> DataFrame:
-    """Rows with predicted, back from the logarithm and not below 0."""
-    out = None
+    """All rows with predicted, back from the logarithm and not below 0; null where the mode has no model or a feature is missing."""
+    known, features = [v for v, _ in models if v is not None], models[0][1].stages[0].getInputCols() if models else []
+    able = F.coalesce(F.col(mode).isin(known), F.lit(False)) if known else F.lit(bool(models))
+    for c in features:
+        able = able & F.col(c).isNotNull() & ~F.coalesce(F.isnan(F.col(c).cast("double")), F.lit(False))
+    rest = rows.where(~able)
+    out = rest.select(*rows.columns, F.lit(None).cast("double").alias("predicted"))
     for v, model in models:
         part = model.transform(rows if v is None else rows.where(F.col(mode) == v))
         part = part.select(*rows.columns, F.greatest(F.expm1("predicted") if log else F.col("predicted"), F.lit(0.0)).alias("predicted"))
-        out = part if out is None else out.unionByName(part)
+        out = out.unionByName(part)
     return out
 
 
@@ -69,7 +74,7 @@ def experiment(rows: DataFrame, features: list[str], label: str, keys: list[str]
     models = trained(rows.where("is_train"), features, label, config["kind"], config["log"], config["mode"], **options)
     if not models:
         return config | {"r2": None}
-    got = detect.regression_quality(predicted(rows.where("not is_train"), models, config["log"], config["mode"]), label, "predicted", len(features)).first()
+    got = detect.regression_quality(predicted(rows.where("not is_train"), models, config["log"], config["mode"]).where("predicted is not null"), label, "predicted", len(features)).first()
     return config | (got.asDict() if got else {"r2": None})
 
 

@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import learn, metrics
+from ..operators import detect, learn, metrics
 from ..sources import logs, sinks
 from ..sources import trace as sources
 from ..streaming import monitors
@@ -122,16 +122,16 @@ def _features(spark, sf):
 
 @query()
 def L2_L3_ridge(spark, sf):
-    rows = _features(spark, sf)
-    models = learn.trained(rows.where("l_orderkey % 5 > 0"), ["x1", "x2", "x3"], "y", "ridge", log=True, mode="mode", degree=2)
-    return learn.predicted(rows.where("l_orderkey % 5 = 0"), models, True, "mode").select("l_orderkey", "l_linenumber", F.round("predicted", 2).alias("predicted"))
+    rows = detect.group_split(_features(spark, sf), ["l_orderkey"])
+    models = learn.trained(rows.where("is_train"), ["x1", "x2", "x3"], "y", "ridge", log=True, mode="mode", degree=2)
+    return learn.predicted(rows, models, True, "mode").select("l_orderkey", "l_linenumber", "is_train", F.round("predicted", 2).alias("predicted"))
 
 
 @query()
 def L1_boosted_trees(spark, sf):
-    rows = _features(spark, sf)
-    models = learn.trained(rows.where("l_orderkey % 5 > 0"), ["x1", "x2", "x3"], "y", "boosted", trees=10)
-    return learn.predicted(rows.where("l_orderkey % 5 = 0"), models).select("l_orderkey", "l_linenumber", F.round("predicted", 2).alias("predicted"))
+    rows = detect.group_split(_features(spark, sf), ["l_orderkey"])
+    models = learn.trained(rows.where("is_train"), ["x1", "x2", "x3"], "y", "boosted")
+    return learn.predicted(rows, models).select("l_orderkey", "l_linenumber", "is_train", F.round("predicted", 2).alias("predicted"))
 
 
 @query()
