@@ -16,7 +16,7 @@ import base64
 import heapq
 import re
 import struct
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +30,8 @@ from . import common
 
 #: Pre-tokens resolved at once.
 RUN = 300_000
-#: Chunks, and merged pre-tokens, that a worker remembers before it forgets them all.
-MEMO = 100_000
+#: Chunks, and pre-tokens, that a generation of a worker's memory holds, and the longest of them.
+CHUNKS, PIECES, MEMO_CHARS = 50_000, 200_000, 64
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -91,6 +91,35 @@ class PerfectHash:
         return self.key_at[(f + self.d0[bucket] * g + self.d1[bucket]) % self.n]
 
 
+class Memo:
+    """What strings resolve to, in two generations: when the young one is full, it becomes the old one, which goes.
+    Strings in use stay, and no more than two generations of strings of at most MEMO_CHARS characters are held."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def resolve(self, keys: list[str], make) -> list[bytes]:
+        """The value of each of the distinct keys; make() gives those of the keys that are not held."""
+        found, young, old = list(map(self.young.get, keys)), self.young, self.old
+        gone = []
+        for i in [i for i, v in enumerate(found) if v is None]:
+            if (v := old.get(keys[i])) is None:
+                gone.append(i)
+            else:
+                found[i] = young[keys[i]] = v
+        if gone:
+            made = [keys[i] for i in gone]
+            for i, key, v in zip(gone, made, make(made), strict=True):
+                found[i] = v
+                if len(key) <= MEMO_CHARS:
+                    young[key] = v
+        if len(young) > self.most:
+            self.young, self.old = {}, young
+        return found
+
+
 class ByteBPE:
     """Encoder and decoder over a rank list and a pre-token pattern."""
 
@@ -98,9 +127,8 @@ class ByteBPE:
         self.tokens, self.table = pa.array(tokens, pa.binary()), table
         self.rank = {t: i for i, t in enumerate(tokens)}
         self.pattern = regex.compile(pattern)
-        self.memo: dict[str, bytes] = {}
-        self.merged: dict[bytes, bytes] = {}
-        self.mark, self.loose = "\0", re.compile(r" (?:\s|\Z)").search
+        self.chunk_memo, self.piece_memo = Memo(CHUNKS), Memo(PIECES)
+        self.loose = re.compile(r" (?:\s|\Z)|\0").search
 
     def merge(self, piece: bytes) -> bytes:
         """Packed ids of a pre-token: merge the pair of lowest rank, the leftmost first, until no pair has a rank."""
@@ -133,75 +161,69 @@ class ByteBPE:
             i = end[i]
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def resolve(self, chunks: list[str]) -> list[bytes]:
-        """The packed ids of each chunk."""
-        split = [self.pattern.findall(c) for c in chunks]
-        keys = pa.array([p for pieces in split for p in pieces], pa.string()).cast(pa.binary())
+    def pieces(self, distinct: list[str]) -> list[bytes]:
+        """The packed ids of each pre-token: those of the vocabulary by the perfect hash, the others by merging."""
+        keys = pa.array(distinct, pa.string()).cast(pa.binary())
         raw = keys.to_pylist()
         at = self.table.candidates(raw)
-        known = pc.equal(self.tokens.take(pa.array(at)), keys).to_pylist()
-        whole, out, i, merged = at.astype("<u4").tobytes(), [], 0, self.merged
-        for pieces in split:
-            ids = []
-            for i in range(i, i + len(pieces)):
-                if known[i]:
-                    ids.append(whole[4 * i : 4 * i + 4])
-                else:
-                    if (more := merged.get(raw[i])) is None:
-                        more = merged[raw[i]] = self.merge(raw[i])
-                    ids.append(more)
-            i += len(pieces) > 0
-            out.append(b"".join(ids))
+        whole = at.astype("<u4").tobytes()
+        out = [whole[i : i + 4] for i in range(0, len(whole), 4)]
+        for i in np.flatnonzero(~pc.equal(self.tokens.take(pa.array(at)), keys).to_numpy(zero_copy_only=False)).tolist():
+            out[i] = self.merge(raw[i])
         return out
 
-    def ids(self, chunks: list[str]) -> pa.ListArray:
-        """One list of ids for each chunk; distinct chunks are resolved once."""
-        coded = pa.array(chunks, pa.string()).dictionary_encode()
-        distinct, memo = coded.dictionary.to_pylist(), self.memo
-        for kept in (memo, self.merged):
-            if len(kept) > MEMO:
-                kept.clear()
-        if new := [c for c in distinct if c not in memo]:
-            memo.update(zip(new, self.resolve(new), strict=True))
-        packed = [memo[c] for c in distinct]
+    def split(self, chunks: list[str]) -> list[bytes]:
+        """The packed ids of each chunk, from those of its pre-tokens."""
+        found = list(map(self.pattern.findall, chunks))
+        distinct = list(dict.fromkeys(chain.from_iterable(found)))
+        ids = dict(zip(distinct, self.piece_memo.resolve(distinct, self.pieces), strict=True))
+        return [ids[x[0]] if len(x) == 1 else b"".join([ids[p] for p in x]) for x in found]
+
+    def ids(self, chunks: pa.Array) -> tuple[np.ndarray, pa.Array]:
+        """Where the ids of each chunk begin (one more at the end), and all ids; distinct chunks are resolved once."""
+        coded = chunks.dictionary_encode()
+        packed = self.chunk_memo.resolve(coded.dictionary.to_pylist(), self.split)
         stops = np.cumsum([0, *map(len, packed)]) // 4
-        return pa.ListArray.from_arrays(pa.array(stops.astype(np.int32)), pa.array(np.frombuffer(b"".join(packed), "<u4"))).take(coded.indices)
-
-    def chunks(self, text: str) -> list[str]:
-        """Cut a text before each space that begins a pre-token: where no space stands before white space or the end,
+        lists = pa.ListArray.from_arrays(pa.array(stops.astype(np.int32)), pa.array(np.frombuffer(b"".join(packed), "<u4"))).take(coded.indices)
+        return np.asarray(lists.offsets, np.int64), lists.values
+
+    def long(self, text: str) -> bytes:
+        """The packed ids of a very long text, a run of pre-tokens at a time."""
+        rest, runs = (m.group() for m in self.pattern.finditer(text)), []
+        while part := list(islice(rest, RUN)):
+            runs.append(self.ids(pa.array(part, pa.string()))[1].to_numpy(zero_copy_only=False).tobytes())
+        return b"".join(runs)
+
+    def together(self, lists: pa.ListArray) -> list[bytes]:
+        """The packed ids of texts that are given as lists of chunks."""
+        if not len(lists):
+            return []
+        at, flat = self.ids(lists.flatten())
+        data = memoryview(flat.to_numpy(zero_copy_only=False)).cast("B")
+        bounds = np.asarray(lists.offsets, np.int64)
+        stop = (4 * at[bounds - bounds[0]]).tolist()
+        return [bytes(data[a:b]) for a, b in zip(stop[:-1], stop[1:], strict=True)]
+
+    def encode(self, texts: pa.Array | list[str]) -> pa.Array:
+        """The ids of each text as little-endian unsigned 32-bit integers, packed.
+
+        A text is cut before each space that begins a pre-token: where no space stands before white space or the end,
         that is each space. Other texts are cut into their pre-tokens."""
-        if self.mark in text or self.loose(text):
-            return self.pattern.findall(text)
-        return text.replace(" ", self.mark + " ").split(self.mark)
-
-    def encode(self, texts: list[str]) -> pa.Array:
-        """The ids of each text as little-endian unsigned 32-bit integers, packed."""
-        out, chunks, counts = [], [], []
-
-        def flush():
-            lists = self.ids(chunks)
-            at = np.asarray(lists.offsets, np.int64)
-            flat = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4", copy=False)
-            stop = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
-            bounds = (at - at[0])[stop] if chunks else np.zeros(len(stop), np.int64)
-            out.extend(flat[bounds[i] : bounds[i + 1]].tobytes() for i in range(len(counts)))
-            chunks.clear()
-            counts.clear()
-
-        for text in texts:
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        said = texts.to_pylist()
+        out, tight, loose = [None] * len(said), [], []
+        for i, text in enumerate(said):
             if len(text) > 20 * RUN:
-                flush()
-                rest, runs = (m.group() for m in self.pattern.finditer(text)), []
-                while part := list(islice(rest, RUN)):
-                    runs.append(self.ids(part).flatten().to_numpy(zero_copy_only=False).astype("<u4", copy=False).tobytes())
-                out.append(b"".join(runs))
-                continue
-            found = self.chunks(text)
-            chunks.extend(found)
-            counts.append(len(found))
-            if len(chunks) >= RUN:
-                flush()
-        flush()
+                out[i] = self.long(text)
+            elif self.loose(text):
+                loose.append(i)
+            else:
+                tight.append(i)
+        some = texts if len(tight) == len(said) else texts.take(pa.array(tight, pa.int64()))
+        cut = self.together(pc.split_pattern(pc.replace_substring(some, " ", "\0 "), "\0"))
+        found = self.together(pa.array([self.pattern.findall(said[i]) for i in loose], pa.list_(pa.string())))
+        for i, x in chain(zip(tight, cut, strict=True), zip(loose, found, strict=True)):
+            out[i] = x
         return pa.array(out, pa.binary())
 
     def decode(self, packed: pa.Array) -> pa.Array:
@@ -214,18 +236,33 @@ class ByteBPE:
         return pa.array(out, pa.binary())
 
 
+class Vocabulary:
+    """What goes to the workers. Each worker builds its encoder once and keeps it, memos included, from task to task."""
+
+    def __init__(self, tokens: list[bytes], pattern: str):
+        self.parts, self.made = (tokens, pattern, PerfectHash(tokens)), None
+
+    def __getstate__(self):
+        return {"parts": self.parts, "made": None}
+
+    def encoder(self) -> ByteBPE:
+        if self.made is None:
+            self.made = ByteBPE(*self.parts)
+        return self.made
+
+
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", decode: bool = False, drop_text: bool = True) -> DataFrame:
     """Add n_tokens (long) and ids (packed little-endian unsigned 32-bit integers); with decode also decoded (the bytes
     that the stored ids stand for). The rank file is read by the driver and goes to each worker: it has a fixed size."""
     tokens = read_ranks(path)
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((tokens, pattern, PerfectHash(tokens)))
+    shared = spark.sparkContext.broadcast(Vocabulary(tokens, pattern))
 
     def make():
-        bpe = ByteBPE(*shared.value)
+        bpe = shared.value.encoder()
 
         def f(texts):
-            ids = bpe.encode(texts.to_pylist())
+            ids = bpe.encode(texts)
             n = pc.divide(pc.binary_length(ids), 4).cast(pa.int64())
             return [n, ids, bpe.decode(ids)] if decode else [n, ids]
 
