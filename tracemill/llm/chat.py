@@ -1,13 +1,14 @@
 """Chat formatting by event-sourced reconstruction.
 
-A log has one row for each event of a conversation: `message` opens a message of its turn, `delta` appends to the latest
-one, `edit` and `regenerate` replace its text. Within a turn events are in the order of seq (ties: kind, role, text).
+A log has one row for each event of a conversation: `message` opens a message of its turn, `delta` appends to one, `edit`
+and `regenerate` replace its text. Within a turn events are in the order of seq (ties: kind, role, text). They concern
+the message whose number they carry (column `message`), so earlier ones too; without a number the one opened last.
 Final messages are rendered turn by turn; control strings inside texts and roles are escaped with a backslash, which
 unescaping undoes. Spans of the rendered text that count for the loss are its assistant texts.
 
 Cases: null texts and roles are empty; a null turn or seq comes first; null conversation ids form one conversation; deltas,
 edits and regenerations before any message open one; repeated rows are messages of their own; an empty log gives no rows;
-extra columns are left out. A conversation is one output row, so its rows do meet in one task.
+extra columns are left out, whatever their names. A conversation is one output row, so its rows do meet in one task.
 """
 
 from __future__ import annotations
@@ -34,14 +35,18 @@ def _role(text: Column) -> Column:
 
 
 def fold(events: DataFrame) -> DataFrame:
-    """Final messages conv_id, turn, part (messages of a turn in order), role, text from conv_id, turn, seq, kind, role, text."""
-    rows = events.select("conv_id", "turn", "seq", "kind", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    turn = Window.partitionBy("conv_id", "turn")
-    order = turn.orderBy("seq", "kind", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("part", F.greatest(F.lit(1), F.count_if(F.col("kind") == "message").over(order))).withColumn("_version", F.count_if(F.col("kind") != "delta").over(order))
-    rows = rows.withColumn("_at", F.row_number().over(turn.orderBy("seq", "kind", "role", "text")))
-    per = rows.groupBy("conv_id", "turn", "part", "_version").agg(F.min_by("role", "_at").alias("role"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "text"))), lambda x: x["text"]), "").alias("text"))
-    return per.groupBy("conv_id", "turn", "part").agg(F.min_by("role", "_version").alias("role"), F.max_by("text", "_version").alias("text"))
+    """Final messages conv_id, turn, part (messages of a turn in order), role, text from conv_id, turn, seq, kind, role, text
+    and, if the log numbers the messages of a turn, message."""
+    turn, order = ["conv_id", "turn"], ["seq", "kind", "role", "text"]
+    number = F.col("message").cast("long") if "message" in events.columns else F.lit(None).cast("long")
+    rows = events.select("conv_id", "turn", "seq", "kind", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), number.alias("part"))
+    if "message" not in events.columns or events.where("message is null").take(1):
+        opened = F.greatest(F.lit(1).cast("long"), F.count_if(F.col("kind") == "message").over(Window.partitionBy(*turn).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+        rows = rows.withColumn("part", F.coalesce("part", opened))
+    w = Window.partitionBy(*turn, "part").orderBy(*order)
+    rows = rows.withColumn("_version", F.count_if(F.col("kind") != "delta").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_at", F.row_number().over(w))
+    per = rows.groupBy(*turn, "part", "_version").agg(F.min_by("role", "_at").alias("role"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "text"))), lambda x: x["text"]), "").alias("text"))
+    return per.groupBy(*turn, "part").agg(F.min_by("role", "_version").alias("role"), F.max_by("text", "_version").alias("text"))
 
 
 def render(messages: DataFrame) -> DataFrame:
@@ -79,8 +84,26 @@ def probe(spark: SparkSession) -> DataFrame:
 
 
 def as_events(conversations: DataFrame) -> DataFrame:
-    """Each row of a conversation table as a message event."""
-    return conversations.select("conv_id", "turn", F.col("turn").alias("seq"), F.lit("message").alias("kind"), "role", "text")
+    """The log of a table of final messages, as a chat server would have written it: texts are streamed in two halves; some
+    (by a hash) are drafts first, which a late edit replaces, or which are regenerated and streamed again. fold() undoes it.
+
+    Rows of a turn are numbered by role and text. Only rows are shuffled, once by conversation; all that follows stays there.
+    """
+    rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).repartition("conv_id")
+    rows = rows.withColumn("message", F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text")).cast("long"))
+    half = F.expr("length(text) div 2").cast("int")
+    head, tail, whole, draft = F.left("text", half), F.substring("text", half + 1, F.length("text")), F.col("text"), F.reverse(F.left("text", F.lit(40)))
+    late = F.lit(1 << 32).cast("long")  # behind all that the turn has opened
+    now = F.col("message") * 8
+
+    def log(*steps):
+        return F.array(*(F.struct((late + now + k if kind == "edit" else now + k).alias("seq"), F.lit(kind).alias("kind"), text.alias("text")) for k, (kind, text) in enumerate(steps)))
+
+    plain, edited = log(("message", head), ("delta", tail)), log(("message", draft), ("delta", draft), ("edit", whole))
+    again = log(("message", head), ("delta", draft), ("regenerate", F.lit("")), ("delta", head), ("delta", tail))
+    way = F.pmod(F.xxhash64("conv_id", "turn", "message"), F.lit(4))
+    rows = rows.select("conv_id", "turn", "message", "role", F.explode(F.when(way == 0, edited).when(way == 1, again).otherwise(plain)).alias("e"))
+    return rows.select("conv_id", "turn", "message", "e.seq", "e.kind", F.when(F.col("e.kind") == "message", F.col("role")).alias("role"), "e.text")
 
 
 def digest(rendered: DataFrame) -> DataFrame:

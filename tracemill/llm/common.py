@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Text handed to one vectorised step, in bytes; a longer document makes a slice of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Largest estimated size of a side that may be broadcast.
 BROADCAST_BYTES = 8 << 20
 #: Upper bound of labelled rows that a model is fitted on.
@@ -25,13 +25,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage in the shared folder that the session names; a folder of our own only where it names none."""
+    """Cut lineage in the shared folder that the session names. Where it names none, a session on one machine gets a
+    folder of its own; on a cluster that would be lost with its executor, so there it is an error."""
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp("-checkpoints"))
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp("-checkpoints"))
     return df.checkpoint()
 
 
+def free(columns: Iterable[str], *names: str) -> list[str]:
+    """The names, each with as many underscores behind as keep it apart from the columns (without regard to case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """Hint a broadcast when rows of that width stay below BROADCAST_BYTES; else leave the join to a shuffle."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
@@ -40,14 +56,17 @@ def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
 def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, rows: int = SAMPLE_ROWS, keep=None) -> DataFrame:
     """Documents with a label, as doc_id, text, label: at most `rows` of them, the first by a hash of their id.
 
-    Null ids, null labels and labels other than 0 and 1 are left out; an id with several labels takes the largest.
-    The choice depends on ids alone, so it agrees between runs. A broadcast of the ids is bounded by `rows`.
+    Null ids, null labels and labels other than 0 and 1 are left out; an id with several labels takes the largest, one
+    with several texts the text of the least hash, so an id is one row. The choice depends on ids and texts alone, so it
+    agrees between runs. A broadcast of the ids is bounded by `rows`.
     """
     ids = labels.select(F.col("doc_id").alias("_id"), F.col(target).cast("int").alias("label")).where("_id is not null and label in (0, 1)")
     if keep is not None:
         ids = ids.where(keep(F.col("_id")))
     ids = ids.groupBy("_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("_id"), "_id").limit(rows)
-    return docs.select("doc_id", "text").join(small(ids, rows, 12), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "label")
+    said = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(small(ids, rows, 12), F.col("doc_id") == F.col("_id"))
+    one = said.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("x"))
+    return one.select("doc_id", F.col("x.text").alias("text"), "label")
 
 
 def slices(batch: pa.RecordBatch, text: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -66,7 +85,8 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[pa.Array], list]], add
     added one is replaced."""
     names = {f.name.lower() for f in added}
     kept = [c for c in df.columns if c.lower() not in names and (c != text or not drop_text)]
-    src = df.select(*(F.col(f"`{c}`") for c in kept), F.col(text).cast("string").alias("_text"))
+    (said,) = free(kept, "_text")
+    src = df.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text}`").cast("string").alias(said))
 
     def run(batches):
         f = make()
@@ -76,7 +96,7 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[pa.Array], list]], add
                 texts = pc.fill_null(part.column(at), "")
                 yield pa.RecordBatch.from_arrays([part.column(i) for i in range(at)] + f(texts), names=out.names)
 
-    out = T.StructType([f for f in src.schema if f.name != "_text"] + list(added))
+    out = T.StructType(list(src.schema)[:-1] + list(added))
     return src.mapInArrow(run, out)
 
 

@@ -8,7 +8,8 @@ stays fractional goes up to the next level of a tree over blocks, and the last o
 
 Cases: a null text has size 0 and takes nothing; a null source is a source of its own, the last; sources without words
 have target 0; repeated rows are told apart by a running number and rounded each for itself; an empty table has no
-rows; ids may be null; columns besides id, text and source don't matter.
+rows; ids may be null; columns besides id, text and source don't matter, whatever their names. Targets are ranked in windows
+over one narrow row for each source in one task, which spills: meant for up to some millions of sources.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-BLOCK, CAP, WEIGHTS, SEED = 64, 3, 3, 17
+BLOCK, CAP, WEIGHTS, SEED, STEP = 64, 3, 3, 17, 4096
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -78,6 +79,14 @@ def _fold(rows: DataFrame, level: int) -> DataFrame:
     return rows.select("source", "block", "blocks", F.aggregate("items", start, step).alias("state")).select("source", "block", "blocks", "state.rest", "state.done")
 
 
+def _counted(rows: DataFrame, count: str, name: str) -> DataFrame:
+    """Each row `count` times, with the running number `name` from 1; in two steps, so that no array is longer than STEP."""
+    (step,) = common.free([*rows.columns, name], "_step")
+    rows = rows.where(F.col(count) > 0).withColumn(step, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(count) - 1) / STEP))))
+    last = F.least(F.col(count).cast("long"), (F.col(step) + 1) * STEP)
+    return rows.withColumn(name, F.explode(F.sequence(F.col(step) * STEP + 1, last))).drop(step)
+
+
 def copies(docs: DataFrame, block: int = BLOCK, id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """Rows id, k (1 for the first of repeated rows), source, size, source_size, target, copies."""
     kind = docs.schema[id].dataType
@@ -87,7 +96,8 @@ def copies(docs: DataFrame, block: int = BLOCK, id: str = "doc_id", text: str =
     sources = common.checkpoint(targets(sizes).withColumn("_each", F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0))))
     widths = sources.agg(F.count("*"), F.max("_docs")).first()
     few = common.small(sources.withColumnRenamed("source", "_source"), widths[0], 200)
-    rows = keys.join(few, F.col("source").eqNullSafe(F.col("_source"))).select("id", "source", "size", "source_size", "target", "_docs", F.explode(F.sequence(F.lit(1), F.col("count"))).alias("k"), F.floor("_each").alias("base"), (F.col("_each") - F.floor("_each")).alias("p"))
+    rows = _counted(keys.join(few, F.col("source").eqNullSafe(F.col("_source"))), "count", "k")
+    rows = rows.select("id", "source", "size", "source_size", "target", "_docs", "k", F.floor("_each").alias("base"), (F.col("_each") - F.floor("_each")).alias("p"))
     settled = rows.where("size = 0 or p = 0").select("id", "k", "source", "size", "base", F.when(_draw(-1) < F.col("p"), 1).otherwise(0).alias("bit"))
     blocks = F.ceil(F.col("_docs") / F.lit(block))
     left = rows.where("size > 0 and p > 0").select("source", "id", "k", "size", "base", "p", F.pmod(F.xxhash64("id", "k", F.lit(SEED)), blocks).alias("block"), blocks.alias("blocks"))
@@ -105,16 +115,23 @@ def copies(docs: DataFrame, block: int = BLOCK, id: str = "doc_id", text: str =
 
 
 def mixture(docs: DataFrame, text: str = "text", id: str = "doc_id", source: str = "source", block: int = BLOCK) -> DataFrame:
-    """The documents, each repeated as often as the mix takes it; the columns stay. Rows that agree in id, source and
-    size are told apart by the order of their texts."""
-    plan = copies(docs, block, id, text, source).select(F.col(id).alias("_id"), F.col("k").alias("_k"), F.col(source).alias("_source"), F.col("size").alias("_size"), F.col("copies").alias("_copies"))
-    per = plan.groupBy("_id", "_source", "_size").agg(F.collect_list(F.when(F.col("_copies") > 0, F.struct("_k", "_copies"))).alias("_takes"), F.max("_k").alias("_last")).where(F.size("_takes") > 0)
-    rows = docs.withColumn("_n", word_count(F.col(text)))
-    same = F.col(id).eqNullSafe(F.col("_id")) & F.col(source).eqNullSafe(F.col("_source")) & (F.col("_n") == F.col("_size"))
-    rows = rows.join(per, same)
-    number = F.row_number().over(Window.partitionBy("_id", "_source", "_size").orderBy(F.xxhash64(text)))
-    first = F.aggregate("_takes", F.lit(0).cast("long"), lambda s, x: F.when(x["_k"] == 1, x["_copies"]).otherwise(s))
-    alone = rows.where("_last = 1").withColumn("_take", first)
-    more = rows.where("_last > 1").withColumn("_row", number).withColumn("_take", F.aggregate("_takes", F.lit(0).cast("long"), lambda s, x: F.when(x["_k"] == F.col("_row"), x["_copies"]).otherwise(s))).drop("_row")
-    both = alone.unionByName(more).where("_take > 0")
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_take").cast("int")))).select(*docs.columns)
+    """The documents, each repeated as often as the mix takes it; the columns stay. Documents without words take nothing,
+    so they are left out. Rows that agree in id, source and size are numbered by a hash of all their columns; rows
+    that agree in all of them are interchangeable, so each such class is one row with the copies of all its members."""
+    size, d1, d2, start, k, takes, copy = common.free(docs.columns, "_size", "_d1", "_d2", "_start", "_k", "_takes", "_copy")
+    p_id, p_k, p_source, p_size, p_takes, p_last, p_d1, p_d2, p_copies = common.free(docs.columns, "p_id", "p_k", "p_source", "p_size", "p_takes", "p_last", "p_d1", "p_d2", "p_copies")
+    key = [id, source, size]
+    plan = copies(docs, block, id, text, source).where("size > 0").select(F.col(id).alias(p_id), F.col("k").alias(p_k), F.col(source).alias(p_source), F.col("size").alias(p_size), F.col("copies").alias(p_copies))
+    per = plan.groupBy(p_id, p_source, p_size).agg(F.sum(p_copies).alias(p_takes), F.max(p_k).alias(p_last))
+    same = F.col(id).eqNullSafe(F.col(p_id)) & F.col(source).eqNullSafe(F.col(p_source)) & (F.col(size) == F.col(p_size))
+    rows = docs.withColumn(size, word_count(F.col(text)))
+    alone = rows.join(per.where((F.col(p_last) == 1) & (F.col(p_takes) > 0)), same).select(*docs.columns, F.col(p_takes).alias(takes))
+    more = rows.join(per.where((F.col(p_last) > 1) & (F.col(p_takes) > 0)), same).select(*rows.columns).withColumn(d1, F.xxhash64(*docs.columns)).withColumn(d2, F.hash(*docs.columns))
+    # numbers of the members of each class: narrow rows, a class once
+    classes = more.groupBy(*key, d1, d2).agg(F.count("*").alias(takes))
+    before = Window.partitionBy(*key).orderBy(d1, d2).rowsBetween(Window.unboundedPreceding, -1)
+    members = _counted(classes.withColumn(start, F.coalesce(F.sum(takes).over(before), F.lit(0))), takes, k).withColumn(k, F.col(k) + F.col(start)).drop(takes, start)
+    taken = members.join(plan.where(F.col(p_copies) > 0), same & (F.col(k) == F.col(p_k))).groupBy(*key, d1, d2).agg(F.sum(p_copies).alias(takes))
+    taken = taken.select(F.col(id).alias(p_id), F.col(source).alias(p_source), F.col(size).alias(p_size), F.col(d1).alias(p_d1), F.col(d2).alias(p_d2), takes)
+    more = more.dropDuplicates([*key, d1, d2]).join(taken, same & (F.col(d1) == F.col(p_d1)) & (F.col(d2) == F.col(p_d2))).select(*docs.columns, takes)
+    return _counted(alone.unionByName(more), takes, copy).select(*docs.columns)

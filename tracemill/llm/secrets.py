@@ -2,12 +2,13 @@
 
 Candidates are long runs of key characters with a digit, shorter ones right behind NAME=, and quoted values behind an equals
 sign or colon. An equals sign ends a run, but for padding; if the name of a value is a candidate itself, it counts as text
-before the value too. Their features are length, shares and changes of character classes, the share covered by dictionary words, whether they
-stand in a path, and the words around. Spark ML trains the forest on labelled findings; its trees are compiled into one
+before the value too. Their features are length, shares and changes of character classes, the share of letter pairs that words have, the share
+covered by dictionary words, whether they stand in a path, and the words around. Spark ML trains the forest on labelled findings; its trees are compiled into one
 conditional expression, so a scan is a projection over the text without a shuffle.
 
-Cases: a null or empty text has no candidates; any number of candidates of a text is judged in place; repeated rows have
-equal results; empty tables have none; columns stay, but those named like an output are replaced.
+Cases: a null or empty text has no candidates; any number of candidates of a text, equal ones too, is judged each in its place;
+repeated rows have equal results; a score at the threshold is a secret; empty tables have none; redact() keeps all columns,
+whatever their names, and scan() the id alone.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import common
+
 FINDINGS, TREES, DEPTH, SEED, THRESHOLD, MASK = 4000, 24, 6, 29, 0.5, "[SECRET]"
 #: What candidates look like, and a quick test for texts that may have one.
 _RUN = "A-Za-z0-9+/_-"
@@ -29,6 +32,9 @@ SIGN = "^[:=] {0,2}[\"']?$"
 DICTIONARY = "about account after agent build button class color content data date default document download email example file first float format guide header height home html http image index info install issue item label large last line link list local login mail main manual media menu message model module month name news note number object order page photo picture post price print product profile project public query release report sample script search section server service size small source standard start state static status store style summary system table test text thumb time title type update user value version video view width window world year"
 SECRET_WORDS = r"(?i)(?:key|token|secret|passw|pwd|auth|credential|bearer|private|access)"
 OTHER_WORDS = r"(?i)(?:sha|commit|hash|md5|checksum|digest|uuid|guid|etag|build|order|isbn|phone|image|revision|base64|see|page)"
+#: Pairs of letters that the dictionary holds, as a pattern that matches in front of each.
+_PAIRS = {a: "".join(sorted({w[i + 1] for w in DICTIONARY.split() for i in range(len(w) - 1) if w[i] == a})) for a in "abcdefghijklmnopqrstuvwxyz"}
+USUAL = "(?=" + "|".join(f"{a}[{b}]" for a, b in _PAIRS.items() if b) + ")"
 KNOWN = r"^(?:AKIA|ASIA|gh[pousr]_|xox[abprs]-|sk[-_]|AIza|glpat-|eyJ)"
 
 
@@ -41,15 +47,16 @@ def features(c: Column, before: Column, after: Column) -> dict[str, Column]:
     return {
         "length": size, "digits": share("[0-9]"), "upper": share("[A-Z]"), "lower": share("[a-z]"), "vowels": share("[aeiouAEIOU]"),
         "changes": (F.regexp_count(c, F.lit("[a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9]+")) - 1) / size, "distinct": F.size(F.array_distinct(F.split(c, ""))) / F.least(size, F.lit(64.0)),
-        "covered": 1 - F.length(rest) / size, "marks": share("[-/_.]"), "hex": flag(c.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")), "uuid": flag(c.rlike("^[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}$")), "known": flag(c.rlike(KNOWN)),
+        "usual": F.regexp_count(F.lower(c), F.lit(USUAL)) / size, "covered": 1 - F.length(rest) / size, "marks": share("[-/_.]"), "hex": flag(c.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")), "uuid": flag(c.rlike("^[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}$")), "known": flag(c.rlike(KNOWN)),
         "path": flag(before.rlike(r"(?:[/@.#?&]|://[^\s]*)$") | c.contains("/") & after.rlike(r"^\.[a-z]")), "assigned": flag(before.rlike("[:=]\\s*[\"']?$")), "quoted": flag(before.rlike("[\"']$") & after.rlike("^[\"']")),
         "secret_word": flag(F.right(before, F.lit(28)).rlike(SECRET_WORDS)), "other_word": flag(F.right(before, F.lit(28)).rlike(OTHER_WORDS)),
     }
 
 
-def labelled_findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
+def labelled_findings(spark: SparkSession, rows: int = FINDINGS, without: tuple[int, ...] = (), only: tuple[int, ...] = ()) -> DataFrame:
     """A table before, candidate, after, label (1: a secret) made from seeded hashes: keys of common forms in
-    assignments and headers; and commits, checksums, identifiers, paths, dates, data and plain words that look like them."""
+    assignments and headers; and commits, checksums, identifiers, paths, dates, data and plain words that look like them.
+    without, only: numbers of the forms to leave out or to take alone, so that a forest can be tried on forms it never saw."""
     base = spark.range(0, rows, 1, 4)
     hexes = F.sha2(F.concat(F.lit(f"{SEED}:"), F.col("id").cast("string")), 256)
     raw = F.base64(F.unhex(F.concat(hexes, F.sha2(hexes, 256))))
@@ -72,6 +79,7 @@ def labelled_findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
         (F.lit("on "), F.concat(F.lit("2024-01-1"), digits(1), F.lit("T10-2"), digits(1), F.lit("-"), digits(2)), empty, 0), (F.lit('src="/'), F.concat(F.lit("static/"), word(7), F.lit("/"), word(8), F.lit("-"), digits(5)), F.lit(".png"), 0), (F.concat(word(9), F.lit(' = "')), F.concat(word(7), F.lit("-"), word(8)), F.lit('"'), 0),
         (F.lit("order "), digits(18), F.lit("."), 0), (F.lit("data:image/png;base64,"), raw, empty, 0), (F.concat(word(8), F.lit(": ")), F.concat(word(5), word(6), digits(3), word(7)), empty, 0), (F.lit(" mail to 12@"), F.concat(word(5), digits(1), F.lit("-"), word(6), F.lit("-"), word(7)), F.lit(".com"), 0), (F.concat(word(3), F.lit(" ")), F.concat(F.lit("v1-"), digits(9), F.lit("-"), word(8)), F.lit(" "), 0),
     ]
+    cases = [x for k, x in enumerate(cases) if k not in without and (not only or k in only)]
     out = F.lit(None).cast("struct<before:string,candidate:string,after:string,label:double>")
     for k, (before, candidate, after, label) in enumerate(cases):
         out = F.when(F.col("id") % len(cases) == k, F.struct(before.alias("before"), candidate.alias("candidate"), after.alias("after"), F.lit(float(label)).alias("label"))).otherwise(out)
@@ -96,27 +104,32 @@ def fit(findings: DataFrame, trees: int = TREES, depth: int = DEPTH) -> str:
     return "(" + " + ".join(_tree(t._java_obj.rootNode(), names) for t in forest.trees) + f") / {trees}D"
 
 
-def scanned(docs: DataFrame, forest: str, text: str = "text") -> DataFrame:
-    """Add _parts (the text between candidates) and findings: array of candidate and score."""
-    hit = F.coalesce(F.col(text).rlike(MAYBE), F.lit(False))
-    rows = docs.drop("findings").withColumn("_parts", F.when(hit, F.split(text, CANDIDATE))).withColumn("_found", F.when(hit, F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))))
-    part = lambda i: F.get("_parts", i)
-    before = lambda i: F.when((i > 0) & part(i).rlike(SIGN), F.concat(F.get("_found", i - 1), part(i))).otherwise(part(i))
+def scanned(docs: DataFrame, forest: str, text: str = "text", parts: str = "_parts") -> DataFrame:
+    """Add findings (array of candidate and score) and the column named by `parts`, the text between candidates."""
+    found, numbers, scores = common.free([*docs.columns, parts], "_found", "_numbers", "_scores")
+    said = F.col(f"`{text}`")
+    hit = F.coalesce(said.rlike(MAYBE), F.lit(False))
+    rows = docs.drop("findings").withColumn(parts, F.when(hit, F.split(said, CANDIDATE))).withColumn(found, F.when(hit, F.regexp_extract_all(said, F.lit(CANDIDATE), F.lit(0))))
+    part = lambda i: F.get(parts, i)
+    before = lambda i: F.when((i > 0) & part(i).rlike(SIGN), F.concat(F.get(found, i - 1), part(i))).otherwise(part(i))
     around = lambda c, i: F.struct(c.alias("c"), F.right(before(i), F.lit(48)).alias("b"), F.left(part(i + 1), F.lit(8)).alias("a"))
-    rows = rows.withColumn("_found", F.transform("_found", around))
-    rows = rows.withColumn("_features", F.transform("_found", lambda x: F.struct(*(c.alias(k) for k, c in features(x["c"], x["b"], x["a"]).items()))))
-    rows = rows.withColumn("_scores", F.expr(f"transform(_features, f -> {forest})"))
-    return rows.withColumn("findings", F.zip_with("_found", "_scores", lambda x, s: F.struct(x["c"].alias("candidate"), s.alias("score")))).drop("_found", "_features", "_scores")
+    rows = rows.withColumn(found, F.transform(found, around))
+    rows = rows.withColumn(numbers, F.transform(found, lambda x: F.struct(*(c.alias(k) for k, c in features(x["c"], x["b"], x["a"]).items()))))
+    rows = rows.withColumn(scores, F.expr(f"transform({numbers}, f -> {forest})"))
+    return rows.withColumn("findings", F.zip_with(found, scores, lambda x, s: F.struct(x["c"].alias("candidate"), s.alias("score")))).drop(found, numbers, scores)
 
 
 def scan(docs: DataFrame, forest: str, id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row for each candidate: id, ordinal (its number in the text), candidate, score, is_secret."""
-    rows = scanned(docs.select(id, text), forest, text).select(id, F.posexplode("findings").alias("ordinal", "x"))
-    return rows.select(id, "ordinal", F.col("x.candidate").alias("candidate"), F.col("x.score").alias("score"), (F.col("x.score") >= threshold).alias("is_secret"))
+    rows = scanned(docs.select(F.col(f"`{id}`").alias("_id"), F.col(f"`{text}`").alias("text")), forest).select("_id", F.posexplode("findings").alias("ordinal", "x"))
+    return rows.select(F.col("_id").alias(id), "ordinal", F.col("x.candidate").alias("candidate"), F.col("x.score").alias("score"), (F.col("x.score") >= threshold).alias("is_secret"))
 
 
 def redact(docs: DataFrame, forest: str, text: str = "text", threshold: float = THRESHOLD, mask: str = MASK) -> DataFrame:
-    """The documents with each secret in the text replaced by the mask; all else, null texts too, stays."""
-    said = F.transform("findings", lambda x: F.when(x["score"] >= threshold, F.lit(mask)).otherwise(x["candidate"]))
-    whole = F.array_join(F.flatten(F.zip_with("_parts", said, lambda p, s: F.array(p, F.coalesce(s, F.lit(""))))), "")
-    return scanned(docs, forest, text).withColumn(text, F.when(F.size("findings") > 0, whole).otherwise(F.col(text))).select(*docs.columns)
+    """The documents with each secret in the text replaced by the mask; all else, null texts and all other columns, stays."""
+    said, parts, clean = common.free([*docs.columns, "findings"], "_said", "_parts", "_clean")
+    found = scanned(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{text}`").alias(said)), forest, said, parts)
+    masked = F.transform("findings", lambda x: F.when(x["score"] >= threshold, F.lit(mask)).otherwise(x["candidate"]))
+    whole = F.array_join(F.flatten(F.zip_with(parts, masked, lambda p, s: F.array(p, F.coalesce(s, F.lit(""))))), "")
+    rows = found.withColumn(clean, F.when(F.size("findings") > 0, whole).otherwise(F.col(said)))
+    return rows.select(*(F.col(clean).alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns))

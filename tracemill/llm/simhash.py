@@ -2,19 +2,23 @@
 
 A fingerprint of 64 bits is cut into three segments of at most 23 bits. The binary Golay code is perfect: each segment
 has exactly one codeword within three bits, and those at exactly three have five more at four bits. Two segments that
-differ in one bit at most therefore share a key if one gives the nearest codeword and the other all within four bits. Of
-two fingerprints that differ in three bits, the two closest segments differ in one bit each at most; so the keys are
-pairs of codeword numbers for each two segments. One side emits its nearest pair, the other all pairs; they join,
-and a comparison of all 64 bits decides. Components of the links come from alternating large and small stars.
+differ in one bit at most therefore share a codeword if one side gives the nearest and the other all within four bits.
+
+Of two fingerprints that differ in at most three bits either two segments are equal, or one is equal and another differs
+in one bit, or each differs in one. So there are three kinds of keys: two whole segments; a whole segment and a codeword
+of another; a codeword of each segment. Keys have 33 bits at least, so N fingerprints meet about N * N / 1.7e8 others by
+chance. Which side gives all codewords of a segment is dealt out so that both sides have few keys (27 and 51). A
+comparison of all 64 bits decides. Components of the links come from alternating large and small stars.
 
 Cases: null and empty texts have fingerprint zero and link to each other; repeated rows and equal texts share a
 fingerprint, so they are expanded only in the last join; null ids take part in links but never name a component (a
-component of null ids alone has a null name); an empty table has no rows; texts of any length are read whole.
+component of null ids alone has a null name); an empty table has no rows; texts of any length are read whole; other
+columns, whatever their names, stay or are left out as the functions say.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
+from itertools import combinations, permutations
 
 import numpy as np
 import pyarrow as pa
@@ -94,24 +98,39 @@ def golay() -> np.ndarray:
     return table
 
 
-def pair_keys(fps: np.ndarray, table: np.ndarray, wide: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Positions in fps and their keys; wide: all codewords within four bits, else the nearest alone."""
-    numbers = []
+def codewords(fps: np.ndarray, table: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Each segment, and the numbers (12 bits) of its codewords within four bits, the nearest first; -1 where there are fewer."""
+    segments, numbers = [], []
     for width, place in SEGMENTS:
         segment = (fps >> np.uint64(place)).astype(np.int64) & (1 << width) - 1
-        errors = table[_syndrome(segment)][:, : 6 if wide else 1]
+        errors = table[_syndrome(segment)]
+        segments.append(segment)
         numbers.append(np.where(errors < 0, -1, (segment[:, None] ^ errors) >> 11))
-    rows, keys = [], []
-    for k, (i, j) in enumerate(combinations(range(3), 2)):
-        a, b = numbers[i][:, :, None], numbers[j][:, None, :]
-        key = np.where((a < 0) | (b < 0), -1, k << 24 | a << 12 | b).reshape(len(fps), -1)
-        at = np.nonzero(key >= 0)
+    return segments, numbers
+
+
+def keys(fps: np.ndarray, table: np.ndarray, one: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Positions in fps and their keys: the kind from bit 48 on, below it segments and codeword numbers. Side `one` gives all
+    codewords of a segment where the other side gives the nearest, and the reverse."""
+    segments, numbers = codewords(fps, table)
+    whole = lambda i: (segments[i][:, None], 22)
+    code = lambda j, every: (numbers[j] if every else numbers[j][:, :1], 12)
+    kinds = [(whole(i), whole(j)) for i, j in combinations(range(3), 2)]
+    kinds += [(whole(i), code(j, one == (i < j))) for i, j in permutations(range(3), 2)]
+    kinds.append(tuple(code(j, one == (j == 0)) for j in range(3)))
+    rows, out = [], []
+    for kind, parts in enumerate(kinds):
+        key, ok = np.zeros((len(fps), 1), np.int64), np.ones((len(fps), 1), bool)
+        for values, width in parts:
+            key = (key[:, :, None] << width | np.maximum(values, 0)[:, None, :]).reshape(len(fps), -1)
+            ok = (ok[:, :, None] & (values >= 0)[:, None, :]).reshape(len(fps), -1)
+        at = np.nonzero(ok)
         rows.append(at[0])
-        keys.append(key[at])
-    return np.concatenate(rows), np.concatenate(keys)
+        out.append(key[at] | kind << 48)
+    return np.concatenate(rows), np.concatenate(out)
 
 
-def keyed(fps: DataFrame, wide: bool, name: str) -> DataFrame:
+def keyed(fps: DataFrame, one: bool, name: str) -> DataFrame:
     """Rows key, name for distinct fingerprints in column fp."""
     def run(batches):
         table = golay()
@@ -119,10 +138,10 @@ def keyed(fps: DataFrame, wide: bool, name: str) -> DataFrame:
             x = batch.column(0).to_numpy(zero_copy_only=False)
             for i in range(0, len(x), RUN):
                 part = x[i : i + RUN]
-                at, key = pair_keys(part.view(np.uint64), table, wide)
-                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), pa.array(part[at])], names=["key", name])
+                at, key = keys(part.view(np.uint64), table, one)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part[at])], names=["key", name])
 
-    return fps.select("fp").mapInArrow(run, f"key int, {name} long")
+    return fps.select("fp").mapInArrow(run, f"key long, {name} long")
 
 
 def links(fps: DataFrame) -> DataFrame:
@@ -139,6 +158,7 @@ def components(edges: DataFrame) -> DataFrame:
     def stars(df, large):
         ends = df.unionByName(df.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else df.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = ends.groupBy(F.col("a").alias("_a")).agg(F.min("b").alias("m")).withColumn("m", F.least("m", "_a"))
+        least = common.checkpoint(least)  # by itself, so that the join may split a vertex with very many links
         moved = ends.join(least, F.col("a") == F.col("_a"))
         if large:
             out = moved.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -161,21 +181,23 @@ def _grouped(docs: DataFrame, id: str, text: str, *more: str) -> DataFrame:
     n = fps.count()
     roots = components(links(fps))
     rooted = common.checkpoint(fps.join(roots, F.col("fp") == F.col("v"), "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")))
-    names = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = rooted.select(F.col("fp").alias("_fp"), "root").join(names, "root").select("_fp", "root", "component_id")
+    names = common.checkpoint(rooted.groupBy("root").agg(F.min("rep").alias("component_id")))  # so that the join may split a giant component
+    named = common.checkpoint(rooted.select(F.col("fp").alias("_fp"), "root").join(names, "root").select("_fp", "root", "component_id"))
     return prints.join(common.small(named, n, 32), F.col("fp") == F.col("_fp")).select(id, *more, "fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows id, fp, component_id (the smallest id that links reach)."""
-    return _grouped(docs, id, text).select(id, "fp", "component_id")
+    """Rows id, fp, component_id (the smallest id that links reach). Other columns are left out."""
+    return _grouped(docs.select(F.col(f"`{id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), "doc_id", "text").select(F.col("doc_id").alias(id), "fp", "component_id")
 
 
 def representatives(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each component: one with the smallest id, or with a null id if it has no other. Columns stay.
     Of several such rows that with the least hash of its text stays; rows of equal id and text are repeats, and any one stays."""
-    key = {"_h": F.xxhash64(text), "_g": F.hash(text)}
-    rows = _grouped(docs.withColumns(key), id, text, *key).where(F.col(id).eqNullSafe(F.col("component_id")))
-    found = rows.groupBy("root").agg(F.min(F.struct(F.col(id).alias("_id"), *key)).alias("x")).select(*(F.col(f"x.{c}").alias(f"_{c}") for c in ("_id", *key)))
-    same = F.col(id).eqNullSafe(F.col("__id")) & (F.col("_h") == F.col("__h")) & (F.col("_g") == F.col("__g"))
-    return docs.withColumns(key).join(found, same).dropDuplicates([id, *key]).select(*docs.columns)
+    h, g, p_id, p_h, p_g = common.free(docs.columns, "_h", "_g", "p_id", "p_h", "p_g")
+    plain = docs.select(F.col(f"`{id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.xxhash64(text).alias("h"), F.hash(text).alias("g"))
+    rows = _grouped(plain, "doc_id", "text", "h", "g").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    found = rows.groupBy("root").agg(F.min(F.struct("doc_id", "h", "g")).alias("x")).select(F.col("x.doc_id").alias(p_id), F.col("x.h").alias(p_h), F.col("x.g").alias(p_g))
+    mine = docs.withColumns({h: F.xxhash64(text), g: F.hash(text)})
+    same = F.col(f"`{id}`").eqNullSafe(F.col(p_id)) & (F.col(h) == F.col(p_h)) & (F.col(g) == F.col(p_g))
+    return mine.join(found, same).dropDuplicates([id, h, g]).select(*(F.col(f"`{c}`") for c in docs.columns))

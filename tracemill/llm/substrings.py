@@ -3,16 +3,20 @@
 Level one looks at windows of half the target length. Of the half windows inside each target window only the one with
 the least hash is an anchor: equal target windows have equal anchors, so a target window can repeat only if its anchor
 does. Anchors that occur in one document alone go; around the others windows of twice the length are formed, and
-those that another document holds survive. Exact copies of a text are decided by the text's digest beforehand.
+those that another document holds survive. They decide what is removed. From there on two surviving windows that follow
+each other make a candidate of twice the length, until no candidates survive: that tells how long the repeated passages
+are. Exact copies of a text are decided by the text's digest beforehand.
 
 Cases: a null text has no words; a text shorter than the window loses nothing; rows with a null id lose nothing and
 remove nothing; repeated rows (equal id and text) don't remove each other; an empty table has no rows; a very long
-text is hashed whole, in arrays of eight bytes a word.
+text is hashed whole, in arrays of eight bytes a word; columns besides doc_id and text are left out, whatever their names;
+of an id that has several texts, `longest` holds for all of them together.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -173,47 +177,70 @@ def reduced(docs: DataFrame, window: int) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "starts").mapInArrow(run, "doc_id long, n_removed long, kept_text string")
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Rows doc_id, n_words, n_removed, kept_text (null where nothing or everything goes), kept_sha256."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    survey = common.checkpoint(surveyed(docs, window))
-    reps = survey.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))  # of exact copies the first alone is looked at
+def repeated(docs: DataFrame, survey: DataFrame, window: int, reps: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The texts that may hold repeated windows, and these windows: doc_id, start, h1, h2, first (the smallest id that holds
+    the same). reps: the ids (rep) that are looked at; else all."""
     # level one: anchors that at least two different texts hold
     marks = survey.where("doc_id is not null").select("doc_id", "d1", F.explode(F.arrays_zip("hashes", "places")).alias("x")).select("doc_id", "d1", F.col("x.hashes").alias("h"), F.col("x.places").alias("place"))
-    again = marks.groupBy(F.col("h").alias("_h")).agg(F.min("d1").alias("_a"), F.max("d1").alias("_b")).where("_a < _b").select("_h")
+    by = "d1" if reps is not None else "doc_id"
+    again = marks.groupBy(F.col("h").alias("_h")).agg(F.min(by).alias("_a"), F.max(by).alias("_b")).where("_a < _b").select("_h")
     again = common.checkpoint(again)  # by itself, so that the join may split a hot anchor
     places = marks.drop("d1").join(again, F.col("h") == F.col("_h")).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("place").alias("places"))
-    places = common.checkpoint(places.join(reps.select("rep"), F.col("_id") == F.col("rep"), "left_semi"))
+    places = common.checkpoint(places if reps is None else places.join(reps, F.col("_id") == F.col("rep"), "left_semi"))
     # level two: windows of twice the length around them, without a copy of them on disk
     texts = among(docs, places)
     windows = extended(texts.join(places, F.col("doc_id") == F.col("_id")), window)
-    held = windows.groupBy(F.col("h1").alias("_h1"), F.col("h2").alias("_h2")).agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).where("_a < _b").drop("_b")
-    held = common.checkpoint(held)
-    same = (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")) & (F.col("doc_id") > F.col("_a"))
-    starts = common.checkpoint(windows.join(held, same).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("start").alias("starts")))
+    return texts, _held(windows)
+
+
+def _held(windows: DataFrame) -> DataFrame:
+    """Of windows doc_id, start, h1, h2 those that two documents hold, with the smaller id as `first`."""
+    held = windows.groupBy(F.col("h1").alias("_h1"), F.col("h2").alias("_h2")).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("_b")).where("first < _b").drop("_b")
+    held = common.checkpoint(held)  # by itself, so that the join may split a hot window
+    return common.checkpoint(windows.join(held, (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2"))).drop("_h1", "_h2"))
+
+
+def doubled(found: DataFrame, length: int) -> Iterator[tuple[int, DataFrame]]:
+    """The repeated windows of `length` words, and of twice, four times ... as many until none is left. A window of twice
+    the length is made of two that follow each other, and so is its hash."""
+    found = found.distinct()
+    while not found.isEmpty():
+        yield length, found
+        tail = found.select(F.col("doc_id").alias("_id"), (F.col("start") - length).alias("_at"), F.col("h1").alias("_g1"), F.col("h2").alias("_g2"))
+        both = found.join(tail, (F.col("doc_id") == F.col("_id")) & (F.col("start") == F.col("_at")))
+        four = [F.col(c) for c in ("h1", "h2", "_g1", "_g2")]
+        found, length = _held(both.select("doc_id", "start", F.xxhash64(*four).alias("h1"), F.hash(*four).alias("h2"))), 2 * length
+
+
+def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Rows doc_id, n_words, n_removed, kept_text (null where nothing or everything goes), kept_sha256, longest (the largest
+    doubled length of which a window of the document also starts in a document with a smaller id; null: none)."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    survey = common.checkpoint(surveyed(docs, window))
+    # of exact copies the first alone is looked at; digests of one row need no join, and a hot one can be split
+    copied = common.checkpoint(survey.groupBy(F.col("d1").alias("_d1"), F.col("d2").alias("_d2")).agg(F.min("doc_id").alias("rep"), F.count("*").alias("_n")).where("_n > 1").drop("_n"))
+    rows = survey.drop("hashes", "places").join(copied, (F.col("d1") == F.col("_d1")) & (F.col("d2") == F.col("_d2")), "left")
+    rows = common.checkpoint(rows.select("doc_id", "n_words", "whole", F.coalesce("rep", "doc_id").alias("rep")))
+    texts, found = repeated(docs, survey, window, rows.where("doc_id = rep").select("rep"))
+    starts = common.checkpoint(found.where("doc_id > first").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("start").alias("starts")))
     cut = reduced(texts.join(starts, F.col("doc_id") == F.col("_id")), window).select(F.col("doc_id").alias("_id"), "n_removed", "kept_text", F.sha2("kept_text", 256).alias("_sha")).dropDuplicates(["_id", "_sha"])
-    survey = survey.drop("hashes", "places").join(reps.select(F.col("d1").alias("_d1"), F.col("d2").alias("_d2"), "rep"), (F.col("d1") == F.col("_d1")) & (F.col("d2") == F.col("_d2"))).drop("_d1", "_d2")
-    rows = survey.join(cut, F.col("doc_id") == F.col("_id"), "left")
+    # further levels, until no candidates survive
+    reach = docs.sparkSession.createDataFrame([], "_doc long, longest long")
+    for length, level in doubled(found, window):
+        reach = reach.unionByName(level.where("doc_id > first").select(F.col("doc_id").alias("_doc"), F.lit(length).cast("long").alias("longest")).distinct())
+    reach = reach.groupBy("_doc").agg(F.max("longest").alias("_longest"))
+    rows = rows.join(cut, F.col("doc_id") == F.col("_id"), "left").join(reach, F.col("doc_id") == F.col("_doc"), "left")
     copy = (F.col("doc_id") > F.col("rep")) & (F.col("n_words") >= window)
+    all_of_it = F.lit(window) * F.expr(f"shiftleft(1L, length(bin(n_words div {window})) - 1)")  # of a copy: the largest that fits
     return rows.select(
         "doc_id", "n_words", F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"), "kept_text",
-        F.when(copy, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("_sha", "whole")).alias("kept_sha256"),
+        F.when(copy, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("_sha", "whole")).alias("kept_sha256"), F.when(copy, all_of_it).otherwise(F.col("_longest")).alias("longest"),
     )
 
 
-def levels(docs: DataFrame, start: int = WINDOW // 2, most: int = 1 << 20) -> list[tuple[int, int]]:
-    """Window lengths from `start`, doubled as long as windows repeat between documents, with the number of distinct
-    anchors of that length that do. The anchors of each length are looked for in the documents that the length before left."""
+def levels(docs: DataFrame, start: int = WINDOW // 2) -> list[tuple[int, int]]:
+    """Window lengths from `start`, doubled as long as windows repeat between documents, with the number of distinct windows
+    of that length that do."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found, length = [], start
-    while length <= most:
-        marks = surveyed(docs, 2 * length).where("doc_id is not null").select("doc_id", F.explode("hashes").alias("h"))
-        again = marks.groupBy(F.col("h").alias("_h")).agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).where("_a < _b").select("_h")
-        held = common.checkpoint(marks.join(again, F.col("h") == F.col("_h")).select("doc_id", "h"))
-        n = held.select("h").distinct().count()
-        if not n:
-            break
-        found.append((length, n))
-        docs = docs.join(held.select(F.col("doc_id").alias("_id")).distinct(), F.col("doc_id") == F.col("_id"), "left_semi")
-        length *= 2
-    return found
+    _, found = repeated(docs, common.checkpoint(surveyed(docs, start)), start)
+    return [(length, level.select("h1", "h2").distinct().count()) for length, level in doubled(found, start)]

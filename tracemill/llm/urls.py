@@ -1,13 +1,14 @@
 """URL filters: a list of host and path rules, and association rules mined from the urls that the list judges.
 
 A url becomes a set of tokens: its host labels, path segments and parameter names, digits replaced by #. FP-growth over
-a bounded sample of labelled urls, their label among the tokens, gives rules from token combinations to a label. Rules
-below the confidence or support limit go, and so does a rule if one with a token less is as sure. An inverted index
+a bounded sample of labelled urls, their label among the tokens, gives rules from token combinations to a label; of tokens
+that always stand together one is mined. Rules below the confidence or support limit go, and so does a rule if one with a token less is as sure. An inverted index
 holds each rule under its rarest token; distinct token sets look their tokens up there, and a rule fires if the set
 has all its tokens. The surest rule decides (then the longer, the better supported, block before allow); without one a url is allowed.
 
 Cases: a null url, or one without ://, has an empty host and path and is judged by the method, which allows it; repeated rows
-have equal results; an empty table, or no labelled url, mines no rules; very long urls are read whole; other columns are left out.
+have equal results; an empty table, or no labelled url, mines no rules; very long urls are read whole, all their tokens; other columns are left
+out, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SAMPLE_ROWS, MIN_SUPPORT, MIN_CONFIDENCE, ITEMS = 20_000, 0.01, 0.8, 12
+SAMPLE_ROWS, MIN_SUPPORT, MIN_CONFIDENCE = 20_000, 0.01, 0.8
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BLOCK, ALLOW = "=block", "=allow"
 
@@ -48,10 +49,20 @@ def tokens(host: Column, path: Column, url: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(found, lambda x: F.length(x) > 2)))
 
 
+def leading(labelled: DataFrame, min_support: float) -> list[str]:
+    """The tokens to mine: those with enough support, and of tokens that stand in the very same token sets the first alone,
+    for the others give the same rules once more. Each has a share of all rows, so they are few."""
+    h = F.pmod(F.xxhash64("tokens"), F.lit(1 << 46))
+    per = labelled.select(F.explode("tokens").alias("token"), h.alias("h")).groupBy("token").agg(F.count("*").alias("n"), F.sum("h").alias("where"))
+    often = per.join(labelled.agg((F.count("*") * F.lit(min_support)).alias("least")), F.col("n") >= F.col("least"))
+    return sorted(r.token for r in often.groupBy("n", "where").agg(F.min("token").alias("token")).select("token").collect())
+
+
 def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """Rules anchor, needs, verdict, confidence, support from rows tokens, verdict of bounded number."""
-    # the last tokens of very many are left out of the mining, for subsets double with each
-    items = labelled.select(F.concat(F.slice("tokens", 1, ITEMS), F.array(F.concat(F.lit("="), "verdict"))).alias("items"))
+    labelled = common.checkpoint(labelled.select("tokens", "verdict"))
+    known = F.array(*map(F.lit, leading(labelled, min_support))).cast("array<string>")
+    items = labelled.select(F.concat(F.array_intersect("tokens", known), F.array(F.concat(F.lit("="), "verdict"))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
     goal = F.col("consequent")[0]
     rules = model.associationRules.where(goal.isin(BLOCK, ALLOW) & ~F.arrays_overlap("antecedent", F.array(F.lit(BLOCK), F.lit(ALLOW)))).select(F.array_sort("antecedent").alias("needs"), F.substr(goal, F.lit(2)).alias("verdict"), "confidence", "support")
