@@ -6,7 +6,9 @@ neighbours are peaks, and each peak is paired with the peaks of the next frames.
 two bins, their distance and the frame where it begins, so the array is ordered in time.
 
 Cases: a null text is an empty one, whose payload is 64 zero bytes; equal texts give equal values; for the transform alone
-a payload is padded with silence until whole frames cover it; a very long text is transformed in runs of frames.
+a payload is padded with silence until whole frames cover it; a very long text is transformed in runs of frames; of bins of
+equal strength the lower one is the peak; repeated rows have equal results; an empty table has no rows; all columns but the
+text stay, those with the name of an output are replaced.
 """
 
 from __future__ import annotations

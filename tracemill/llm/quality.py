@@ -5,7 +5,9 @@ conjunction of thresholds for the low-quality class by FOIL gain, prunes it on a
 removes what it covers, until a rule falls below MIN_PRECISION. The list is emitted as one ordered Spark conditional expression.
 
 Cases: a null or text without words has all statistics 0; a ratio without words is 0; without labelled rows of both
-classes the list is empty and keeps everything; repeated rows have equal results; texts of any length are read whole.
+classes the list is empty and keeps what the base keeps; repeated rows have equal results; texts of any length are read whole;
+of conditions with equal gain the first in the order of the statistics and cuts is taken; an empty table has no rows; all
+columns but the text stay, those with the name of an output are replaced.
 """
 
 from __future__ import annotations

@@ -6,7 +6,9 @@ places. Training goes through a bounded sample of labelled documents, EPOCHS tim
 ids, in one task; per-coordinate rates and L1 leave few weights, which are broadcast.
 
 Cases: a null or empty text has no features, so its score is that of the bias; ids, languages and sources are never
-inputs; without labelled rows all scores are 0.5; repeated rows count as often as they stand in the sample; any length is scored whole.
+inputs; without labelled rows all scores are 0.5; an id is one row of the sample, however often it stands in the table; a score
+at the threshold is predicted 1; any length is scored whole; an empty table has no rows; all columns but the text stay, those
+with the name of an output are replaced. A null id is not held out, nor does it lend a label.
 """
 
 from __future__ import annotations
