@@ -3,6 +3,11 @@ mixed to their target weights, and what is left is tokenised.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept; all but the last return the columns
 of documents. A document that the mix takes several times stands there as often, with the same id.
+
+Cases: docs needs the columns of documents; further columns are left out. Any column may be null: a null text counts as
+an empty one, which is not toxic, has no secrets and is like other empty ones; documents without words, null or empty
+texts among them, take nothing in the mix and so end there. Repeated rows are near-duplicates of each other. An empty table
+goes through all stages. Very long texts are read whole.
 """
 
 from __future__ import annotations
@@ -49,12 +54,13 @@ STAGES = [
     ("toxicity", drop_toxic), ("near duplicates", drop_near_duplicates), ("secrets", mask_secrets), ("mixing", mix_sources), ("tokens", tokenise),
 ]
 
-#: Learned scores, hashed draws and merges have no SQL form; the tests hold each stage against brute force.
+#: Learned scores, hashed draws and merges have no SQL form; tests/llm/test_pipeline.py holds the stages and run() against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other; what each keeps is written to the checkpoint folder, so none is computed twice."""
     docs = common.table(spark, sf_dir, "documents").select(*COLUMNS)
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = common.checkpoint(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
