@@ -52,7 +52,7 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substrings.substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_words", "n_removed", "kept_sha256", "longest")
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,28 +77,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_url_filters, op2_byte_bpe, op3_toxicity, op4_quality_rules, op5_mixing, op6_chat_formatting, op7_substring_dedup, op8_media_columns, op9_simhash, op10_secret_scans)
 }
 
-def _substring_sql(window: int = substrings.WINDOW, levels: int = 12) -> str:
-    """Windows by plain grouping of their words, and `levels` doublings; texts of the tables are shorter than the last."""
+def _substring_sql(window: int = substrings.WINDOW) -> str:
+    """Windows by plain grouping of their words."""
     space = r"[\x20\x09-\x0D]+"
     parts = [
         f"w AS (SELECT doc_id, [x FOR x IN string_split_regex(COALESCE(text, ''), '{space}') IF x <> ''] AS words FROM documents)",
         f"p AS (SELECT doc_id, words, unnest(range(1, len(words) - {window} + 2)) AS s FROM w WHERE len(words) >= {window})",
-        f"a0 AS (SELECT doc_id, s, md5(array_to_string(list_slice(words, s, s + {window} - 1), ' ')) AS h FROM p)",
-        "f0 AS (SELECT h, min(doc_id) AS first FROM a0 GROUP BY h HAVING min(doc_id) < max(doc_id))", "l0 AS (SELECT doc_id, s, h, first FROM a0 JOIN f0 USING (h))",
-    ]
-    for k in range(1, levels):
-        parts += [
-            f"a{k} AS (SELECT x.doc_id, x.s, md5(x.h || y.h) AS h FROM l{k - 1} x JOIN l{k - 1} y ON x.doc_id = y.doc_id AND y.s = x.s + {window << k - 1})",
-            f"f{k} AS (SELECT h, min(doc_id) AS first FROM a{k} GROUP BY h HAVING min(doc_id) < max(doc_id))", f"l{k} AS (SELECT doc_id, s, h, first FROM a{k} JOIN f{k} USING (h))",
-        ]
-    reach = " UNION ALL ".join(f"SELECT doc_id, {window << k} AS length FROM l{k} WHERE doc_id > first" for k in range(levels))
-    parts += [
-        f"gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + {window})) AS i FROM l0 WHERE doc_id > first)",
-        "n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)", f"r AS (SELECT doc_id, CAST(max(length) AS BIGINT) AS longest FROM ({reach}) GROUP BY doc_id)",
+        f"a AS (SELECT doc_id, s, md5(array_to_string(list_slice(words, s, s + {window} - 1), ' ')) AS h FROM p)", "f AS (SELECT h, min(doc_id) AS first FROM a GROUP BY h HAVING min(doc_id) < max(doc_id))",
+        f"gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + {window})) AS i FROM a JOIN f USING (h) WHERE doc_id > first)", "n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)",
         "each AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM w)",
         "k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM each ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)",
     ]
-    return "WITH " + ", ".join(parts) + " SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(COALESCE(n, 0) AS BIGINT) AS n_removed, sha256(COALESCE(kept, '')) AS kept_sha256, longest FROM w LEFT JOIN n USING (doc_id) LEFT JOIN r USING (doc_id) LEFT JOIN k USING (doc_id)"
+    return "WITH " + ", ".join(parts) + " SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(COALESCE(n, 0) AS BIGINT) AS n_removed, sha256(COALESCE(kept, '')) AS kept_sha256 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)"
 
 
 ORACLES: dict[str, str] = {

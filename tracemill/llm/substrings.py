@@ -3,9 +3,9 @@
 Level one looks at windows of half the target length. Of the half windows inside each target window only the one with
 the least hash is an anchor: equal target windows have equal anchors, so a target window can repeat only if its anchor
 does. Anchors that occur in one document alone go; around the others windows of twice the length are formed, and
-those that another document holds survive. They decide what is removed. From there on two surviving windows that follow
-each other make a candidate of twice the length, until no candidates survive: that tells how long the repeated passages
-are. Exact copies of a text are decided by the text's digest beforehand.
+those that another document holds survive. They decide what is removed. From there on the surviving windows that begin at
+an anchor are extended to twice their length, level by level, until no candidates survive: that tells how long the
+repeated passages are. Exact copies of a text are decided by the text's digest beforehand.
 
 Cases: a null text has no words; a text shorter than the window loses nothing; rows with a null id lose nothing and
 remove nothing; repeated rows (equal id and text) don't remove each other; an empty table has no rows; a very long
@@ -177,9 +177,9 @@ def reduced(docs: DataFrame, window: int) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "starts").mapInArrow(run, "doc_id long, n_removed long, kept_text string")
 
 
-def repeated(docs: DataFrame, survey: DataFrame, window: int, reps: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """The texts that may hold repeated windows, and these windows: doc_id, start, h1, h2, first (the smallest id that holds
-    the same). reps: the ids (rep) that are looked at; else all."""
+def repeated(docs: DataFrame, survey: DataFrame, window: int, reps: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The texts that may hold repeated windows, the places of their repeated anchors (_id, places), and the windows that two
+    documents hold: doc_id, start, h1, h2, first (the smallest id that holds the same). reps: the ids (rep) that are looked at."""
     # level one: anchors that at least two different texts hold
     marks = survey.where("doc_id is not null").select("doc_id", "d1", F.explode(F.arrays_zip("hashes", "places")).alias("x")).select("doc_id", "d1", F.col("x.hashes").alias("h"), F.col("x.places").alias("place"))
     by = "d1" if reps is not None else "doc_id"
@@ -189,49 +189,79 @@ def repeated(docs: DataFrame, survey: DataFrame, window: int, reps: DataFrame |
     places = common.checkpoint(places if reps is None else places.join(reps, F.col("_id") == F.col("rep"), "left_semi"))
     # level two: windows of twice the length around them, without a copy of them on disk
     texts = among(docs, places)
-    windows = extended(texts.join(places, F.col("doc_id") == F.col("_id")), window)
-    return texts, _held(windows)
+    return texts, places, _held(extended(texts.join(places, F.col("doc_id") == F.col("_id")), window))
 
 
 def _held(windows: DataFrame) -> DataFrame:
-    """Of windows doc_id, start, h1, h2 those that two documents hold, with the smaller id as `first`."""
+    """Of windows with doc_id, h1, h2 those that two documents hold, with the smaller id as `first`."""
     held = windows.groupBy(F.col("h1").alias("_h1"), F.col("h2").alias("_h2")).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("_b")).where("first < _b").drop("_b")
     held = common.checkpoint(held)  # by itself, so that the join may split a hot window
-    return common.checkpoint(windows.join(held, (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2"))).drop("_h1", "_h2"))
+    return windows.join(held, (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2"))).drop("_h1", "_h2")
 
 
-def doubled(found: DataFrame, length: int) -> Iterator[tuple[int, DataFrame]]:
-    """The repeated windows of `length` words, and of twice, four times ... as many until none is left. A window of twice
-    the length is made of two that follow each other, and so is its hash."""
-    found = found.distinct()
-    while not found.isEmpty():
-        yield length, found
-        tail = found.select(F.col("doc_id").alias("_id"), (F.col("start") - length).alias("_at"), F.col("h1").alias("_g1"), F.col("h2").alias("_g2"))
-        both = found.join(tail, (F.col("doc_id") == F.col("_id")) & (F.col("start") == F.col("_at")))
-        four = [F.col(c) for c in ("h1", "h2", "_g1", "_g2")]
-        found, length = _held(both.select("doc_id", "start", F.xxhash64(*four).alias("h1"), F.hash(*four).alias("h2"))), 2 * length
+def chains(found: DataFrame, window: int) -> DataFrame:
+    """From doc_id, found (start, h1, h2 of all repeated windows), places (null: all starts) the levels of each window that begins at a
+    place: doc_id, start, and in h1s, h2s its hash and those of twice, four times ... the length, as long as repeated windows
+    follow each other without a gap of more than a window. A longer window's hash is made of those of its halves."""
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                each = batch.column(1)[k].values
+                start, at = np.unique(each.field(0).to_numpy(zero_copy_only=False), return_index=True)
+                one, two = (each.field(f).to_numpy(zero_copy_only=False)[at].astype(np.int64).view(np.uint64) for f in (1, 2))
+                places = batch.column(2)[k]
+                mine = np.flatnonzero(np.isin(start, np.asarray(places.values))) if places.is_valid else np.arange(len(start))
+                alive, levels, length = np.ones(len(start), bool), [], window
+                while alive[mine].any():
+                    levels.append((alive[mine], one[mine], two[mine]))
+                    nxt = np.minimum(np.searchsorted(start, start + length), len(start) - 1)
+                    alive = alive & (start[nxt] == start + length) & alive[nxt]
+                    one, two = _mix(one * _BASES[0] ^ one[nxt]), _mix(two * _BASES[1] ^ two[nxt])
+                    length *= 2
+                reach = np.sum([x[0] for x in levels], axis=0).astype(np.int64) if levels else np.zeros(0, np.int64)
+                stops = np.concatenate([[0], np.cumsum(reach)])
+                lists = [_lists(np.concatenate([[x[j][i] for x in levels[: reach[i]]] for i in range(len(mine))]).astype(np.uint64).view(np.int64) if len(mine) else np.zeros(0, np.int64), stops, pa.int64()) for j in (1, 2)]
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[k].as_py()] * len(mine), pa.int64()), pa.array(start[mine].astype(np.int32)), *lists], names=["doc_id", "start", "h1s", "h2s"])
+
+    return found.select("doc_id", "found", "places").mapInArrow(run, "doc_id long, start int, h1s array<long>, h2s array<long>")
+
+
+def doubled(chained: DataFrame, length: int) -> Iterator[tuple[int, DataFrame]]:
+    """The repeated windows of `length` words, then of twice, four times ... as many, each level made from the windows that the one
+    before has left, until none is left: the length, and doc_id, start, h1, h2, first of its windows."""
+    left, level = chained, 0
+    while True:
+        rows = left.where(F.size("h1s") > level).withColumn("h1", F.col("h1s")[level]).withColumn("h2", F.col("h2s")[level])
+        left = common.checkpoint(_held(rows.select("doc_id", "start", "h1s", "h2s", "h1", "h2")))
+        if left.isEmpty():
+            return
+        yield length << level, left
+        left, level = left.drop("h1", "h2", "first"), level + 1
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """Rows doc_id, n_words, n_removed, kept_text (null where nothing or everything goes), kept_sha256, longest (the largest
-    doubled length of which a window of the document also starts in a document with a smaller id; null: none)."""
+    doubled length of which a window that begins at an anchor of the document also stands in a document with a smaller id; of a
+    copy the largest that fits; null: none)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     survey = common.checkpoint(surveyed(docs, window))
     # of exact copies the first alone is looked at; digests of one row need no join, and a hot one can be split
     copied = common.checkpoint(survey.groupBy(F.col("d1").alias("_d1"), F.col("d2").alias("_d2")).agg(F.min("doc_id").alias("rep"), F.count("*").alias("_n")).where("_n > 1").drop("_n"))
     rows = survey.drop("hashes", "places").join(copied, (F.col("d1") == F.col("_d1")) & (F.col("d2") == F.col("_d2")), "left")
     rows = common.checkpoint(rows.select("doc_id", "n_words", "whole", F.coalesce("rep", "doc_id").alias("rep")))
-    texts, found = repeated(docs, survey, window, rows.where("doc_id = rep").select("rep"))
-    starts = common.checkpoint(found.where("doc_id > first").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("start").alias("starts")))
+    texts, places, found = repeated(docs, survey, window, rows.where("doc_id = rep").select("rep"))
+    each = F.collect_list(F.struct("start", "h1", "h2", (F.col("doc_id") > F.col("first")).alias("later")))
+    per = common.checkpoint(found.groupBy("doc_id").agg(each.alias("found")))
+    starts = per.select(F.col("doc_id").alias("_id"), F.array_distinct(F.transform(F.filter("found", lambda x: x["later"]), lambda x: x["start"])).alias("starts")).where("size(starts) > 0")
     cut = reduced(texts.join(starts, F.col("doc_id") == F.col("_id")), window).select(F.col("doc_id").alias("_id"), "n_removed", "kept_text", F.sha2("kept_text", 256).alias("_sha")).dropDuplicates(["_id", "_sha"])
     # further levels, until no candidates survive
     reach = docs.sparkSession.createDataFrame([], "_doc long, longest long")
-    for length, level in doubled(found, window):
+    for length, level in doubled(chains(per.join(places, F.col("doc_id") == F.col("_id")), window), window):
         reach = reach.unionByName(level.where("doc_id > first").select(F.col("doc_id").alias("_doc"), F.lit(length).cast("long").alias("longest")).distinct())
     reach = reach.groupBy("_doc").agg(F.max("longest").alias("_longest"))
     rows = rows.join(cut, F.col("doc_id") == F.col("_id"), "left").join(reach, F.col("doc_id") == F.col("_doc"), "left")
     copy = (F.col("doc_id") > F.col("rep")) & (F.col("n_words") >= window)
-    all_of_it = F.lit(window) * F.expr(f"shiftleft(1L, length(bin(n_words div {window})) - 1)")  # of a copy: the largest that fits
+    all_of_it = F.lit(window) * F.expr(f"shiftleft(1L, length(bin(n_words div {window})) - 1)")
     return rows.select(
         "doc_id", "n_words", F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"), "kept_text",
         F.when(copy, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("_sha", "whole")).alias("kept_sha256"), F.when(copy, all_of_it).otherwise(F.col("_longest")).alias("longest"),
@@ -240,7 +270,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def levels(docs: DataFrame, start: int = WINDOW // 2) -> list[tuple[int, int]]:
     """Window lengths from `start`, doubled as long as windows repeat between documents, with the number of distinct windows
-    of that length that do."""
+    of that length that do, wherever they begin."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    _, found = repeated(docs, common.checkpoint(surveyed(docs, start)), start)
-    return [(length, level.select("h1", "h2").distinct().count()) for length, level in doubled(found, start)]
+    _, _, found = repeated(docs, common.checkpoint(surveyed(docs, start)), start)
+    per = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "h1", "h2")).alias("found")).withColumn("places", F.lit(None).cast("array<int>"))
+    return [(length, level.select("h1", "h2").distinct().count()) for length, level in doubled(chains(per, start), start)]
