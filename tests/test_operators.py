@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from tracemill.functions import demangle
 from tracemill.functions import scalar as S
-from tracemill.operators import compare, cycles, detect, diagnose, folds, interval, learn, metrics, nest
+from tracemill.operators import compare, cycles, detect, diagnose, folds, interval, learn, metrics, nest, periods, profile
 from tracemill.plans import folds as plan_folds
-from tracemill.plans import systems
+from tracemill.plans import systems, workflow
 from tracemill.plans.registry import spans, table
 from tracemill.sources import logs, sinks
 from tracemill.sources import trace as sources
@@ -86,7 +86,20 @@ def test_collapse_and_hierarchy(spark):
     lines = nest.hierarchy(tree, ["pid", "tid"]).orderBy("path").collect()
     assert [(r.depth, r.name, r.times) for r in lines] == [(0, "m.call", 1), (1, "m.forward", 1), (2, "x", 2)]
     assert lines[1].idle == 98 - 38
-    assert nest.level_shares([(0, 100), (1, 95), (2, 10)]) == [1, 2]
+    frames = spark.createDataFrame([(1, 0, 100), (1, 1, 95), (1, 2, 10)], "k int, depth int, dur int")
+    assert [(r.depth, r.of_previous) for r in profile.levels(frames, ["k"]).orderBy("depth").collect()] == [(1, None), (2, 10 / 95)]
+
+
+def test_collapse_by_share_and_aggressive(spark):
+    rows = frame(spark, [("m.a", 0, 100), ("m.b", 1, 45), ("m.c", 46, 90), ("x", 2, 44)])
+    tree = nest.nested(rows, ["pid", "tid"], callers=True).join(rows.select("seq", "name", "dur"), "seq")
+    assert {r.seq: r.parent_seq for r in nest.collapsed(tree, ["pid", "tid"]).collect()} == {1: None, 2: None, 3: 1}  # 88 of 100 by two children of one base
+    assert {r.seq: r.parent_seq for r in nest.collapsed(tree, ["pid", "tid"], aggressive=0.9).collect()} == {2: None, 3: None}
+
+
+def test_deep_trees_need_no_recursion():
+    rows = [(i, i - 1, "f", 10.0) for i in range(5000)]
+    assert sum(1 for _ in nest.shapes(rows)) == 5000
 
 
 def test_virtual_cycles():
@@ -95,14 +108,15 @@ def test_virtual_cycles():
 
 
 def test_small_folds():
-    assert [g for _, g in folds.lead_groups([(0, 0, 10), (4, 1, 10), (6, 2, 10)])] == [0, 0, 1]
+    assert [g for _, g in folds.lead_groups([(0, 0, 10), (4, 1, 10), (5, 2, 10), (12, 3, 10)])] == [0, 0, 1, 2]  # the end of the band is open
+    assert list(folds.lead_groups([(0, 0, 0), (1, 1, 4)])) == [(1, 0)]
     assert list(folds.tracks([(0, 0, 10), (5, 1, 8), (8, 2, 9)])) == [(0, 0, 0), (1, 1, 5), (2, 1, 9)]
-    assert list(folds.aligned_chain([(0, 8, 10, 1), (1, 18, 20, 11)])) == [(0, 1, 10), (1, 8, 20)]
     assert list(folds.busiest([(0.0, 0.0), (10.0, 100.0), (20.0, 100.0), (22.0, 0.0)])) == [(0.0, 20.0)]
     assert folds.beats([0.0, 10.0, 21.0, 40.0], 1, 10.0) == [0, 1, 2, 3]
-    assert folds.seeds([0.0, 10.0, 100.0], 0, 10.0) == [0, 1]
+    assert folds.seeds([0.0, 4.0, 10.1, 20.1, 30.3, 61.0], 10.0) == [0, 2, 3, 4, 5]  # from the pair nearest to a period, over a gap
+    assert folds.seeds([0.0, 10.0, 20.0], 10.0) == [] and folds.seeds([0.0, 1.0, 2.0, 3.0, 4.0], 100.0) == []
+    assert folds.start_index([0.0, 100.0, 200.0, 300.0, 400.0, 500.0, 500.5, 501.0, 501.5, 600.0, 700.0], 400.0) == 5
     assert folds.beat_grid([0.0, 10.0, 20.5], 10.0) == [0, 1, 2]
-    assert list(folds.followers([(0, 0, True), (1, 1, False), (2, 2, True)], 10)) == [(0, 1)]
     assert [c["name"] for c in folds.ranked([dict(name="a", total=100, mean=1), dict(name="b", total=95, mean=5), dict(name="c", total=10, mean=9)])] == ["b", "a", "c"]
 
 
@@ -112,7 +126,94 @@ def test_cadence_finds_a_planted_period():
     period, score = folds.cadence(stamps)
     assert abs(period - 100_000) < 2_000 and score > 1
     assert folds.cadence(stamps[:10]) is None
-    assert folds.consensus([(100.0, 1.0), (105.0, 3.0), (300.0, 2.0)]) == (103.75, 4.0)
+    assert folds.consensus([(100.0, 1.0, "a"), (105.0, 3.0, "b"), (300.0, 2.0, "c")]) == (103.75, 4.0, ["a", "b"])
+
+
+def test_followers_are_free_and_near(spark):
+    seeds = spark.createDataFrame([(1, 10, 2.0), (1, 11, 104.0), (2, 20, 140.0), (2, 21, 60.0), (3, 30, 139.9)], "pid long, seq long, ts double")
+    pacers = spark.createDataFrame([(0, 0.0), (1, 100.0), (2, 108.0)], "seq long, ts double")
+    got = {(r.pid, r.pacer_seq, r.follower_seq) for r in periods.followers(pacers, seeds, 100.0).collect()}
+    # of each process one; 140 lies at the open end of 100's band; 11 is the first pacer's that comes by
+    assert got == {(1, 0, 10), (1, 1, 11), (2, 1, 21), (2, 2, 20), (3, 1, 30)}
+
+
+def test_pacer_rounds(spark):
+    marks = spark.createDataFrame([(0, 1, 0, 10), (1, 1, 100, 10), (2, 2, 5, 10), (3, 2, 104, 10), (4, 3, 50, 10), (5, 2, 99, 10)], "seq long, pid long, ts long, dur long")
+    got = {(r["round"], r.pacer_seq, r.seq) for r in cycles.pacer_rounds(marks, 100).collect()}
+    # process 2 leads; a band is half a duration to both sides, open at its end; what is left leads later rounds
+    assert got == {(1, 2, 2), (1, 2, 0), (1, 3, 3), (1, 3, 1), (1, 5, 5), (1, 5, 1), (2, 4, 4)}
+
+
+def test_types_by_names_and_by_durations(spark):
+    marks = spark.createDataFrame([(i, 5000.0 if i else 50_000.0) for i in range(6)], "seq long, dur double")
+    names = lambda *x: spark.createDataFrame(list(x), "seq long, name string")
+    kinds = lambda n: {r.seq: r.type for r in cycles.types(marks, n).collect()}
+    assert kinds(names((0, "step"))) == {0: 1, 1: 2, 2: 2, 3: 2, 4: 2, 5: 2}
+    assert kinds(names((1, "Model.Forward_Extend"), (2, "runDecode"), (3, "decode"), (4, "decode"), (4, "ENCODE"), (5, "decoder"))) == {0: 3, 1: 1, 2: 2, 3: 2, 4: 3, 5: 3}
+    same = spark.createDataFrame([(i, 5000.0) for i in range(6)], "seq long, dur double")
+    assert {r.type for r in cycles.types(same, names((0, "step"))).collect()} == {3}
+
+
+def test_correction_takes_the_closer_neighbour(spark):
+    rows = [(0, 3, 9.0), (1, 1, 10.0), (2, 3, 18.0), (3, 3, 19.0), (4, 2, 20.0), (5, 3, 4.0), (6, 2, 5.0), (7, 3, 1.0)]
+    df = spark.createDataFrame([(1, *r) for r in rows], "k int, seq long, type int, dur double")
+    got = [r.type for r in cycles.corrected(df, ["k"], ["seq"]).orderBy("seq").collect()]
+    assert got == [1, 1, 1, 1, 2, 2, 2, 2]  # 3: the left one is as close in duration as the right one
+
+
+def test_time_cuts_change_nothing(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(rng.integers(3)), i, int(t), int(t + d), int(d)) for i, (t, d) in enumerate(zip(np.sort(rng.integers(0, 5000, 400)), rng.integers(0, 90, 400), strict=True))]
+    df = spark.createDataFrame([(None if k == 2 else k, *r) for k, *r in rows], "k int, seq long, ts long, end_ts long, dur long").cache()
+    left, right = df.where("seq % 2 = 0"), df.where("seq % 5 = 1").select("k", "seq", "ts")
+    all_of = lambda x: sorted(map(str, x.collect()))
+    for cut in (7, 100, 100_000):
+        assert all_of(interval.merged(df, ["k"])) == all_of(interval.merged(df, ["k"], cut))
+        assert all_of(interval.gaps(df, ["k"])) == all_of(interval.gaps(df, ["k"], cut))
+        assert all_of(interval.sessions(df, ["k"], 5).select("seq", "session")) == all_of(interval.sessions(df, ["k"], 5, cut=cut).select("seq", "session"))
+        for forward in (False, True):
+            assert all_of(interval.as_of(left, right, ["k"], forward=forward).select("seq", "match")) == all_of(interval.as_of(left, right, ["k"], forward=forward, cut=cut).select("seq", "match"))
+
+
+def test_found_periods(spark):
+    rows = [(p, "m", 10 * i + 2 * p + k, i * 100_000.0 + p * 500 + k * 20_000, name) for p in (1, 2) for i in range(200) for k, name in enumerate(("step", "part"))]
+    events = spark.createDataFrame(rows, "pid long, tid string, seq long, ts double, name string")
+    alone = periods.found(events).orderBy("start_ts").collect()
+    assert len(alone) == 200 and {r.pid for r in alone} == {1} and abs(alone[5].end_ts - alone[5].start_ts - 100_000) < 1
+    both = periods.found(events, align=True).orderBy("start_ts").collect()
+    assert len(both) == 200 and {r.type for r in both} == {2} and abs(both[3].start_ts - 300_000.0) < 25_000
+
+
+def test_comparison_text(spark):
+    from tracemill.sources import sinks
+
+    frame_ = lambda k: spark.createDataFrame([("f", 0, "gpu_usage", c, 1000.0 * k + c, 10.0 * k + c, 50.0 + c) for c in range(9)], "name string, device int, metric string, cycle int, cycle_dur double, beta_pct double, mu_pct double")
+    parts = workflow.compared(frame_(1), frame_(2), 0.1)
+    text = sinks.comparison(parts, "before", "after")
+    assert "| cycles | 9 | 9 | 0 | - |" in text and "| mean cycle (us) | 1,004.00 | 2,004.00 | +1,000.00 | +99.60 |" in text and "f on 0: gpu_usage" in text and text.count("\n| ") > 12
+    exact = parts["scores"].first()
+    assert abs(exact.u_p_mu - 1) < 1e-9 and exact.u_p_beta < 0.01
+
+
+def test_exact_u_for_small_samples(spark):
+    rows = spark.createDataFrame([("a", 1, float(v)) for v in (1, 2, 3)] + [("a", 2, float(v)) for v in (4, 5, 6)] + [("b", 1, 1.0), ("b", 2, 2.0)], "k string, side int, v double")
+    got = {r.k: r.p for r in compare.rank_sums(rows, ["k"], F.col("side"), "v").select("k", compare.u_p_value().alias("p")).collect()}
+    assert abs(got["a"] - 0.1) < 1e-12 and got["b"] == 1.0
+
+
+def test_every_mode_gets_a_model(spark):
+    rows = spark.createDataFrame([(float(i % 7), float(m * 10 + i % 7), m) for m in range(12) for i in range(50)], "x double, y double, mode int")
+    models = learn.trained(rows, ["x"], "y", mode="mode")
+    assert len(models) == 12 and learn.predicted(rows, models, mode="mode").where("predicted is null").count() == 0
+
+
+def test_reports_say_what_they_leave_out(spark):
+    from tracemill.sources import sinks
+
+    df = spark.range(70)
+    assert sinks.markdown(df).count("\n") == 71 and "first 50 rows" in sinks.markdown(df, 50) and "first" not in sinks.markdown(df, 70)
+    edges = spark.createDataFrame([(f"f{i}", "g", i) for i in range(9)], "caller string, callee string, n long")
+    assert sinks.dot(edges).count("->") == 9 and "left out" in sinks.dot(edges, limit=3)
 
 
 def test_tests_match_known_values(spark):
@@ -208,7 +309,7 @@ def test_cycles_of_a_small_trace(spark, tmp_path):
     assert rows.where("name = 'c'").first().args["value"] == "9"
     assert len(sources.find_jobs(spark, str(tmp_path))) == 2
     trace = rows.where("name <> 'c'")
-    marks = cycles.types(cycles.anchors(trace, "step"), trace)
+    marks = workflow._typed(trace, "step")
     bounds = cycles.boundaries(marks)
     assert sorted((r.start_ts, r.end_ts) for r in bounds.collect()) == [(1, 50), (51, 150), (151, 250)]
     inside = cycles.assigned(bounds, trace)
@@ -259,5 +360,7 @@ def test_workflows(spark):
     ev = spark.createDataFrame([(i, n, float(t), float(t + 10)) for i, (n, t) in enumerate(names)], "seq long, name string, ts double, end_ts double")
     line = lambda n, t: json.dumps({"kunlunClassAttr": {"class": "Scheduler", "fn": n.split(".")[1], "attr": "reqs"}})[:-1] + f', "Value": forward_mode=DECODE rid=a1 rid=b2 input_ids=[1, 2] output_ids=[3], "start_time": {t + 2}}}'
     lines = spark.createDataFrame([("log", i, line(n, t)) for i, (n, t) in enumerate(names) if "next" not in n], "path string, line_no long, line string")
-    rows = {(r.kind, r.start_ts): (r.duration_us, r.mode, r.batch_size, r.max_input) for r in workflow.monitored(ev, lines, "job").collect()}
-    assert rows == {("batch", 100.0): (60.0, "DECODE", 2, 2), ("batch", 300.0): (60.0, "DECODE", 2, 2), ("idle", 160.0): (140.0, "N/A", 0, 0)}
+    got = workflow.monitored(ev, lines, "job")
+    assert len(got.columns) == 16
+    rows = {(r.kind, r.start_ts): (r.duration_us, r.compute_forward_mode, r.compute_batch_size, r.compute_max_input_length, r.post_batch_size) for r in got.collect()}
+    assert rows == {("batch", 100.0): (60.0, "DECODE", 2, 2, 2), ("batch", 300.0): (60.0, "DECODE", 2, 2, 2), ("idle", 160.0): (140.0, "N/A", 0, 0, 0)}

@@ -12,19 +12,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 EPSILON = 1e-9
+#: Samples up to this size get an exact U test.
+SMALL = 8
 
 
 def side_stats(rows: DataFrame, keys: list[str], side: Column, cycle: str, beta: str, mu: str) -> DataFrame:
     """for sides 1 and 2 mean and sample deviation of beta, mu and ln(1 + mu) and the number of cycles; 0 for a missing side."""
     mu_col = F.coalesce(F.col(mu).cast("double"), F.lit(0.0))
     rows = rows.select(*keys, side.alias("_side"), F.col(cycle).alias("_cycle"), F.col(beta).alias("beta"), mu_col.alias("mu"), F.log1p(mu_col).alias("log_mu"))
+    names = ("beta", "mu", "log_mu")
     aggs = []
     for k in (1, 2):
-        for v in ("beta", "mu", "log_mu"):
+        for v in names:
             mine = F.when(F.col("_side") == k, F.col(v))
             aggs += [F.coalesce(F.avg(mine), F.lit(0.0)).alias(f"{v}_mean{k}"), F.coalesce(F.stddev_samp(mine), F.lit(0.0)).alias(f"{v}_sd{k}")]
-        aggs += [F.countDistinct(F.when(F.col("_side") == k, F.col("_cycle"))).alias(f"cycles{k}")]
-    return rows.groupBy(*keys).agg(*aggs)
+    # cycles are counted from distinct ones, so that no row is written once for each distinct count
+    per = rows.where("_cycle is not null").select(*keys, "_side", "_cycle").distinct()
+    counts = per.groupBy(*keys).agg(*(F.count_if(F.col("_side") == k).alias(f"cycles{k}") for k in (1, 2))).select(*(F.col(c).alias(f"_of_{c}") for c in keys), "cycles1", "cycles2")
+    on = F.lit(True)
+    for c in keys:
+        on = on & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    return rows.groupBy(*keys).agg(*aggs).join(counts, on, "left").drop(*(f"_of_{c}" for c in keys)).fillna(0, ["cycles1", "cycles2"])
 
 
 def z(name: str) -> Column:
@@ -117,6 +125,21 @@ def exact_u_p(n1: int, n2: int, u: float) -> float:
     return float(min(1.0, 2 * ways[n1, : low + 1].sum() / ways[n1].sum()))
 
 
+def _u_p(n1: pd.Series, n2: pd.Series, u: pd.Series, ties: pd.Series, score: pd.Series) -> pd.Series:
+    def one(a, b, x, t, s):
+        if a < 2 or b < 2:
+            return 1.0
+        return exact_u_p(int(a), int(b), x) if t == 0 and min(a, b) <= SMALL and max(a, b) <= 50 * SMALL else _normal_p([s])[0]
+
+    return pd.Series([one(*x) for x in zip(n1, n2, u, ties, score, strict=True)], dtype=float)
+
+
+def u_p_value() -> Column:
+    """two-sided p of a rank_sums() row: exact by counting where a side has at most SMALL values and none are tied (and the other at
+    most 50 times that, beyond which both agree), else by the normal approximation; 1 where a side has fewer than two."""
+    return F.pandas_udf(_u_p, T.DoubleType())("size1", "size2", "u", F.col("ties").cast("double"), "z")
+
+
 def overview(cycles: DataFrame, side: Column, cycle: str, dur: str) -> DataFrame:
     """distinct cycles and mean duration of both sides, their difference and change."""
     rows = cycles.select(side.alias("_side"), F.col(cycle).alias("_c"), F.col(dur).alias("_d")).dropDuplicates()
@@ -155,6 +178,26 @@ def labels(paths: list[str]) -> list[str]:
             take[i] += 1
 
 
+def ranked_pairs(first: DataFrame, second: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Keys, rank, x, y, delta, change_pct: the values of both runs in falling order, side by side; the longer run has the rest alone."""
+    def places(df, name):
+        w = Window.partitionBy(*keys).orderBy(F.desc(value)) if keys else Window.orderBy(F.desc(value))  # cycles of one run
+        return df.select(*keys, F.col(value).alias(name), F.row_number().over(w).alias("rank"))
+
+    x, y = F.col("x"), F.col("y")
+    rows = places(first, "x").join(places(second, "y"), [*keys, "rank"], "full_outer")
+    return rows.withColumn("delta", y - x).withColumn("change_pct", F.when(x > 0, (y - x) / x * 100).when(y.isNotNull() & x.isNotNull(), F.lit(float("inf"))))
+
+
+def process_pairs(first: DataFrame, second: DataFrame) -> DataFrame:
+    """pid1, pid2, how: processes that both runs have ("strict"), and each that only the first has with each that only the second
+    has ("cross"). The few distinct pids alone are crossed."""
+    a, b = first.select("pid").distinct(), second.select("pid").distinct()
+    same = a.intersect(b).select(F.col("pid").alias("pid1"), F.col("pid").alias("pid2"), F.lit("strict").alias("how"))
+    rest = a.exceptAll(b).withColumnRenamed("pid", "pid1").crossJoin(b.exceptAll(a).withColumnRenamed("pid", "pid2"))
+    return same.unionByName(rest.select("pid1", "pid2", F.lit("cross").alias("how")))
+
+
 def paired(normal: DataFrame, abnormal: DataFrame) -> DataFrame:
     """Files (stem, suffix) of two runs by stem: the same suffix, else decode with the plain one or the reverse."""
     a = normal.select("stem", F.col("suffix").alias("suffix1"), F.col("path").alias("path1"))

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Parts that the rows of a pool are numbered in.
+PARTS = 1024
+
+
 def iqr_bounds(rows: DataFrame, keys: list[str], value: str, k: float = 1.5, least: int = 4) -> DataFrame:
     """F27 fit: keys, low, high of groups with at least `least` rows."""
     q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.75)))
@@ -16,11 +20,11 @@ def iqr_bounds(rows: DataFrame, keys: list[str], value: str, k: float = 1.5, lea
 
 def iqr_clean(rows: DataFrame, bounds: DataFrame, keys: list[str], value: str) -> DataFrame:
     """F27 transform: rows inside the bounds of their group; groups without bounds pass."""
-    b = bounds.select(*(F.col(c).alias(f"_{c}") for c in keys), "low", "high")
+    b = bounds.select(*(F.col(c).alias(f"_of_{c}") for c in keys), F.col("low").alias("_low"), F.col("high").alias("_high"))
     on = F.lit(True)
     for c in keys:
-        on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    return rows.join(b, on, "left").where("low is null or (" + value + " between low and high)").select(*rows.columns)
+        on = on & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    return rows.join(b, on, "left").where(F.col("_low").isNull() | F.col(value).between(F.col("_low"), F.col("_high"))).select(*rows.columns)
 
 
 def regression_quality(rows: DataFrame, truth: str, predicted: str, features: int, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -76,6 +80,51 @@ def class_report(rows: DataFrame, truth: str, predicted: str) -> DataFrame:
     return per.select("label", "support", p.alias("precision"), r.alias("recall"), F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)).alias("f1"))
 
 
+def class_summary(rows: DataFrame, truth: str, predicted: str) -> DataFrame:
+    """one row: accuracy, and precision, recall and F1 averaged over classes, plainly (macro_) and by support (weighted_)."""
+    per = class_report(rows, truth, predicted)
+    n = F.sum("support")
+    averages = [f.alias(f"{kind}_{c}") for c in ("precision", "recall", "f1") for kind, f in (("macro", F.avg(c)), ("weighted", F.sum(F.col(c) * F.col("support")) / n))]
+    # a class's recall is its share of hits, so recall by support is the accuracy
+    return per.agg((F.sum(F.col("recall") * F.col("support")) / n).alias("accuracy"), *averages)
+
+
+def smoothed(value: str, keys: list[str], order: list[str], reach: int = 2) -> Column:
+    """Mean of the row and up to `reach` on both sides."""
+    return F.avg(value).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(-reach, reach))
+
+
+def aligned_trials(rows: DataFrame, trial: str, order: list[str], value: str, at: int, names: list, reach: int = 100) -> DataFrame:
+    """Place, t<name> for each trial: the values of the trials from `reach` rows before row number `at` of each to as many behind."""
+    place = (F.row_number().over(Window.partitionBy(trial).orderBy(*order)).cast("bigint") - at).alias("place")
+    near = rows.select(F.col(trial).alias("_trial"), F.col(value).alias("_value"), place).where(F.abs("place") <= reach)
+    return near.groupBy("place").pivot("_trial", names).agg(F.max("_value")).toDF("place", *(f"t{n}" for n in names))
+
+
+def trial_starts(rows: DataFrame, keys: list[str], order: list[str], mark: str) -> DataFrame:
+    """Rows where `mark` differs from the row before."""
+    return rows.withColumn("_was", F.lag(mark).over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(mark) != F.col("_was")).drop("_was")
+
+
+def histogram(rows: DataFrame, value: str, bins: int = 50, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Keys, bin, n: rows in bins of equal width between the least and the greatest value; the greatest alone is bin number `bins`."""
+    ends = rows.groupBy(*keys).agg(F.min(value).alias("_lo"), ((F.max(value) - F.min(value)) / bins).alias("_w"))
+    rows = rows.join(ends, list(keys)) if keys else rows.join(F.broadcast(ends), F.lit(True))  # one row
+    return rows.groupBy(*keys, F.coalesce(F.floor(F.try_divide(F.col(value) - F.col("_lo"), F.col("_w"))), F.lit(0)).alias("bin")).agg(F.count("*").alias("n"))
+
+
+def axis_range(rows: DataFrame, value: str, pad: float = 0.05) -> DataFrame:
+    """Low, high of an axis with some room on both sides; a constant gets one of its own size."""
+    spread = F.max(value) - F.min(value)
+    room = F.when(spread > 0, spread * pad).otherwise(F.greatest(F.abs(F.max(value)) * pad, F.lit(1.0)))
+    return rows.agg((F.min(value) - room).alias("low"), (F.max(value) + room).alias("high"))
+
+
+def heat(rows: DataFrame, x: str, y: str, value: str) -> DataFrame:
+    """X, y, n, mean of a heat map."""
+    return rows.groupBy(x, y).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
+
+
 def trial_metrics(rows: DataFrame, trial: str, index: str, anomaly: str, predicted: str) -> DataFrame:
     """F32: precision, recall, F1, false positive rate, lag (rows from the first anomaly to its first alarm) and detected."""
     a, p = F.col(anomaly) == 1, F.col(predicted) == 1
@@ -95,8 +144,21 @@ def boundary_split(rows: DataFrame, keys: list[str], test: float = 0.2, seed: in
     for c in keys:
         edge = edge | (F.col(c) == F.col(f"_lo_{c}")) | (F.col(c) == F.col(f"_hi_{c}"))
     held = groups.join(F.broadcast(ends), F.lit(True)).withColumn("_edge", edge)  # one row
-    place = F.row_number().over(Window.orderBy(F.desc("_edge"), F.xxhash64(F.lit(seed), *keys), *keys))
-    held = held.withColumn("is_train", F.col("_edge") | (place <= F.col("_groups") - F.floor(F.col("_groups") * test)))
+    # the order is that of a number in 0 ... 2**62; its quantile comes from counts of its leading bits, so no task sorts all groups
+    held = held.withColumn("_h", F.when(F.col("_edge"), F.lit(-1).cast("long")).otherwise(F.shiftrightunsigned(F.xxhash64(F.lit(seed), *keys), 2)))
+    want = held.agg((F.count("*") - F.floor(F.count("*") * test)).alias("n")).first().n
+    bins = held.groupBy(F.shiftright("_h", 46).alias("b")).agg(F.count("*").alias("n")).orderBy("b").collect()  # 65,537 at most
+    seen, last = 0, -1
+    for r in bins:
+        last = r.b
+        if seen + r.n >= want:
+            break
+        seen += r.n
+    inside = held.where((F.shiftright("_h", 46) == last) & ~F.col("_edge")).withColumn("_k", F.row_number().over(Window.orderBy("_h", *keys))).where(F.col("_k") <= max(0, want - seen)).select(*(F.col(c).alias(f"_of_{c}") for c in keys), F.lit(True).alias("_in"))
+    on = F.lit(True)
+    for c in keys:
+        on = on & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    held = held.join(inside, on, "left").withColumn("is_train", F.col("_edge") | (F.shiftright("_h", 46) < last) | F.coalesce("_in", F.lit(False)))
     return clean.join(held.select(*keys, "is_train"), keys)
 
 
@@ -107,11 +169,15 @@ def group_split(rows: DataFrame, keys: list[str], train: int = 8, of: int = 10)
 
 def trials(normal: DataFrame, abnormal: DataFrame, count: int = 20, n_normal: int = 1000, n_abnormal: int = 200, seed: int = 1) -> DataFrame:
     """`count` streams of normal rows and then abnormal ones, drawn with replacement: adds trial, idx, is_anomaly.
-    Draws are hashed row numbers, so a trial is the same in each run; the number of draws is fixed."""
+    Draws are hashed row numbers, so a trial is the same in each run; the number of draws is fixed. Rows are numbered in parts by a
+    hash of their values, and parts by the counts of those before."""
     out = None
     for flag, pool, n, shift in ((0, normal, n_normal, 0), (1, abnormal, n_abnormal, n_normal)):
-        order = F.xxhash64(*pool.columns)
-        rows = pool.withColumn("_row", F.row_number().over(Window.orderBy(order, *pool.columns)) - 1)
+        rows = pool.withColumn("_h", F.xxhash64(*pool.columns)).withColumn("_p", F.pmod("_h", F.lit(PARTS)))
+        counts = rows.groupBy("_p").agg(F.count("*").alias("_n"))  # PARTS rows at most
+        offset = counts.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))
+        place = F.row_number().over(Window.partitionBy("_p").orderBy("_h", *pool.columns)) - 1
+        rows = rows.withColumn("_row", place).join(F.broadcast(offset), "_p").withColumn("_row", F.col("_row") + F.col("_before")).drop("_p", "_h", "_before")
         size = pool.agg(F.count("*").alias("_size"))
         draws = pool.sparkSession.range(count * n).select((F.col("id") / n).cast("int").alias("trial"), (F.col("id") % n + shift).cast("int").alias("idx"), F.xxhash64(F.lit(seed + flag), "id").alias("_h"))
         draws = draws.join(F.broadcast(size), F.lit(True)).where("_size > 0").withColumn("_pick", F.pmod("_h", "_size"))  # one row

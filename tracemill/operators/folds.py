@@ -1,4 +1,4 @@
-"""Ordered state machines over the rows of a key.
+"""Ordered state machines over the rows of a key.
 
 Each is a function over sorted tuples, run as a grouped map; the relational steps around them stay in Catalyst.
 """
@@ -13,6 +13,7 @@ from functools import cmp_to_key
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .nest import fold
 
@@ -21,25 +22,15 @@ REPEAT_US = 10.0
 
 
 def lead_groups(rows: list[tuple], band: float = 0.5) -> Iterable[tuple]:
-    """From (ts, seq, dur): seq, group. The first free anchor takes all free ones that start within band * its duration."""
-    left, group = list(rows), 0
-    while left:
-        ts, _, dur = left[0]
-        stay = []
-        for row in left:
-            if abs(row[0] - ts) <= band * dur or row is left[0]:
-                yield row[1], group
-            else:
-                stay.append(row)
-        left, group = stay, group + 1
-
-
-def aligned_chain(rows: list[tuple]) -> Iterable[tuple]:
-    """G9 align: from (order, min_end, max_end, start): order, start, end; each cycle runs from the least end of the one before."""
-    before = None
-    for order, low, high, start in rows:
-        yield order, start if before is None else before, high
-        before = low
+    """From (ts, seq, dur) sorted: seq, group. The first free anchor takes all that start less than band * its duration behind
+    it; one without a duration takes none, not even itself. Sorted rows make that one pass."""
+    group, limit = -1, None
+    for ts, seq, dur in rows:
+        if limit is None or ts >= limit:
+            if band * dur <= 0:
+                continue
+            group, limit = group + 1, ts + band * dur
+        yield seq, group
 
 
 def virtual_cycles(rows: list[tuple]) -> Iterable[tuple]:
@@ -111,15 +102,11 @@ def local_peaks(x: np.ndarray, height: float, prominence: float) -> list[int]:
     return out
 
 
-def cadence(stamps: np.ndarray) -> tuple[float, float] | None:
-    """H5: period in microseconds and score of sorted time stamps, from the spectrum of their counts in BINS bins."""
-    if len(stamps) < LEAST or stamps[-1] <= stamps[0]:
-        return None
-    span = float(stamps[-1] - stamps[0])
-    counts, _ = np.histogram(stamps, bins=BINS, range=(stamps[0], stamps[-1]))
-    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(BINS) / (BINS - 1))
+def spectrum_period(counts: np.ndarray, span: float, n: int) -> tuple[float, float] | None:
+    """H5: period in microseconds and score of n events, from the spectrum of their counts in bins of equal width over `span`."""
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(len(counts)) / (len(counts) - 1))
     power = np.abs(np.fft.rfft(counts * window))[1:]
-    freq = np.fft.rfftfreq(BINS, span / 1e6 / BINS)[1:]
+    freq = np.fft.rfftfreq(len(counts), span / 1e6 / len(counts))[1:]
     floor = max(float(np.median(power)), 1e-9)
     peaks = [k for k in local_peaks(power, HEIGHT * floor, PROMINENCE * floor) if 1 / MAX_PERIOD_S <= freq[k] <= 1 / MIN_PERIOD_S]
     if not peaks:
@@ -129,7 +116,7 @@ def cadence(stamps: np.ndarray) -> tuple[float, float] | None:
     def score(k: int) -> float:
         ratio = [(freq[o] / freq[k], snr[o]) for o in peaks if o != k and snr[o] >= 3]
         bonus = max((s for r, s in ratio if 1.95 < r < 2.05 or 2.95 < r < 3.05), default=0.0)
-        return (snr[k] + 0.8 * bonus) / math.log10(len(stamps) + 1)
+        return (snr[k] + 0.8 * bonus) / math.log10(n + 1)
 
     loud, best = max(peaks, key=snr.get), max(peaks, key=score)
     ratio = freq[best] / freq[loud]
@@ -137,17 +124,38 @@ def cadence(stamps: np.ndarray) -> tuple[float, float] | None:
     return 1e6 / freq[pick], score(pick)
 
 
-def consensus(found: list[tuple[float, float]], band: float = 0.1) -> tuple[float, float]:
-    """H6: from (period, score): periods within the band of the least free one form a cluster; of the cluster with the largest
-    sum of scores the weighted mean period and that sum."""
+def cadence(stamps: np.ndarray) -> tuple[float, float] | None:
+    """H5 of sorted time stamps."""
+    if len(stamps) < LEAST or stamps[-1] <= stamps[0]:
+        return None
+    counts, _ = np.histogram(stamps, bins=BINS, range=(stamps[0], stamps[-1]))
+    return spectrum_period(counts, float(stamps[-1] - stamps[0]), len(stamps))
+
+
+def consensus(found: list[tuple], band: float = 0.1) -> tuple[float, float, list[str]]:
+    """H6: from (period, score, name): periods within the band of the least free one form a cluster; of the cluster with the largest
+    sum of scores the weighted mean period, that sum and the names."""
     left, groups = sorted(found), []
     while left:
         first = left[0][0]
         groups.append([x for x in left if abs(x[0] - first) / first < band])
         left = [x for x in left if abs(x[0] - first) / first >= band]
-    best = max(groups, key=lambda g: sum(s for _, s in g))
-    total = sum(s for _, s in best)
-    return (sum(p * s for p, s in best) / total if total > 0 else best[0][0]), total
+    best = max(groups, key=lambda g: sum(x[1] for x in g))
+    total = sum(x[1] for x in best)
+    return (sum(x[0] * x[1] for x in best) / total if total > 0 else best[0][0]), total, [n for x in best for n in x[2:]]
+
+
+def start_index(stamps: list[float], period: float, width: int = 5) -> int:
+    """H9: the position to start from: where the smoothed number of events in the next tenth of a period rises most, and of the half
+    period around it the densest one; 0 for fewer than ten events."""
+    ts = np.asarray(stamps, float)
+    if len(ts) < 2 * width:
+        return 0
+    dense = np.searchsorted(ts, ts + 0.1 * period, "right") - np.arange(len(ts))
+    rise = np.diff(np.convolve(dense, np.ones(width) / width, "valid"))
+    at = int(rise.argmax()) + 1 + width // 2
+    low, high = np.searchsorted(ts, ts[at] - period / 2, "left"), np.searchsorted(ts, ts[at] + period / 2, "right")
+    return int(low + dense[low:high].argmax())
 
 
 def beats(stamps: list[float], start: int, period: float, band: float = 0.25) -> list[int]:
@@ -168,17 +176,29 @@ def beats(stamps: list[float], start: int, period: float, band: float = 0.25) ->
     return sorted(found)
 
 
-def seeds(stamps: list[float], start: int, period: float, band: float = 0.25, jumps: int = 5) -> list[int]:
-    """As beats(), but a chain ends if `jumps` beats in a row are missing, and only goes forward in its direction."""
-    found = {start}
-    for way in (1, -1):
-        at = start
+def seeds(stamps: list[float], period: float, band: float = 0.25, jumps: int = 5) -> list[int]:
+    """Positions of a chain. It starts from the two events whose distance is nearest to a period, and goes on in both directions,
+    as long as one of the next `jumps` beats has an event within band periods. Empty for fewer than five events, or no pair."""
+    ts = np.asarray(stamps, float)
+    if len(ts) < 5:
+        return []
+    reach, pair, least = band * period, None, math.inf
+    want = ts + period
+    for i, j in enumerate(np.searchsorted(ts, want, "left")):
+        before = int(np.searchsorted(ts, ts[j - 1], "left")) if j else 0  # of equal stamps the first
+        for k in sorted({max(before, i + 1), max(int(j), i + 1)}):
+            if k < len(ts) and abs(ts[k] - want[i]) <= reach and abs(ts[k] - want[i]) < least:
+                least, pair = abs(ts[k] - want[i]), (i, k)
+    if pair is None:
+        return []
+    found = set(pair)
+    for way, at in ((-1, pair[0]), (1, pair[1])):
         while True:
             for jump in range(1, jumps + 1):
-                want = stamps[at] + way * jump * period
-                near = [i for i in range(bisect_left(stamps, want - band * period), bisect_right(stamps, want + band * period)) if (i - at) * way > 0]
+                goal = ts[at] + way * jump * period
+                near = [i for i in range(bisect_left(stamps, goal - reach), bisect_right(stamps, goal + reach)) if (i - at) * way > 0]
                 if near:
-                    at = min(near, key=lambda i: abs(stamps[i] - want))
+                    at = min(near, key=lambda i: abs(ts[i] - goal))
                     found.add(at)
                     break
             else:
@@ -199,17 +219,6 @@ def beat_grid(stamps: list[float], period: float, band: float = 0.25) -> list[in
     return sorted(set(out))
 
 
-def followers(rows: list[tuple], period: float, band: float = 0.4) -> Iterable[tuple]:
-    """From (ts, seq, is_pacer): pacer_seq, follower_seq: each pacer takes the nearest free follower within the band."""
-    free = [(t, s) for t, s, p in rows if not p]
-    for t, s, p in rows:
-        if p and free:
-            d, hit = min((abs(x[0] - t), x) for x in free)
-            if d <= band * period:
-                free.remove(hit)
-                yield s, hit[1]
-
-
 def ranked(candidates: list[dict], alike: float = 0.9) -> list[dict]:
     """By total duration, but by mean duration where totals are alike. That is no total order, so the few candidates are
     compared in their given order on the driver."""
@@ -222,15 +231,26 @@ def ranked(candidates: list[dict], alike: float = 0.9) -> list[dict]:
 
 
 def cadences(events: DataFrame, keys: list[str]) -> DataFrame:
-    """H5 for each key and name: keys, name, period_us, score."""
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        got = cadence(np.sort(pdf["ts"].to_numpy(float)))
-        return pd.DataFrame([(*key, *got)] if got else [], columns=[*keys, "name", "period_us", "score"])
+    """H5 for each key and name: keys, name, period_us, score. Events are counted in their bins first, so a stream of any length
+    reaches Python as BINS numbers."""
+    by = [*keys, "name"]
+    ends = events.groupBy(*by).agg(F.min("ts").alias("_a"), F.max("ts").alias("_b"), F.count("*").alias("_n")).where((F.col("_n") >= LEAST) & (F.col("_b") > F.col("_a")))
+    place = F.least(F.floor((F.col("ts") - F.col("_a")) * BINS / (F.col("_b") - F.col("_a"))), F.lit(BINS - 1)).cast("int")
+    bins = events.select(*by, "ts").join(ends, by).groupBy(*by, "_a", "_b", "_n", place.alias("_bin")).agg(F.count("*").alias("_k"))
+    rows = bins.groupBy(*by, "_a", "_b", "_n").agg(F.collect_list(F.struct("_bin", "_k")).alias("x"))
+
+    def period(at: pd.Series, count: pd.Series, span: pd.Series, n: pd.Series) -> pd.DataFrame:
+        def one(a, c, s, k):
+            counts = np.zeros(BINS)
+            counts[np.asarray(a)] = np.asarray(c)
+            return spectrum_period(counts, float(s), int(k)) or (None, None)
+
+        return pd.DataFrame([one(*x) for x in zip(at, count, span, n, strict=True)], columns=["period_us", "score"], dtype=float)
 
-    kinds = ", ".join(f"{k} {events.schema[k].dataType.simpleString()}" for k in keys)
-    return events.select(*keys, "name", "ts").groupBy(*keys, "name").applyInPandas(run, f"{kinds}, name string, period_us double, score double")
+    got = F.pandas_udf(period, "period_us double, score double")(F.col("x._bin"), F.col("x._k"), (F.col("_b") - F.col("_a")).cast("double"), F.col("_n"))
+    return rows.withColumn("got", got).where("got.period_us is not null").select(*by, "got.period_us", "got.score")
 
 
 def consensus_periods(found: DataFrame, keys: list[str]) -> DataFrame:
-    """H6 for each key: period_us, score."""
-    return fold(found, keys, ["period_us", "score"], lambda rows: [consensus(rows)], "period_us double, score double")
+    """H6 for each key: period_us, score, names."""
+    return fold(found, keys, ["period_us", "score", "name"], lambda rows: [consensus(rows)], "period_us double, score double, names array<string>")

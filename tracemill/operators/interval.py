@@ -2,17 +2,17 @@
 
 Range joins get an equality key, the time bucket, so that they run as hash or sort-merge joins instead of nested loops. The
 side with long spans is exploded over the buckets it touches; each match is kept in one bucket alone, so none doubles.
-As-of lookups are one sort over the union of both sides, without a join.
+As-of lookups are one sort over the union of both sides, without a join. Windows over a key take a `cut`: the key is then sorted
+in stretches of that many microseconds, and what crosses from stretch to stretch is carried by a window over one row a stretch.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Independent runs that one call of the greedy matcher goes through.
-RUNS = 2000
-
 
 def bucketed(spans: DataFrame, width: int, start: str = "ts", stop: str = "end_ts", name: str = "_bucket") -> DataFrame:
     """A row for each bucket that a span touches."""
@@ -42,70 +42,133 @@ def overlapping(cycles: DataFrame, events: DataFrame, keys: list[str], width: in
     return out.withColumn("is_slice", (F.col("e_ts") < F.col("c_ts")) | (F.col("e_end_ts") > F.col("c_end_ts")))
 
 
-def as_of(left: DataFrame, right: DataFrame, keys: list[str], ts: str = "ts", seq: str = "seq", forward: bool = False) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, keys: list[str], ts: str = "ts", seq: str = "seq", forward: bool = False, cut: int | None = None) -> DataFrame:
     """left with `match`: the struct of the right row with the greatest (ts, seq) not after the left one's, or with
-    forward the least not before it (E5, E6, H2)."""
+    forward the least not before it (E5, E6, H2). With `cut` a key is sorted in stretches of that length: each begins with the
+    last right row of those before it, so a key may be as long as it likes."""
     body = F.struct(*right.columns)
     l = left.select(*left.columns, F.lit(None).cast(right.select(body.alias("m")).schema["m"].dataType).alias("_m"), F.lit(1).alias("_side"))
     r = right.select(*(F.col(c) if c in (*keys, ts) else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left.columns if c != seq), F.col(seq).cast(left.schema[seq].dataType).alias(seq), body.alias("_m"), F.lit(0).alias("_side"))
     down = lambda c: F.desc(c) if forward else F.asc(c)  # noqa: E731  (a frame that looks ahead would cost the square)
-    w = Window.partitionBy(*keys).orderBy(down(ts), "_side", down(seq)).rowsBetween(Window.unboundedPreceding, 0)
-    return l.unionByName(r).withColumn("match", F.last("_m", ignorenulls=True).over(w)).where("_side = 1").drop("_m", "_side")
-
-
-def merged(spans: DataFrame, keys: list[str]) -> DataFrame:
-    """H1: spans of a key joined where the next starts before the end so far (touching ones stay apart): ts, end_ts, n, total_dur."""
-    w = Window.partitionBy(*keys).orderBy("ts", "seq")
-    rows = spans.withColumn("_high", F.max("end_ts").over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    rows = rows.withColumn("_block", F.sum(F.when(F.col("ts") < F.col("_high"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy(*keys, "_block").agg(F.min("ts").alias("ts"), F.max("end_ts").alias("end_ts"), F.count("*").alias("n"), F.sum("dur").alias("total_dur")).drop("_block")
-
-
-def gaps(spans: DataFrame, keys: list[str]) -> DataFrame:
+    rows, part = l.unionByName(r), list(keys)
+    if cut is not None:
+        rows, part = rows.withColumn("_part", F.floor(F.col(ts) / cut)), [*keys, "_part"]
+        pick = F.min_by if forward else F.max_by
+        per = rows.groupBy(*part).agg(pick("_m", F.when(F.col("_side") == 0, F.struct(ts, seq))).alias("_m"))
+        known = F.last("_m", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(down("_part")).rowsBetween(Window.unboundedPreceding, -1))
+        carry = per.withColumn("_m", known).where("_m is not null")
+        edge = (F.col("_part") + (1 if forward else 0)) * F.lit(cut)  # sorts in front of all rows of its stretch
+        carry = carry.select(*(F.col(c) if c in keys else edge.cast(left.schema[c].dataType).alias(c) if c == ts else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left.columns), "_m", F.lit(-1).alias("_side"), "_part")
+        rows = rows.unionByName(carry)
+    w = Window.partitionBy(*part).orderBy(down(ts), "_side", down(seq)).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("match", F.last("_m", ignorenulls=True).over(w)).where("_side = 1").drop("_m", "_side", "_part")
+
+
+def _carried(rows: DataFrame, keys: list[str], value: Column, f: Callable[[Column], Column], name: str) -> DataFrame:
+    """rows (with _part) with `name`: f over the parts of the key in front of theirs of the aggregate `value`; one row a part is ordered."""
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    per = rows.groupBy(*keys, "_part").agg(value.alias("_v")).withColumn(name, f(F.col("_v")).over(before))
+    return _back(rows, per, keys, name)
+
+
+def _back(rows: DataFrame, per: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """rows with the column `name` of their part; null keys are keys too."""
+    part = [*keys, "_part"]
+    per = per.select(*(F.col(c).alias(f"_of_{c}") for c in part), name)
+    on = F.col("_part") == F.col("_of__part")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    return rows.join(per, on).drop(*(f"_of_{c}" for c in part))
+
+
+def _open(spans: DataFrame, keys: list[str], cut: int | None) -> tuple[DataFrame, list[str]]:
+    """spans with _high (the greatest end of all spans of the key before), and what to partition by."""
+    if cut is None:
+        w = Window.partitionBy(*keys).orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, -1)
+        return spans.withColumn("_high", F.max("end_ts").over(w)), list(keys)
+    rows = _carried(spans.withColumn("_part", F.floor(F.col("ts") / cut)), keys, F.max("end_ts"), F.max, "_old")
+    w = Window.partitionBy(*keys, "_part").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("_high", F.greatest(F.max("end_ts").over(w), "_old")).drop("_old"), [*keys, "_part"]
+
+
+def merged(spans: DataFrame, keys: list[str], cut: int | None = None) -> DataFrame:
+    """H1: spans of a key joined where the next starts before the end so far (touching ones stay apart): ts, end_ts, n, total_dur.
+    With `cut` a key is sorted in stretches of that length and what reaches into the next one is carried over."""
+    rows, part = _open(spans, keys, cut)
+    rows = rows.withColumn("_new", F.when(F.col("ts") < F.col("_high"), 0).otherwise(1))
+    up = Window.partitionBy(*part).orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    aggs = lambda n: (F.min("ts").alias("ts"), F.max("end_ts").alias("end_ts"), n.alias("n"))
+    blocks = rows.withColumn("_block", F.sum("_new").over(up)).groupBy(*part, "_block").agg(*aggs(F.count("*")), F.sum("dur").alias("total_dur"))
+    if cut is None:
+        return blocks.drop("_block")
+    # a stretch's block 0 goes on with the last block of the stretches before; that one is known by its stretch
+    blocks = _carried(blocks, keys, F.max(F.when(F.col("_block") > 0, F.struct("_part", "_block"))), F.max, "_last")
+    home = F.when(F.col("_block") == 0, F.col("_last")).otherwise(F.struct("_part", "_block"))
+    return blocks.withColumn("_home", home).groupBy(*keys, "_home").agg(*aggs(F.sum("n")), F.sum("total_dur").alias("total_dur")).drop("_home")
+
+
+def gaps(spans: DataFrame, keys: list[str], cut: int | None = None) -> DataFrame:
     """Idle time between consecutive spans: gap_start, gap_end."""
-    return spans.withColumn("_next", F.lead("ts").over(Window.partitionBy(*keys).orderBy("ts", "seq"))).where("_next > end_ts").select(*keys, "seq", F.col("end_ts").alias("gap_start"), F.col("_next").alias("gap_end"))
+    if cut is None:
+        rows = spans.withColumn("_next", F.lead("ts").over(Window.partitionBy(*keys).orderBy("ts", "seq")))
+    else:
+        rows = spans.withColumn("_part", F.floor(F.col("ts") / cut))
+        after = Window.partitionBy(*keys).orderBy("_part")
+        rows = _back(rows, rows.groupBy(*keys, "_part").agg(F.min("ts").alias("_v")).withColumn("_later", F.lead("_v").over(after)), keys, "_later")
+        rows = rows.withColumn("_next", F.coalesce(F.lead("ts").over(Window.partitionBy(*keys, "_part").orderBy("ts", "seq")), "_later"))
+    return rows.where("_next > end_ts").select(*keys, "seq", F.col("end_ts").alias("gap_start"), F.col("_next").alias("gap_end"))
 
 
-def sessions(spans: DataFrame, keys: list[str], gap: Column | int, breaks: Column | None = None) -> DataFrame:
+def sessions(spans: DataFrame, keys: list[str], gap: Column | int, breaks: Column | None = None, cut: int | None = None) -> DataFrame:
     """Adds session, which grows where a span starts `gap` or more after the end of all before, or where breaks holds."""
-    w = Window.partitionBy(*keys).orderBy("ts", "seq")
-    high = F.max("end_ts").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    cut = high.isNull() | (F.col("ts") - high >= gap)
-    return spans.withColumn("_cut", (cut | breaks if breaks is not None else cut).cast("int")).withColumn("session", F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_cut")
+    rows, part = _open(spans, keys, cut)
+    new = F.col("_high").isNull() | (F.col("ts") - F.col("_high") >= gap)
+    rows = rows.withColumn("_cut", (new | breaks if breaks is not None else new).cast("int")).drop("_high")
+    w = Window.partitionBy(*part).orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    if cut is None:
+        return rows.withColumn("session", F.sum("_cut").over(w)).drop("_cut")
+    rows = _carried(rows, keys, F.sum("_cut"), F.sum, "_old")
+    return rows.withColumn("session", F.sum("_cut").over(w) + F.coalesce("_old", F.lit(0))).drop("_cut", "_old", "_part")
 
 
-def interpolated(targets: DataFrame, samples: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
+def interpolated(targets: DataFrame, samples: DataFrame, keys: list[str], value: str = "value", cut: int | None = None) -> DataFrame:
     """H2: the value at each target by the samples around it; before the first and behind the last theirs."""
-    x = as_of(as_of(targets, samples, keys).withColumnRenamed("match", "_p"), samples, keys, forward=True).withColumnRenamed("match", "_n")
+    x = as_of(as_of(targets, samples, keys, cut=cut).withColumnRenamed("match", "_p"), samples, keys, forward=True, cut=cut).withColumnRenamed("match", "_n")
     p, n = F.col("_p"), F.col("_n")
     line = p[value] + (n[value] - p[value]) * (F.col("ts") - p["ts"]) / F.nullif(n["ts"] - p["ts"], F.lit(0))
     return x.withColumn("interpolated", F.coalesce(F.when(p.isNull(), n[value]).when(n.isNull() | (p["ts"] == F.col("ts")), p[value]).otherwise(line), p[value]).cast("double")).drop("_p", "_n")
 
 
+def greedy(pairs: DataFrame, keys: list[str], apart: float) -> DataFrame:
+    """Of pairs keys, ts, seq, other_ts, other_seq those that greedy matching keeps: in the order of (ts, seq) each row takes the nearest
+    of its others that none has taken (ties: the earlier, the smaller seq). Pairs without a rival on either side are kept at once;
+    the rest is matched apart wherever rows lie over `apart` from each other, so a group is as small as the data allow."""
+    from .nest import fold
+
+    n = lambda *c: F.count("*").over(Window.partitionBy(*keys, *c))
+    rows = pairs.withColumn("_mine", n("seq")).withColumn("_theirs", n("other_seq"))
+    plain = rows.where("_mine = 1 and _theirs = 1").drop("_mine", "_theirs")
+    w = Window.partitionBy(*keys).orderBy("ts", "seq", "other_seq")
+    cut = F.coalesce(F.col("ts") - F.lag("ts").over(w) > apart, F.lit(True))
+    rivals = rows.where("_mine > 1 or _theirs > 1").drop("_mine", "_theirs").withColumn("_cut", cut.cast("int")).withColumn("_run", F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_off", F.abs(F.col("ts") - F.col("other_ts")))
+
+    def match(found):
+        used, done = set(), object()
+        for ts, seq, _, other_ts, other_seq in found:
+            if seq != done and other_seq not in used:
+                done = seq
+                used.add(other_seq)
+                yield ts, seq, other_ts, other_seq
+
+    kinds = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in ("ts", "seq", "other_ts", "other_seq"))
+    settled = fold(rivals, [*keys, "_run"], ["ts", "seq", "_off", "other_ts", "other_seq"], match, kinds).drop("_run")
+    return plain.select(*keys, "ts", "seq", "other_ts", "other_seq").unionByName(settled)
+
+
 def tolerance_match(events: DataFrame, configs: DataFrame, keys: list[str], tolerance: float) -> DataFrame:
     """In the order of (ts, seq) each event takes the nearest config of its key that none has taken, if it is within the
-    tolerance. Candidates meet in a band join; runs of events whose bands don't touch are matched apart, so a group is
-    as small as the data allow. Rows keys, seq, config_seq, ts_diff."""
-    import pandas as pd
-
-    c = configs.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("ts").alias("_cts"), F.col("seq").alias("config_seq"))
-    w = Window.partitionBy(*keys).orderBy("ts", "seq")
-    apart = F.coalesce(F.col("ts") - F.lag("ts").over(w) > 2 * tolerance, F.lit(True))
-    e = events.withColumn("_run", F.sum(apart.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_b", F.explode(F.array(*(F.floor(F.col("ts") / (2 * tolerance)) + d for d in (-1, 0, 1)))))
-    on = (F.floor(F.col("_cts") / (2 * tolerance)) == F.col("_b")) & (F.abs(F.col("ts") - F.col("_cts")) <= tolerance)
-    for k in keys:
-        on = on & (F.col(k) == F.col(f"_{k}"))
-    pairs = e.join(c, on).select(*keys, "_run", "ts", "seq", "config_seq", (F.col("ts") - F.col("_cts")).cast("double").alias("ts_diff"), F.col("_cts"))
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        used, out, done = set(), [], None
-        pdf = pdf.assign(_d=pdf["ts_diff"].abs()).sort_values(["ts", "seq", "_d", "_cts", "config_seq"], kind="stable")
-        for row in pdf[[*keys, "seq", "config_seq", "ts_diff"]].itertuples(index=False, name=None):
-            if row[-3] != done and row[-2] not in used:
-                done = row[-3]
-                used.add(row[-2])
-                out.append(row)
-        return pd.DataFrame(out, columns=[*keys, "seq", "config_seq", "ts_diff"])
-
-    kinds = ", ".join(f"{k} {pairs.schema[k].dataType.simpleString()}" for k in [*keys, "seq", "config_seq"])
-    return pairs.groupBy(*keys, F.floor(F.col("_run") / RUNS).alias("_runs")).applyInPandas(greedy, f"{kinds}, ts_diff double")
+    tolerance (both ends count). Rows keys, seq, config_seq, ts_diff."""
+    wide = events.select(*keys, "seq", F.col("ts").alias("at"), (F.col("ts") - tolerance).alias("ts"), (F.col("ts") + tolerance).alias("end_ts"))
+    points = configs.select(*keys, "seq", "ts", F.col("ts").alias("end_ts"))
+    pairs = contained(wide, points, keys, int(2 * tolerance) + 1).select(*(F.col(f"o_{k}").alias(k) for k in keys), F.col("o_at").alias("ts"), F.col("o_seq").alias("seq"), F.col("i_ts").alias("other_ts"), F.col("i_seq").alias("other_seq"))
+    return greedy(pairs, keys, 2 * tolerance).select(*keys, "seq", F.col("other_seq").alias("config_seq"), (F.col("ts") - F.col("other_ts")).cast("double").alias("ts_diff"))

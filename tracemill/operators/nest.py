@@ -6,7 +6,10 @@ are packed into runs of a bounded number of spans as far as the data allow; a lo
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterable
+from functools import partial
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -47,27 +50,35 @@ def fold(df: DataFrame, keys: list[str], columns: list[str], f: Callable[[list[t
     return df.select(*keys, *columns).repartition(*keys).sortWithinPartitions(*keys, *columns).mapInArrow(run, out)
 
 
-def stack(rows: list[tuple]) -> Iterable[tuple]:
-    """From (ts, seq, end_ts, name, anchor) sorted: seq, depth, parent_seq, is_recursive, owner_seq, above. A span stays open for
-    later ones that start before its end, even if it outlives its parent; the owner is the nearest anchor, itself first."""
+def stack(rows: list[tuple], callers: bool = True) -> Iterable[tuple]:
+    """From (ts, seq, end_ts, name, anchor) sorted: seq, depth, parent_seq, is_recursive, owner_seq and, if asked for, above. A span
+    stays open for later ones that start before its end, even if it outlives its parent; the owner is the nearest anchor, itself first."""
     open_: list[tuple] = []  # end, seq, name, owner
+    names: Counter = Counter()
     for ts, seq, end, name, anchor in rows:
         while open_ and ts >= open_[-1][0]:
-            open_.pop()
+            names[open_.pop()[2]] -= 1
         owner = seq if anchor else open_[-1][3] if open_ else None
-        yield seq, len(open_), open_[-1][1] if open_ else None, any(x[2] == name for x in open_), owner, [x[1] for x in reversed(open_)]
+        out = seq, len(open_), open_[-1][1] if open_ else None, names[name] > 0, owner
+        yield (*out, [x[1] for x in reversed(open_)]) if callers else out
         open_.append((end, seq, name, owner))
+        names[name] += 1
 
 
-def nested(spans: DataFrame, keys: list[str], anchor: Column | None = None, callers: bool = False) -> DataFrame:
+def nested(spans: DataFrame, keys: list[str], anchor: Column | None = None, callers: bool = False, cut: int | None = None) -> DataFrame:
     """Keys, seq, depth, parent_seq, is_recursive (a caller has the same name), owner_seq; with callers also above."""
-    pieces = interval.sessions(spans, keys, 0).withColumn("_pack", F.floor(F.sum(F.lit(1)).over(Window.partitionBy(*keys).orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)) / PACK))
-    # a piece goes where its first span goes
-    pieces = pieces.withColumn("_pack", F.min("_pack").over(Window.partitionBy(*keys, "session")))
-    pieces = pieces.withColumn("_anchor", anchor if anchor is not None else F.lit(False))
-    kinds = "seq long, depth int, parent_seq long, is_recursive boolean, owner_seq long, above array<bigint>"
-    out = fold(pieces.withColumn("seq", F.col("seq").cast("bigint")), [*keys, "_pack"], ["ts", "seq", "end_ts", "name", "_anchor"], stack, kinds)
-    return out.drop("_pack") if callers else out.drop("_pack", "above")
+    pieces = interval.sessions(spans, keys, 0, cut=cut)
+    # pieces are packed by their numbers and sizes: a piece goes where the count of spans before it says
+    sizes = pieces.groupBy(*keys, "session").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("session").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = sizes.select(*(F.col(c).alias(f"_of_{c}") for c in keys), F.col("session").alias("_of_session"), F.floor(before / PACK).alias("_pack"))
+    on = F.col("session") == F.col("_of_session")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    pieces = pieces.join(place, on).withColumn("_anchor", anchor if anchor is not None else F.lit(False))
+    kinds = "seq long, depth int, parent_seq long, is_recursive boolean, owner_seq long" + ", above array<bigint>" * callers
+    out = fold(pieces.withColumn("seq", F.col("seq").cast("bigint")), [*keys, "_pack"], ["ts", "seq", "end_ts", "name", "_anchor"], partial(stack, callers=callers), kinds)
+    return out.drop("_pack")
 
 
 def ancestors(tree: DataFrame, keys: list[str]) -> DataFrame:
@@ -87,11 +98,15 @@ def boundary_nodes(tree: DataFrame, keys: list[str], anchors: DataFrame) -> Data
     return rows.join(own, [*keys, "seq"]).where("_n = _own").groupBy(*keys, "seq").agg(F.max_by("ancestor_seq", "distance").alias("boundary_seq"))
 
 
+def _base(name: Column) -> Column:
+    """The part of a name in front of the first dot, null without one."""
+    return F.when(name.contains("."), F.split(name, r"\.")[0])
+
+
 def operators(tree: DataFrame, keys: list[str], layers: DataFrame) -> DataFrame:
     """Below each layer (keys, seq) the first level of spans whose base name differs from the layer's, one for each
     base: keys, layer_seq, seq. tree: nested() with name."""
-    base = F.when(F.col("name").contains("."), F.split("name", r"\.")[0])
-    named = tree.select(*keys, "seq", base.alias("_base"))
+    named = tree.select(*keys, "seq", _base(F.col("name")).alias("_base"))
     root = layers.join(named, [*keys, "seq"]).select(*keys, F.col("seq").alias("layer_seq"), F.col("_base").alias("_root"))
     below = ancestors(tree, keys).join(root.withColumnRenamed("layer_seq", "ancestor_seq"), [*keys, "ancestor_seq"]).join(named, [*keys, "seq"]).where("_base is not null and _base <> _root")
     w = Window.partitionBy(*keys, "ancestor_seq")
@@ -99,41 +114,64 @@ def operators(tree: DataFrame, keys: list[str], layers: DataFrame) -> DataFrame:
     return level.groupBy(*keys, F.col("ancestor_seq").alias("layer_seq"), "_base").agg(F.min("seq").alias("seq")).drop("_base")
 
 
-def collapsed(tree: DataFrame, keys: list[str], share: float = 0.8) -> DataFrame:
-    """Drops wrappers (spans of whose time a single child of the same base name takes over `share`) and hangs what is
-    below them on the nearest kept span: keys, seq, parent_seq. tree: nested() with name and dur."""
-    base = F.split("name", r"\.")[0]
-    child = tree.where("parent_seq is not null").select(*keys, F.col("parent_seq").alias("_p"), base.alias("_cb"), F.col("dur").alias("_cd"))
-    heavy = child.groupBy(*keys, "_p").agg(F.max(F.struct("_cd", "_cb")).alias("_top"))
-    rows = tree.join(heavy.withColumnRenamed("_p", "seq"), [*keys, "seq"], "left").withColumn("_wrap", F.coalesce((F.col("_top._cd") > share * F.col("dur")) & (F.col("_top._cb") == base), F.lit(False)))
-    kept = rows.where("not _wrap").select(*keys, "seq")
+def named_operators(tree: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    """G15 fast path: spans whose name holds one of the given names, of each base name those at its least depth: keys, seq."""
+    hit = F.lit(False)
+    for n in names:
+        hit = hit | F.col("name").contains(n)
+    rows = tree.where(hit).select(*keys, "seq", "depth", F.coalesce(_base(F.col("name")), F.col("name")).alias("_base"))
+    return rows.withColumn("_least", F.min("depth").over(Window.partitionBy(*keys, "_base"))).where("depth = _least").select(*keys, "seq")
+
+
+def collapsed(tree: DataFrame, keys: list[str], share: float = 0.8, aggressive: float | None = None) -> DataFrame:
+    """Drops wrappers and hangs what is below them on the nearest kept span: keys, seq, parent_seq. A wrapper's children of the
+    same base name take over `share` of its time; with `aggressive` (0.9) also a span of whose time any one child takes over that
+    share. tree: nested(callers=True) with name and dur."""
+    child = tree.where("parent_seq is not null").select(*keys, F.col("parent_seq").alias("_p"), _base(F.col("name")).alias("_cb"), F.col("dur").alias("_cd"))
+    rows = tree.select(*keys, "seq", "dur", _base(F.col("name")).alias("_b")).join(child.withColumnRenamed("_p", "seq"), [*keys, "seq"])
+    own = F.coalesce(F.sum(F.when(F.col("_cb") == F.col("_b"), F.col("_cd"))) > share * F.max("dur"), F.lit(False))
+    if aggressive is not None:
+        own = own | (F.max("_cd") > aggressive * F.max("dur"))
+    wraps = rows.where("dur > 0").groupBy(*keys, "seq").agg(own.alias("_wrap")).where("_wrap").select(*keys, "seq")
+    kept = tree.select(*keys, "seq").join(wraps, [*keys, "seq"], "left_anti")
     up = ancestors(tree, keys).join(kept.withColumnRenamed("seq", "ancestor_seq"), [*keys, "ancestor_seq"])
     parent = up.groupBy(*keys, "seq").agg(F.min_by("ancestor_seq", "distance").alias("parent_seq"))
     return kept.join(parent, [*keys, "seq"], "left")
 
 
+def cross_language(host: DataFrame, kernels: DataFrame) -> DataFrame:
+    """Host spans (pid, tid, seq, ts, end_ts, name, dur, corr: that of runtime calls, else null) and GPU work (pid, seq, name, dur,
+    corr) as one tree: pid, tid, seq, parent_seq, name, dur. A runtime call hangs on the span of its thread that holds it, and GPU
+    work on the call with its correlation id (of several the last); work without a call hangs on nothing."""
+    tree = nested(host, ["pid", "tid"]).select("pid", "tid", "seq", "parent_seq").join(host.select("pid", "tid", "seq", "name", F.col("dur").cast("double").alias("dur"), "corr"), ["pid", "tid", "seq"])
+    calls = tree.where("corr is not null").groupBy("pid", "corr").agg(F.max(F.struct("seq", "tid")).alias("_call"))
+    work = kernels.select("pid", "seq", "name", F.col("dur").cast("double").alias("dur"), "corr").join(calls, ["pid", "corr"], "left")
+    return tree.drop("corr").unionByName(work.select("pid", F.col("_call.tid").alias("tid"), "seq", F.col("_call.seq").alias("parent_seq"), "name", "dur"))
+
+
 def shapes(rows: list[tuple]) -> Iterable[tuple]:
-    """From (seq, parent_seq or -1, name, dur, kept) of a tree: equal neighbouring subtrees under a parent as one line:
-    path, depth, name, times, total, idle (time that no child takes)."""
+    """From (seq, parent_seq or -1, name, dur) of a tree: equal neighbouring subtrees under a parent as one line: path, depth, name,
+    times, total, idle (time that no child takes). Subtrees are compared by digests, made from the leaves up without recursion."""
     kids: dict[int, list[tuple]] = {}
     for seq, parent, name, dur in rows:
         kids.setdefault(parent, []).append((seq, name, dur))
-    shape: dict[int, str] = {}
-
-    def sign(seq: int, name: str) -> str:
-        if seq not in shape:
-            shape[seq] = name + "(" + ",".join(sign(s, n) for s, n, _ in kids.get(seq, ())) + ")"
-        return shape[seq]
-
+    order, todo = [], [(s, n) for s, n, _ in kids.get(-1, ())]
+    while todo:
+        seq, name = todo.pop()
+        order.append((seq, name))
+        todo += [(s, n) for s, n, _ in kids.get(seq, ())]
+    shape: dict[int, bytes] = {}
+    for seq, name in reversed(order):  # children come behind their parents in `order`
+        shape[seq] = blake2b(b"".join([name.encode(), b"\0", *(shape[s] for s, _, _ in kids.get(seq, ()))]), digest_size=16).digest()
     todo = [("", 0, -1)]
     while todo:
         path, depth, parent = todo.pop()
         lines: list[list] = []
         for seq, name, dur in kids.get(parent, ()):
-            if lines and lines[-1][0] == sign(seq, name):
+            if lines and lines[-1][0] == shape[seq]:
                 lines[-1][2].append((seq, dur))
             else:
-                lines.append([sign(seq, name), name, [(seq, dur)]])
+                lines.append([shape[seq], name, [(seq, dur)]])
         for k, (_, name, same) in enumerate(lines):
             here = f"{path}{k:04d}/"
             total = sum(d for _, d in same)
@@ -145,9 +183,3 @@ def hierarchy(tree: DataFrame, keys: list[str]) -> DataFrame:
     """The grouped tree of each key (a layer): path, depth, name, times, total, idle. tree: seq, parent_seq, name, dur."""
     rows = tree.withColumn("parent_seq", F.coalesce(F.col("parent_seq"), F.lit(-1)).cast("bigint"))
     return fold(rows, keys, ["seq", "parent_seq", "name", "dur"], shapes, "path string, depth int, name string, times int, total double, idle double")
-
-
-def level_shares(levels: list[tuple[int, float]], limit: float = 0.9) -> list[int]:
-    """Depths to show: a level goes if the next takes over `limit` of its time (few rows, on the driver)."""
-    nxt = dict(zip((d for d, _ in levels), (t for _, t in levels[1:])))
-    return [d for d, t in levels if not (d in nxt and t and nxt[d] > limit * t)]

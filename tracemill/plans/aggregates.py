@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import compare, detect, diagnose
+from ..operators import compare, detect, diagnose, metrics, profile
 from .registry import SPANS, TRACE, query, spans, table, trace
 
 
@@ -15,33 +15,12 @@ def F1_F2_function_stats(spark, sf):
     return part.groupBy("name").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.count("*").alias("files"))
 
 
-@query(f"""WITH {SPANS} SELECT name, CAST(count(*) AS BIGINT) AS n, CAST(sum(dur) AS BIGINT) AS total, round(avg(dur), 4) AS mean, round(stddev_pop(dur) / avg(dur), 6) AS instability, CAST(count(*) FILTER (WHERE k < 50) AS BIGINT) AS top_level FROM spans GROUP BY name HAVING count(*) FILTER (WHERE k < 50) > 2""")
-def F3_F4_candidate_stats(spark, sf):
-    per = spans(spark, sf).groupBy("name").agg(F.count("*").alias("n"), F.sum("dur").alias("total"), F.round(F.avg("dur"), 4).alias("mean"), F.round(F.stddev_pop("dur") / F.avg("dur"), 6).alias("instability"), F.count_if(F.col("k") < 50).alias("top_level"))
-    return per.where("top_level > 2")
-
-
-@query(f"""WITH {SPANS}, s AS (SELECT tid, name, count(*) AS n, avg(dur) AS mean, CAST(sum(dur) AS BIGINT) AS total FROM spans GROUP BY tid, name), m AS (SELECT tid, n AS n0, mean AS mean0 FROM s WHERE name = 'view')
- SELECT tid, arg_max(name, (total, name)) AS prefill FROM s JOIN m USING (tid) WHERE name <> 'view' AND n <= n0 * 2 AND mean > 0.5 * mean0 GROUP BY tid""")
-def F5_prefill_anchor(spark, sf):
-    s = spans(spark, sf).groupBy("tid", "name").agg(F.count("*").alias("n"), F.avg("dur").alias("mean"), F.sum("dur").alias("total"))
-    m = s.where("name = 'view'").select("tid", F.col("n").alias("n0"), F.col("mean").alias("mean0"))
-    return s.join(m, "tid").where("name <> 'view' and n <= n0 * 2 and mean > 0.5 * mean0").groupBy("tid").agg(F.max_by("name", F.struct("total", "name")).alias("prefill"))
-
-
 @query(f"""WITH {SPANS}, w AS (SELECT pid, max(end_ts) - min(ts) AS cycle FROM spans GROUP BY pid) SELECT pid, name, tid % 4 AS device, round(100.0 * sum(dur) / max(cycle), 6) AS beta, CAST(count(*) AS BIGINT) AS n FROM spans JOIN w USING (pid) GROUP BY pid, name, tid % 4""")
 def F6_beta(spark, sf):
     rows = spans(spark, sf)
     w = rows.groupBy("pid").agg((F.max("end_ts") - F.min("ts")).alias("cycle"))
-    return rows.join(F.broadcast(w), "pid").groupBy("pid", "name", (F.col("tid") % 4).alias("device")).agg(F.round(F.lit(100.0) * F.sum("dur") / F.max("cycle"), 6).alias("beta"), F.count("*").alias("n"))  # one row a pid of eight
-
-
-@query(f"""WITH {TRACE}, e AS (SELECT tid, ts // 86400000000 AS day, sum(dur) AS dur, avg(k) AS m, stddev_pop(k) AS s, count(*) AS n FROM trace GROUP BY ALL)
- SELECT tid, round(sum(m * dur) / sum(dur), 6) AS mu, round(sqrt(sum(s * s * dur) / sum(dur)), 6) AS sigma, CAST(count(*) FILTER (WHERE n >= 3) AS BIGINT) AS real, CAST(count(*) FILTER (WHERE n < 3) AS BIGINT) AS interpolated FROM e GROUP BY tid""")
-def F7_F8_weighted_moments(spark, sf):
-    e = trace(spark, sf).groupBy("tid", F.expr("ts div 86400000000").alias("day")).agg(F.sum("dur").alias("dur"), F.avg("k").alias("m"), F.stddev_pop("k").alias("s"), F.count("*").alias("n"))
-    w = F.sum("dur")
-    return e.groupBy("tid").agg(F.round(F.sum(F.col("m") * F.col("dur")) / w, 6).alias("mu"), F.round(F.sqrt(F.sum(F.col("s") * F.col("s") * F.col("dur")) / w), 6).alias("sigma"), F.count_if(F.col("n") >= 3).alias("real"), F.count_if(F.col("n") < 3).alias("interpolated"))
+    rows = rows.join(w, "pid").select(F.col("pid").alias("cycle"), F.lit("oncpu").alias("func_type"), "name", "pid", (F.col("tid") % 4).alias("device"), F.col("dur").alias("work_dur"), F.col("cycle").alias("cycle_dur"))
+    return metrics.beta(rows).select("pid", "name", "device", F.round("beta_pct", 6).alias("beta"), "n")
 
 
 @query(f"""WITH {TRACE}, p AS (SELECT pid, tid, ceil(max(value) / 100) AS c FROM trace GROUP BY pid, tid), h AS (SELECT pid, CAST(sum(c) AS BIGINT) AS cores FROM p GROUP BY pid),
@@ -54,9 +33,11 @@ def F9_core_estimate(spark, sf):
     return h.select("pid", "cores", S.nearest(F.col("cores"), V.CORE_COUNTS).alias("estimate"))
 
 
-@query(f"WITH {TRACE} SELECT CAST(count(DISTINCT pid) AS BIGINT) AS pids, CAST(count(DISTINCT tid) AS BIGINT) AS threads, min(ts) AS first_ts, max(end_ts) AS last_ts, CAST(count(*) FILTER (WHERE ph = 'X') AS BIGINT) AS spans FROM trace")
+@query(f"""WITH {TRACE}, x AS (SELECT *, CASE WHEN pid % 2 = 0 THEN 'h' || pid END AS host FROM trace) SELECT CAST(count(DISTINCT COALESCE(host, '')) AS BIGINT) AS hosts, CAST(count(DISTINCT pid) FILTER (WHERE ph = 'X') AS BIGINT) AS pids, CAST(count(DISTINCT tid) FILTER (WHERE ph = 'X') AS BIGINT) AS threads,
+ min(ts) FILTER (WHERE ph = 'X' AND dur > 0) AS first_ts, max(end_ts) FILTER (WHERE ph = 'X' AND dur > 0) AS last_ts, CAST(count(*) FILTER (WHERE ph = 'X') AS BIGINT) AS spans FROM x""")
 def F10_overview(spark, sf):
-    return trace(spark, sf).agg(F.countDistinct("pid").alias("pids"), F.countDistinct("tid").alias("threads"), F.min("ts").alias("first_ts"), F.max("end_ts").alias("last_ts"), F.count_if(F.col("ph") == "X").alias("spans"))
+    host = F.when(F.col("pid") % 2 == 0, F.concat(F.lit("h"), F.col("pid").cast("string")))
+    return profile.overview(trace(spark, sf).withColumn("host", host))
 
 
 @query(f"""WITH {SPANS} SELECT tid, name, CAST(sum(dur) AS BIGINT) AS total, CAST(count(*) AS BIGINT) AS n, round(avg(dur), 4) AS mean, round(median(dur), 4) AS middle, min(dur) AS low, max(dur) AS high, round(stddev_pop(dur), 4) AS sd, round(100.0 * sum(dur) / sum(sum(dur)) OVER (PARTITION BY tid), 6) AS share FROM spans GROUP BY tid, name""")
@@ -65,32 +46,11 @@ def F11_duration_summary(spark, sf):
     return per.withColumn("share", F.round(F.lit(100.0) * F.col("total") / F.sum("total").over(Window.partitionBy("tid")), 6))
 
 
-@query(f"""WITH {SPANS}, d AS (SELECT pid, k // 20 AS depth, CAST(sum(dur) AS BIGINT) AS total, CAST(count(*) AS BIGINT) AS n FROM spans GROUP BY ALL) SELECT *, round(total / lag(total) OVER (PARTITION BY pid ORDER BY depth), 6) AS of_previous FROM d""")
-def F12_depth_levels(spark, sf):
-    d = spans(spark, sf).groupBy("pid", F.expr("k div 20").alias("depth")).agg(F.sum("dur").alias("total"), F.count("*").alias("n"))
-    return d.withColumn("of_previous", F.round(F.col("total") / F.lag("total").over(Window.partitionBy("pid").orderBy("depth")), 6))
-
-
 @query(f"WITH {SPANS} SELECT tid, CAST(sum(dur) AS BIGINT) AS total, round(100.0 * sum(dur) / (max(end_ts) - min(ts)), 6) AS active FROM spans GROUP BY tid")
 def F14_stream_totals(spark, sf):
     return spans(spark, sf).groupBy("tid").agg(F.sum("dur").alias("total"), F.round(F.lit(100.0) * F.sum("dur") / (F.max("end_ts") - F.min("ts")), 6).alias("active"))
 
 
-@query(f"""WITH {SPANS}, p AS (SELECT name, lag(name) OVER (PARTITION BY tid ORDER BY ts, seq) AS caller FROM spans) SELECT caller, name AS callee, CAST(count(*) AS BIGINT) AS n FROM p WHERE caller <> name GROUP BY ALL""")
-def F15_call_edges(spark, sf):
-    p = spans(spark, sf).withColumn("caller", F.lag("name").over(Window.partitionBy("tid").orderBy("ts", "seq"))).where("caller <> name")
-    return p.groupBy("caller", F.col("name").alias("callee")).agg(F.count("*").alias("n"))
-
-
-@query(f"""WITH {TRACE}, h AS (SELECT ts // 86400000000 AS cycle, pid AS host, avg(k) AS m FROM trace WHERE name = 'error' GROUP BY ALL), s AS (SELECT ts // 86400000000 AS cycle, sum(k) AS total FROM trace WHERE name = 'signup' GROUP BY ALL)
- SELECT h.cycle, round(avg(m), 6) AS host_mean, CAST(max(total) AS BIGINT) AS total, round(max(zero), 6) AS zero_share FROM h LEFT JOIN s USING (cycle) LEFT JOIN (SELECT ts // 86400000000 AS cycle, avg(CASE WHEN k = 0 THEN 1.0 ELSE 0.0 END) AS zero FROM trace GROUP BY 1) z USING (cycle) GROUP BY h.cycle""")
-def F16_F17_counter_summaries(spark, sf):
-    t = trace(spark, sf).withColumn("cycle", F.expr("ts div 86400000000"))
-    h = t.where("name = 'error'").groupBy("cycle", "pid").agg(F.avg("k").alias("m")).groupBy("cycle").agg(F.round(F.avg("m"), 6).alias("host_mean"))
-    s = t.groupBy("cycle").agg(F.sum(F.when(F.col("name") == "signup", F.col("k"))).alias("total"), F.round(F.avg(F.when(F.col("k") == 0, 1.0).otherwise(0.0)), 6).alias("zero_share"))
-    return h.join(s, "cycle", "left")
-
-
 #: Lines of finished and open orders as the two runs; discount as beta, tax as mu.
 _AB = """rows AS (SELECT l_returnflag AS fn, l_suppkey % 10 AS device, CASE l_linestatus WHEN 'F' THEN 1 ELSE 2 END AS side, l_orderkey AS cycle, l_discount AS beta, CASE WHEN l_linenumber = 7 THEN 0.0 ELSE l_tax END AS mu FROM lineitem),
  st AS (SELECT fn, device, COALESCE(avg(beta) FILTER (WHERE side = 1), 0) AS b1, COALESCE(avg(beta) FILTER (WHERE side = 2), 0) AS b2, COALESCE(stddev_samp(beta) FILTER (WHERE side = 1), 0) AS bs1, COALESCE(stddev_samp(beta) FILTER (WHERE side = 2), 0) AS bs2,
@@ -229,12 +189,6 @@ def F34_best_member(spark, sf):
     return per.groupBy(F.col("o_orderstatus").alias("cluster")).agg(F.min_by("o_custkey", F.struct("s", "o_custkey")).alias("member"))
 
 
-@query("SELECT l_orderkey, CAST(arg_min(l_quantity, (l_linenumber, l_quantity)) AS BIGINT) AS first_length, array_to_string(list_sort(list_distinct(list(CAST(l_quantity AS BIGINT)))), ',') AS lengths FROM lineitem GROUP BY l_orderkey")
-def F35_request_lengths(spark, sf):
-    q = F.col("l_quantity").cast("bigint")
-    return table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.min_by(q, F.struct("l_linenumber", "l_quantity")).alias("first_length"), F.array_join(F.array_sort(F.collect_set(q)), ",").alias("lengths"))
-
-
 @query("SELECT l_orderkey, arg_max(l_returnflag, (CASE l_returnflag WHEN 'R' THEN 4 WHEN 'A' THEN 3 ELSE 2 END, l_linenumber)) AS chosen FROM lineitem GROUP BY l_orderkey")
 def F36_priority_merge(spark, sf):
     p = F.when(F.col("l_returnflag") == "R", 4).when(F.col("l_returnflag") == "A", 3).otherwise(2)
@@ -243,18 +197,18 @@ def F36_priority_merge(spark, sf):
 
 @query("SELECT n_regionkey AS category, CAST(count(*) AS BIGINT) AS n, string_agg(n_name, ',' ORDER BY n_name) AS items FROM nation GROUP BY 1")
 def F37_hardware_groups(spark, sf):
-    return table(spark, sf, "nation").groupBy(F.col("n_regionkey").alias("category")).agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("n_name")), ",").alias("items"))
+    from ..operators import topology
 
+    out = topology.by_category(table(spark, sf, "nation").select(F.col("n_regionkey").alias("category"), F.col("n_name").alias("component")))
+    return out.select("category", "n", F.array_join("components", ",").alias("items"))
 
-@query("""SELECT l_orderkey, l_linenumber, metric, round(v * 100, 4) AS pct FROM lineitem, LATERAL (SELECT unnest(['discount', 'tax', 'N/A']) AS metric, unnest([l_discount, l_tax, NULL]) AS v) WHERE (metric <> 'N/A' AND v > 0) OR (metric = 'N/A' AND l_discount = 0 AND l_tax = 0)""")
-def F38_metric_rows(spark, sf):
-    rows = table(spark, sf, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_discount", "l_tax", "stack(3, 'discount', l_discount, 'tax', l_tax, 'N/A', CAST(NULL AS DOUBLE)) as (metric, v)")
-    return rows.where("(metric <> 'N/A' and v > 0) or (metric = 'N/A' and l_discount = 0 and l_tax = 0)").select("l_orderkey", "l_linenumber", "metric", F.round(F.col("v") * 100, 4).alias("pct"))
 
-
-@query("SELECT l_suppkey % 50 AS comm, l_linenumber AS rank, arg_max(l_partkey, (l_orderkey, l_partkey)) AS node, arg_min(l_partkey, (l_orderkey, l_partkey)) AS host FROM lineitem GROUP BY 1, 2")
+@query("SELECT comm, rank, node, device FROM (SELECT l_suppkey % 50 AS comm, l_linenumber AS rank, arg_max(l_partkey, (l_orderkey, l_partkey, l_linenumber)) AS node, arg_max(l_linenumber, (l_orderkey, l_partkey, l_linenumber)) AS device FROM lineitem GROUP BY 1, 2)")
 def F39_topology_maps(spark, sf):
-    return table(spark, sf, "lineitem").groupBy((F.col("l_suppkey") % 50).alias("comm"), F.col("l_linenumber").alias("rank")).agg(F.max_by("l_partkey", F.struct("l_orderkey", "l_partkey")).alias("node"), F.min_by("l_partkey", F.struct("l_orderkey", "l_partkey")).alias("host"))
+    from ..operators import topology
+
+    l = table(spark, sf, "lineitem")
+    return topology.maps(l.select(F.col("l_orderkey").alias("seq"), (F.col("l_suppkey") % 50).alias("comm"), F.col("l_linenumber").alias("rank"), F.col("l_partkey").alias("node"), F.col("l_linenumber").alias("device"), F.lit("h").alias("host")))[0]
 
 
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN hosts > 1 THEN l_returnflag END AS host FROM lineitem JOIN (SELECT l_orderkey, count(DISTINCT l_returnflag) AS hosts FROM lineitem GROUP BY 1) USING (l_orderkey)")
@@ -264,13 +218,6 @@ def F40_single_host_switch(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.when(several, F.col("l_returnflag")).alias("host"))
 
 
-@query(f"WITH {SPANS}, s AS (SELECT tid, name, count(*) AS n, min(k) AS depth, avg(dur) AS mean, CAST(sum(dur) AS BIGINT) AS total FROM spans GROUP BY tid, name) SELECT tid, name AS anchor FROM (SELECT *, row_number() OVER (PARTITION BY tid ORDER BY depth, round(mean, 2) DESC, total DESC) AS r FROM s WHERE n > 2) WHERE r = 1")
-def F41_anchor_choice(spark, sf):
-    s = spans(spark, sf).groupBy("tid", "name").agg(F.count("*").alias("n"), F.min("k").alias("depth"), F.avg("dur").alias("mean"), F.sum("dur").alias("total")).where("n > 2")
-    w = Window.partitionBy("tid").orderBy("depth", F.desc(F.round("mean", 2)), F.desc("total"))
-    return s.withColumn("r", F.row_number().over(w)).where("r = 1").select("tid", F.col("name").alias("anchor"))
-
-
 @query(f"""WITH {TRACE}, e AS (SELECT tid, ts, seq, greatest((value - 200) / (value + 1e-9), 0) AS err FROM trace), r AS (SELECT *, CASE WHEN count(*) OVER w = 10 THEN avg(err) OVER w END AS smooth FROM e WINDOW w AS (PARTITION BY tid ORDER BY ts, seq ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)),
  l AS (SELECT tid, least(avg(err) + 3 * stddev_pop(err), 0.5) AS p, least(avg(smooth) + 1.5 * stddev_samp(smooth), 0.5) AS w FROM r GROUP BY tid)
  SELECT seq, round(err, 6) AS err, CASE WHEN err > p THEN 1 ELSE 0 END AS point_alarm, CASE WHEN round(smooth, 9) > round(w, 9) THEN 1 ELSE 0 END AS window_alarm, CASE WHEN smooth > 0.15 THEN 1 ELSE 0 END AS fixed_alarm FROM r JOIN l USING (tid)""")
@@ -286,9 +233,8 @@ def H17_H18_L12_control_chart(spark, sf):
 @query("""WITH n AS (SELECT l_suppkey % 3 AS trial, l_discount, row_number() OVER (PARTITION BY l_suppkey % 3 ORDER BY l_orderkey, l_linenumber, l_discount) - 1000 AS place FROM lineitem)
  SELECT place, max(l_discount) FILTER (WHERE trial = 0) AS t0, max(l_discount) FILTER (WHERE trial = 1) AS t1, max(l_discount) FILTER (WHERE trial = 2) AS t2 FROM n WHERE place BETWEEN -100 AND 100 GROUP BY place""")
 def H19_aligned_trials(spark, sf):
-    place = F.row_number().over(Window.partitionBy("trial").orderBy("l_orderkey", "l_linenumber", "l_discount")).cast("bigint") - 1000
-    rows = table(spark, sf, "lineitem").withColumn("trial", F.col("l_suppkey") % 3).withColumn("place", place).where("place between -100 and 100")
-    return rows.groupBy("place").pivot("trial", [0, 1, 2]).agg(F.max("l_discount")).toDF("place", "t0", "t1", "t2")
+    rows = table(spark, sf, "lineitem").withColumn("trial", F.col("l_suppkey") % 3)
+    return detect.aligned_trials(rows, "trial", ["l_orderkey", "l_linenumber", "l_discount"], "l_discount", 1000, [0, 1, 2])
 
 
 #: Hosts of a cycle from days of the events table, with counters scaled to the units of the health checks.
@@ -326,25 +272,36 @@ _PERF = """p AS (SELECT l_orderkey % 500 AS cycle, 'h' || (l_suppkey % 3) AS hos
  n AS (SELECT cycle, count(DISTINCT host) AS hosts FROM p GROUP BY 1)"""
 
 
-@query(f"""WITH {_PERF} SELECT n.cycle, CASE WHEN beta IS NULL OR beta < 1 THEN 'CPU_BOTTLENECK' WHEN func_type = 'gpu_comm' AND straggler IS NOT NULL AND hosts > 1 THEN 'LOAD_IMBALANCE_PURE' WHEN func_type = 'gpu_comm' THEN 'COMM_BOTTLENECK' WHEN func_type = 'gpu_compute' THEN 'COMPUTE_BOUND' ELSE 'DATA_TRANSFER_BOUND' END AS fingerprint
- FROM n LEFT JOIN t ON t.cycle = n.cycle AND r = 1 LEFT JOIN l ON l.cycle = n.cycle""")
+@query(f"""WITH {_PERF}, f AS (SELECT cycle, 'h' || (cycle % 3) AS host, 1.0 + cycle % 2 AS priority, 'ISSUE_' || (cycle % 5) AS issue FROM (SELECT DISTINCT cycle FROM p) WHERE cycle % 4 = 0 UNION ALL SELECT cycle, 'h1', 2.0, 'OTHER' FROM (SELECT DISTINCT cycle FROM p) WHERE cycle % 8 = 0),
+ m AS (SELECT f.cycle, min(priority) AS pr, count(*) AS n, min(issue) AS issue, array_to_string(list_sort(list_distinct(list(host))), ',') AS at_ FROM f WHERE priority = (SELECT min(priority) FROM f g WHERE g.cycle = f.cycle) GROUP BY f.cycle), c AS (SELECT cycle, arg_max(host, (beta, host)) AS cpu_host FROM p WHERE func_type = 'oncpu' GROUP BY cycle)
+ SELECT n.cycle, CASE WHEN n.cycle % 16 = 5 THEN 'DELAYED_START' WHEN m.n > 1 THEN 'MULTIPLE_P' || CAST(m.pr AS INTEGER) || '_ISSUES' WHEN m.n = 1 THEN m.issue WHEN beta IS NULL OR beta < 1 THEN 'CPU_BOTTLENECK' WHEN func_type = 'gpu_comm' AND straggler IS NOT NULL AND hosts > 1 THEN 'LOAD_IMBALANCE_PURE' WHEN func_type = 'gpu_comm' THEN 'COMM_BOTTLENECK' WHEN func_type = 'gpu_compute' THEN 'COMPUTE_BOUND' ELSE 'DATA_TRANSFER_BOUND' END AS fingerprint,
+ CASE WHEN n.cycle % 16 = 5 THEN NULL WHEN m.n > 0 THEN m.at_ WHEN beta IS NULL OR beta < 1 THEN COALESCE(cpu_host, 'unknown') WHEN func_type = 'gpu_comm' AND straggler IS NOT NULL AND hosts > 1 THEN straggler WHEN func_type = 'gpu_comm' THEN host ELSE 'PID ' || pid || '@' || host || '/' || device END AS detail
+ FROM n LEFT JOIN t ON t.cycle = n.cycle AND r = 1 LEFT JOIN l ON l.cycle = n.cycle LEFT JOIN m ON m.cycle = n.cycle LEFT JOIN c ON c.cycle = n.cycle""")
 def I1_I4_I5_bottlenecks(spark, sf):
     perf = _perf_rows(spark, sf)
-    none = perf.where("false").select("cycle", "host", F.lit(1.0).alias("priority"), F.lit("x").alias("issue"))
-    return diagnose.bottleneck(perf, none).select("cycle", "fingerprint")
+    cycles = perf.select("cycle").distinct()
+    found = cycles.where("cycle % 4 = 0").select("cycle", F.concat(F.lit("h"), (F.col("cycle") % 3).cast("string")).alias("host"), (1.0 + F.col("cycle") % 2).alias("priority"), F.concat(F.lit("ISSUE_"), (F.col("cycle") % 5).cast("string")).alias("issue"))
+    found = found.unionByName(cycles.where("cycle % 8 = 0").select("cycle", F.lit("h1").alias("host"), F.lit(2.0).alias("priority"), F.lit("OTHER").alias("issue")))
+    return diagnose.bottleneck(perf, found, cycles.where("cycle % 16 = 5"))
 
 
-@query()
+@query(f"""WITH {_PERF}, b AS (SELECT n.cycle, CASE WHEN beta IS NULL OR beta < 1 THEN 'CPU_BOTTLENECK' WHEN func_type = 'gpu_comm' AND straggler IS NOT NULL AND hosts > 1 THEN 'LOAD_IMBALANCE_PURE' WHEN func_type = 'gpu_comm' THEN 'COMM_BOTTLENECK' WHEN func_type = 'gpu_compute' THEN 'COMPUTE_BOUND' ELSE 'DATA_TRANSFER_BOUND' END AS fingerprint FROM n LEFT JOIN t ON t.cycle = n.cycle AND r = 1 LEFT JOIN l ON l.cycle = n.cycle),
+ h AS (SELECT cycle, host, sum(dur) AS load FROM p WHERE func_type = 'gpu_compute' GROUP BY ALL), k AS (SELECT cycle, list_reverse_sort(list(load)) AS loads FROM h GROUP BY cycle), w AS (SELECT cycle, COALESCE(max(beta) FILTER (WHERE func_type <> 'oncpu'), max(beta)) AS top FROM p GROUP BY cycle),
+ s AS (SELECT b.cycle, fingerprint, CASE WHEN fingerprint = 'LOAD_IMBALANCE_PURE' THEN CASE WHEN COALESCE(len(loads), 0) < 2 THEN 1.0 ELSE loads[1] / loads[2] END ELSE top / 100 * 1000.0 END AS score FROM b JOIN w USING (cycle) LEFT JOIN k USING (cycle)),
+ z AS (SELECT *, CASE WHEN count(*) OVER f < 2 OR stddev_pop(score) OVER f = 0 THEN 0 ELSE (score - avg(score) OVER f) / stddev_pop(score) OVER f END AS z FROM s WINDOW f AS (PARTITION BY fingerprint))
+ SELECT fingerprint, cycle, round(score, 6) AS score, round(z, 4) AS z FROM (SELECT *, row_number() OVER (PARTITION BY fingerprint ORDER BY score DESC, cycle) AS r FROM z) WHERE r <= 2""")
 def I6_H22_severity(spark, sf):
     perf = _perf_rows(spark, sf)
     none = perf.where("false").select("cycle", "host", F.lit(1.0).alias("priority"), F.lit("x").alias("issue"))
-    return diagnose.representatives(diagnose.severity(perf, diagnose.bottleneck(perf, none)))
+    out = diagnose.representatives(diagnose.severity(perf, diagnose.bottleneck(perf, none)))
+    return out.select("fingerprint", "cycle", F.round("score", 6).alias("score"), F.round("z", 4).alias("z"))
 
 
-@query(f"WITH {SPANS} SELECT pid, name, total, r FROM (SELECT pid, tid || '/' || name AS name, CAST(sum(dur) AS BIGINT) AS total, CAST(row_number() OVER (PARTITION BY pid ORDER BY sum(dur) DESC, tid || '/' || name) AS INTEGER) AS r FROM spans GROUP BY pid, tid, name) WHERE r <= 5")
+@query(f"""WITH {SPANS}, s AS (SELECT pid, name AS category, 'f' || (k % 20) AS name, CAST(count(*) AS BIGINT) AS n, CAST(sum(dur) AS BIGINT) AS total, round(avg(dur), 4) AS mean FROM spans GROUP BY ALL)
+ SELECT * FROM (SELECT *, round(100.0 * total / sum(total) OVER (PARTITION BY pid, category), 6) AS share, CAST(row_number() OVER (PARTITION BY pid, category ORDER BY total DESC, name) AS INTEGER) AS rank FROM s) WHERE rank <= 5""")
 def I8_top_events(spark, sf):
-    per = spans(spark, sf).groupBy("pid", F.concat(F.col("tid").cast("string"), F.lit("/"), "name").alias("name")).agg(F.sum("dur").alias("total"))
-    return per.withColumn("r", F.row_number().over(Window.partitionBy("pid").orderBy(F.desc("total"), "name"))).where("r <= 5")
+    rows = spans(spark, sf).select("pid", F.col("name").alias("category"), F.concat(F.lit("f"), (F.col("k") % 20).cast("string")).alias("name"), "dur")
+    return profile.top_events(rows, ["pid"]).withColumns({"mean": F.round("mean", 4), "share": F.round("share", 6)})
 
 
 @query("""WITH s AS (SELECT l_returnflag AS function, l_linenumber AS device, CAST(l_suppkey % 20 AS VARCHAR) AS metric, round(sum(l_discount) * 10, 4) AS suspicion FROM lineitem GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY function, device ORDER BY suspicion DESC, metric) AS k FROM s WHERE suspicion > 10),
@@ -374,6 +331,64 @@ def L11_trials(spark, sf):
 
 @query("SELECT CAST(floor((l_extendedprice - lo) / w) AS BIGINT) AS bin, CAST(count(*) AS BIGINT) AS n FROM lineitem, (SELECT min(l_extendedprice) AS lo, (max(l_extendedprice) - min(l_extendedprice)) / 50 AS w FROM lineitem) GROUP BY 1")
 def L13_histogram(spark, sf):
-    l = table(spark, sf, "lineitem").select("l_extendedprice")
-    ends = l.agg(F.min("l_extendedprice").alias("lo"), ((F.max("l_extendedprice") - F.min("l_extendedprice")) / 50).alias("w"))
-    return l.join(F.broadcast(ends), F.lit(True)).groupBy(F.floor((F.col("l_extendedprice") - F.col("lo")) / F.col("w")).alias("bin")).agg(F.count("*").alias("n"))  # one row
+    return detect.histogram(table(spark, sf, "lineitem"), "l_extendedprice", 50)
+
+
+@query(f"WITH {TRACE} SELECT name AS cat, CAST(count(*) AS BIGINT) AS n FROM trace WHERE ph = 'X' GROUP BY name")
+def F10_by_category(spark, sf):
+    return profile.by_category(trace(spark, sf).withColumn("cat", F.col("name")))
+
+
+_COUNTERS = f"""{TRACE}, c AS (SELECT ts // 86400000000 AS cycle, 'h' || (tid % 3) AS host, ts // 3600000000 AS hour, k AS value, CASE name WHEN 'error' THEN 'process_cpu_usage_' || pid WHEN 'view' THEN 'process_gpu_usage_' || (k % 4) WHEN 'click' THEN 'process_mem_usage' ELSE name END AS name FROM trace)"""
+
+
+def _counters(spark, sf):
+    n, t = F.col("name"), trace(spark, sf)
+    name = F.when(n == "error", F.concat(F.lit("process_cpu_usage_"), F.col("pid").cast("string"))).when(n == "view", F.concat(F.lit("process_gpu_usage_"), (F.col("k") % 4).cast("string"))).when(n == "click", "process_mem_usage").otherwise(n)
+    return t.select(F.expr("ts div 86400000000").alias("cycle"), F.concat(F.lit("h"), (F.col("tid") % 3).cast("string")).alias("host"), F.expr("ts div 3600000000").alias("ts"), F.col("k").cast("double").alias("value"), name.alias("name"))
+
+
+@query(f"""WITH {_COUNTERS}, h AS (SELECT cycle, host, avg(value) FILTER (WHERE name LIKE 'process_cpu_usage%') AS m FROM c GROUP BY ALL), p AS (SELECT cycle, avg(m) / 16 AS cpu FROM h GROUP BY cycle), g AS (SELECT cycle, avg(value) FILTER (WHERE name LIKE 'process_gpu_usage%') AS gpu, avg(value) FILTER (WHERE name = 'process_mem_usage') AS mem FROM c GROUP BY cycle)
+ SELECT cycle, round(cpu, 6) AS avg_cpu, round(gpu, 6) AS avg_gpu, round(mem, 6) AS avg_mem FROM p JOIN g USING (cycle)""")
+def F16_cycle_counters(spark, sf):
+    return profile.cycle_counters(_counters(spark, sf), 16).select("cycle", *(F.round(c, 6).alias(c) for c in ("avg_cpu", "avg_gpu", "avg_mem")))
+
+
+@query(f"""WITH {_COUNTERS}, s AS (SELECT hour, sum(value) AS v FROM c WHERE name LIKE 'process_cpu_usage%' GROUP BY hour), g AS (SELECT name, avg(value) AS v FROM c WHERE name LIKE 'process_gpu_usage%' GROUP BY name)
+ SELECT round((SELECT avg(v) FROM s) / 16, 6) AS avg_cpu, round((SELECT max(v) FROM s) / 16, 6) AS max_cpu, round((SELECT avg(v) FROM g), 6) AS avg_gpu, round((SELECT avg(CASE WHEN value = 0 THEN 100.0 ELSE 0.0 END) FROM c WHERE name LIKE 'process_gpu_usage%'), 6) AS idle_pct""")
+def F17_global_counters(spark, sf):
+    out = profile.global_counters(_counters(spark, sf), 16)
+    return out.select(*(F.round(c, 6).alias(c) for c in out.columns))
+
+
+@query(f"WITH {_CLASSES}, s AS (SELECT label, CAST(count(*) FILTER (WHERE truth = label AND predicted = label) AS DOUBLE) AS tp, count(*) FILTER (WHERE predicted = label) AS pr, count(*) FILTER (WHERE truth = label) AS n FROM c, (SELECT unnest([0, 1]) AS label) GROUP BY label), m AS (SELECT n, tp / pr AS p, tp / n AS r, 2 * tp / (pr + n) AS f, tp FROM s) SELECT round(sum(tp) / sum(n), 6) AS accuracy, round(avg(p), 6) AS macro_precision, round(avg(r), 6) AS macro_recall, round(avg(f), 6) AS macro_f1, round(sum(p * n) / sum(n), 6) AS weighted_precision, round(sum(r * n) / sum(n), 6) AS weighted_recall, round(sum(f * n) / sum(n), 6) AS weighted_f1 FROM m")
+def F31_class_summary(spark, sf):
+    out = detect.class_summary(_classes(spark, sf), "truth", "predicted")
+    return out.select(*(F.round(c, 6).alias(c) for c in out.columns))
+
+
+@query("SELECT n_regionkey || ': ' || count(*) || chr(10) || string_agg('  - ' || n_name, chr(10) ORDER BY n_name) AS block FROM nation GROUP BY n_regionkey")
+def K4_hardware_report(spark, sf):
+    from ..operators import topology
+
+    text = topology.hardware_report(table(spark, sf, "nation").select(F.col("n_regionkey").alias("category"), F.col("n_name").alias("component")), True)
+    blocks = [b if k == 0 else b for k, b in enumerate(text.replace("\n  - ", "\v").split("\n"))]
+    return spark.createDataFrame([(b.replace("\v", "\n  - "),) for b in blocks], "block string")
+
+
+@query("SELECT n_regionkey AS host, CAST(sum(n_nationkey) AS BIGINT) AS cores, arg_max(n_nationkey * 2, n_nationkey) FILTER (WHERE n_nationkey % 3 > 0) AS memory_gb FROM nation GROUP BY 1")
+def C28_host_cores(spark, sf):
+    from ..operators import topology
+
+    k = F.col("n_nationkey")
+    return topology.cores(table(spark, sf, "nation").select(F.col("n_regionkey").alias("host"), k.alias("seq"), k.alias("cores"), F.when(k % 3 > 0, k * 2).alias("memory_gb")))
+
+
+@query("SELECT l_returnflag, l_linenumber, CAST(count(*) AS BIGINT) AS n, round(avg(l_discount), 6) AS mean FROM lineitem GROUP BY ALL")
+def L13_heat_map(spark, sf):
+    return detect.heat(table(spark, sf, "lineitem"), "l_returnflag", "l_linenumber", "l_discount").withColumn("mean", F.round("mean", 6))
+
+
+@query("SELECT round(lo - 0.05 * (hi - lo), 4) AS low, round(hi + 0.05 * (hi - lo), 4) AS high FROM (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders)")
+def L13_axis_range(spark, sf):
+    return detect.axis_range(table(spark, sf, "orders"), "o_totalprice").select(F.round("low", 4).alias("low"), F.round("high", 4).alias("high"))

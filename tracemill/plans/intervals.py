@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import compare, detect, diagnose, periods, topology
+from ..operators import cycles as C
 from ..operators import interval as I
 from .registry import SPANS, TRACE, query, samples, spans, table, trace
 
@@ -32,13 +34,11 @@ def E2_containment_join(spark, sf):
     return I.contained(cycles(spark, sf), work(spark, sf), ["pid"], HOUR).select(F.col("o_seq").alias("cycle"), F.col("i_seq").alias("seq"), F.col("i_dur").alias("dur"))
 
 
-@query(f"""WITH {_CYCLES}, inside AS (SELECT c.seq AS cycle, w.seq, w.k FROM cycles c JOIN work w ON c.pid = w.pid AND w.ts >= c.ts AND w.end_ts <= c.end_ts)
- SELECT cycle, seq, 'contained' AS how FROM inside UNION ALL SELECT DISTINCT i.cycle, t.seq, 'correlated' FROM inside i JOIN trace t ON t.ph = 'C' AND t.k = i.k AND t.seq BETWEEN i.seq - 200 AND i.seq + 200""")
+@query(f"""WITH {_CYCLES}, inside AS (SELECT c.seq AS layer_seq, w.pid, w.seq, w.k FROM cycles c JOIN work w ON c.pid = w.pid AND w.ts >= c.ts AND w.end_ts <= c.end_ts)
+ SELECT layer_seq, seq, 'contained' AS how FROM inside UNION ALL SELECT DISTINCT i.layer_seq, t.seq, 'correlated' FROM inside i JOIN samples t ON t.pid = i.pid AND t.value = i.k""")
 def E3_layer_events(spark, sf):
-    inside = I.contained(cycles(spark, sf), work(spark, sf), ["pid"], HOUR).select(F.col("o_seq").alias("cycle"), F.col("i_seq").alias("seq"), F.col("i_k").alias("k"))
-    counters = trace(spark, sf).where("ph = 'C'").select(F.col("seq").alias("c_seq"), F.col("k").alias("c_k"))
-    near = inside.join(counters, (F.col("k") == F.col("c_k")) & F.col("c_seq").between(F.col("seq") - 200, F.col("seq") + 200)).select("cycle", F.col("c_seq").alias("seq"), F.lit("correlated").alias("how")).distinct()
-    return inside.select("cycle", "seq", F.lit("contained").alias("how")).unionByName(near)
+    sync = work(spark, sf).withColumn("corr", F.col("k"))
+    return C.layer_events(cycles(spark, sf), sync, samples(spark, sf).withColumn("corr", F.col("value").cast("bigint")), ["pid"], HOUR)
 
 
 @query(f"WITH {_CYCLES} SELECT seq, cycle FROM (SELECT w.seq, c.seq AS cycle, row_number() OVER (PARTITION BY w.seq ORDER BY c.ts DESC, c.seq DESC) AS r FROM cycles c JOIN work w ON w.ts >= c.ts AND w.end_ts <= c.end_ts) WHERE r = 1")
@@ -49,15 +49,15 @@ def E4_last_cover(spark, sf):
 
 @query(f"""WITH {_CYCLES} SELECT w.seq, c.seq AS parent FROM work w ASOF JOIN cycles c ON w.pid = c.pid AND w.ts >= c.ts WHERE w.end_ts <= c.end_ts""")
 def E5_as_of_parent(spark, sf):
-    hit = I.as_of(work(spark, sf), cycles(spark, sf), ["pid"])
+    hit = I.as_of(work(spark, sf), cycles(spark, sf), ["pid"], cut=DAY)
     return hit.where("match.end_ts >= end_ts").select("seq", F.col("match.seq").alias("parent"))
 
 
 @query(f"""WITH {_CYCLES}, between_ AS (SELECT pid, seq, end_ts AS g0, lead(ts) OVER (PARTITION BY pid ORDER BY ts, seq) AS g1 FROM cycles)
  SELECT w.seq, b.seq AS after_cycle FROM work w ASOF JOIN (SELECT * FROM between_ WHERE g1 > g0) b ON w.pid = b.pid AND w.ts >= b.g0 WHERE w.end_ts <= b.g1""")
 def E6_transition_owner(spark, sf):
-    gaps = I.gaps(cycles(spark, sf), ["pid"]).select("pid", "seq", F.col("gap_start").alias("ts"), "gap_end")
-    return I.as_of(work(spark, sf), gaps, ["pid"]).where("end_ts <= match.gap_end").select("seq", F.col("match.seq").alias("after_cycle"))
+    gaps = I.gaps(cycles(spark, sf), ["pid"], cut=DAY).select("pid", "seq", F.col("gap_start").alias("ts"), "gap_end")
+    return I.as_of(work(spark, sf), gaps, ["pid"], cut=DAY).where("end_ts <= match.gap_end").select("seq", F.col("match.seq").alias("after_cycle"))
 
 
 @query(f"""WITH {_CYCLES} SELECT c.seq AS cycle, w.seq, greatest(c.ts, w.ts) AS slice_ts, least(c.end_ts, w.end_ts) - greatest(c.ts, w.ts) AS slice_dur, w.ts < c.ts OR w.end_ts > c.end_ts AS is_slice
@@ -89,36 +89,46 @@ def E10_key_fallback(spark, sf):
     return rows.withColumn("found", F.coalesce("a", "b")).where("found is not null").select("l_orderkey", "l_linenumber", "found")
 
 
-@query(f"""WITH {TRACE} SELECT t.seq, CASE WHEN t.k % 2 = 0 THEN 'own' || t.k ELSE h.host END AS host FROM trace t LEFT JOIN (SELECT pid, arg_max('host' || tid, seq) AS host FROM trace WHERE name = 'error' GROUP BY pid) h USING (pid)""")
+@query(f"""WITH {TRACE} SELECT t.seq, CASE WHEN t.k % 2 = 0 THEN 'own' || t.k ELSE h.host END AS host FROM trace t LEFT JOIN (SELECT pid, arg_max('own' || k, seq) AS host FROM trace WHERE k % 2 = 0 GROUP BY pid) h USING (pid)""")
 def E11_hostname_enrichment(spark, sf):
-    rows = trace(spark, sf)
-    hosts = rows.where("name = 'error'").groupBy("pid").agg(F.concat(F.lit("host"), F.max_by("tid", "seq").cast("string")).alias("host"))
     own = F.when(F.col("k") % 2 == 0, F.concat(F.lit("own"), F.col("k").cast("string")))
-    return rows.join(hosts, "pid", "left").select("seq", F.coalesce(own, "host").alias("host"))
+    return topology.enriched(trace(spark, sf).select("seq", "pid", own.alias("host"))).select("seq", "host")
 
 
-@query("""SELECT l_orderkey, l_linenumber, role, s_nationkey AS node, n_regionkey AS zone FROM (SELECT l_orderkey, l_linenumber, unnest(['next', 'prev']) AS role, unnest([l_suppkey + 1, l_suppkey - 1]) AS peer FROM lineitem) LEFT JOIN supplier ON s_suppkey = peer LEFT JOIN nation ON n_nationkey = s_nationkey""")
+_CALLS = """calls AS (SELECT l_orderkey * 10 + l_linenumber AS seq, l_suppkey % 20 AS comm, l_partkey % 40 AS rank, CASE WHEN l_discount > 0 THEN l_suppkey % 7 END AS node, l_linenumber AS device, 'h' || (l_orderkey % 11) AS host,
+ l_partkey % 41 AS rp, l_suppkey % 43 AS rn, l_orderkey % 47 AS td0, CASE WHEN l_linenumber > 3 THEN l_orderkey % 53 END AS td1, NULL AS td2, l_linenumber AS tu FROM lineitem),
+ ranks AS (SELECT comm, rank, arg_max(node, (seq, node, device)) AS node, arg_max(device, (seq, node, device)) AS device FROM calls WHERE node IS NOT NULL GROUP BY comm, rank), hosts AS (SELECT comm, node, arg_min(host, (seq, host)) AS host FROM calls WHERE node IS NOT NULL GROUP BY comm, node)"""
+
+
+def _calls(spark, sf):
+    l, c = table(spark, sf, "lineitem"), F.col
+    return l.select(
+        (c("l_orderkey") * 10 + c("l_linenumber")).alias("seq"), (c("l_suppkey") % 20).alias("comm"), (c("l_partkey") % 40).alias("rank"), F.when(c("l_discount") > 0, c("l_suppkey") % 7).alias("node"), c("l_linenumber").alias("device"), F.concat(F.lit("h"), (c("l_orderkey") % 11).cast("string")).alias("host"),
+        (c("l_partkey") % 41).alias("rp"), (c("l_suppkey") % 43).alias("rn"), (c("l_orderkey") % 47).alias("td0"), F.when(c("l_linenumber") > 3, c("l_orderkey") % 53).alias("td1"), F.lit(None).cast("long").alias("td2"), c("l_linenumber").alias("tu"),
+    )
+
+
+@query(f"""WITH {_CALLS}, p AS (SELECT seq, comm, unnest(['rp', 'rn', 'td0', 'td1', 'td2', 'tu']) AS role, unnest([rp, rn, td0, td1, td2, tu]) AS peer_rank FROM calls)
+ SELECT seq, role, 'host:' || COALESCE(h.host, CAST(r.node AS VARCHAR)) || ',dev:' || r.device AS peer FROM p JOIN ranks r ON r.comm = p.comm AND r.rank = p.peer_rank LEFT JOIN hosts h ON h.comm = r.comm AND h.node = r.node""")
 def E12_topology_roles(spark, sf):
-    roles = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.expr("stack(2, 'next', l_suppkey + 1, 'prev', l_suppkey - 1) as (role, peer)"))
-    s, n = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey"), table(spark, sf, "nation").select("n_nationkey", "n_regionkey")
-    return roles.join(s, F.col("peer") == F.col("s_suppkey"), "left").join(n, F.col("s_nationkey") == F.col("n_nationkey"), "left").select("l_orderkey", "l_linenumber", "role", F.col("s_nationkey").alias("node"), F.col("n_regionkey").alias("zone"))
+    calls = _calls(spark, sf)
+    return topology.peers(calls, *topology.maps(calls))
 
 
-@query(f"""WITH {_CYCLES} SELECT cycle, tid, seq FROM (SELECT c.seq AS cycle, w.tid, w.seq, row_number() OVER (PARTITION BY c.seq, w.tid ORDER BY abs(w.ts - c.ts), w.seq) AS r FROM cycles c JOIN work w ON w.pid = c.pid AND w.tid <> c.tid AND abs(w.ts - c.ts) <= c.dur * 0.5) WHERE r = 1""")
-def E14_nearest_follower(spark, sf):
-    wide = cycles(spark, sf).select("seq", "pid", "tid", F.col("ts").alias("at"), "dur", (F.col("ts") - F.col("dur") * 0.5).alias("ts"), (F.col("ts") + F.col("dur") * 0.5).alias("end_ts"))
-    points = work(spark, sf).select("seq", "pid", "tid", "ts", F.col("ts").alias("end_ts"))
-    hits = I.contained(wide, points, ["pid"], HOUR).where("i_tid <> o_tid")
-    return hits.groupBy(F.col("o_seq").alias("cycle"), F.col("i_tid").alias("tid")).agg(F.min_by("i_seq", F.struct(F.abs(F.col("i_ts") - F.col("o_at")), "i_seq")).alias("seq"))
+def _round_sql(k: int) -> str:
+    """A round of pacers and followers, in plain SQL: a is what rounds before have left."""
+    return f"""l{k} AS (SELECT pid FROM a{k} GROUP BY pid ORDER BY count(*) DESC, pid LIMIT 1), p{k} AS (SELECT * FROM a{k} WHERE pid IN (SELECT pid FROM l{k})),
+ m{k} AS (SELECT pacer_seq, seq FROM (SELECT p.seq AS pacer_seq, o.seq, row_number() OVER (PARTITION BY p.seq, o.pid ORDER BY abs(o.ts - p.ts), o.seq) AS r FROM p{k} p JOIN a{k} o ON o.pid <> p.pid AND o.ts >= p.ts - p.dur * 0.5 AND o.ts < p.ts + p.dur * 0.5) WHERE r = 1 UNION ALL SELECT seq, seq FROM p{k}),
+ a{k + 1} AS (SELECT * FROM a{k} WHERE seq NOT IN (SELECT seq FROM m{k}))"""
 
 
-@query("""WITH a AS (SELECT o_custkey, o_totalprice AS x, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey) AS r FROM orders WHERE o_orderstatus = 'F'),
- b AS (SELECT o_custkey, o_totalprice AS y, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey) AS r FROM orders WHERE o_orderstatus = 'O')
- SELECT COALESCE(a.o_custkey, b.o_custkey) AS o_custkey, CAST(COALESCE(a.r, b.r) AS INTEGER) AS r, x, y, round(y - x, 2) AS delta FROM a FULL JOIN b ON a.o_custkey = b.o_custkey AND a.r = b.r""")
+@query("""WITH a AS (SELECT o_custkey, o_totalprice AS x, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC) AS r FROM orders WHERE o_orderstatus = 'F'),
+ b AS (SELECT o_custkey, o_totalprice AS y, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC) AS r FROM orders WHERE o_orderstatus = 'O')
+ SELECT COALESCE(a.o_custkey, b.o_custkey) AS o_custkey, CAST(COALESCE(a.r, b.r) AS INTEGER) AS rank, x, y, round(y - x, 2) AS delta, round((y - x) / x * 100, 4) AS change_pct FROM a FULL JOIN b ON a.o_custkey = b.o_custkey AND a.r = b.r""")
 def E16_rank_aligned(spark, sf):
-    o = table(spark, sf, "orders").withColumn("r", F.row_number().over(Window.partitionBy("o_custkey", "o_orderstatus").orderBy("o_totalprice", "o_orderkey")))
-    a, b = (o.where(F.col("o_orderstatus") == k).select("o_custkey", "r", F.col("o_totalprice").alias(v)) for k, v in (("F", "x"), ("O", "y")))
-    return a.join(b, ["o_custkey", "r"], "full_outer").withColumn("delta", F.round(F.col("y") - F.col("x"), 2))
+    o = table(spark, sf, "orders")
+    a, b = (o.where(F.col("o_orderstatus") == k) for k in ("F", "O"))
+    return compare.ranked_pairs(a, b, ["o_custkey"], "o_totalprice").withColumn("delta", F.round("delta", 2)).withColumn("change_pct", F.round("change_pct", 4))
 
 
 @query("SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
@@ -135,8 +145,8 @@ def E20_representative_pairs(spark, sf):
 @query(f"""WITH {SPANS}, gap AS (SELECT tid, seq, end_ts AS g0, lead(ts) OVER (PARTITION BY tid ORDER BY ts, seq) AS g1 FROM spans)
  SELECT g.seq, CAST(count(*) AS BIGINT) AS triggers FROM gap g JOIN samples s ON s.tid = g.tid AND s.ts >= g0 AND s.ts < g1 WHERE g1 > g0 GROUP BY g.seq HAVING count(*) > 1""")
 def E21_idle_triggers(spark, sf):
-    gaps = I.gaps(spans(spark, sf), ["tid"]).select("tid", "seq", F.col("gap_start").alias("ts"), "gap_end")
-    hit = I.as_of(samples(spark, sf), gaps, ["tid"]).where("ts < match.gap_end")
+    gaps = I.gaps(spans(spark, sf), ["tid"], cut=7 * DAY).select("tid", "seq", F.col("gap_start").alias("ts"), "gap_end")
+    hit = I.as_of(samples(spark, sf), gaps, ["tid"], cut=7 * DAY).where("ts < match.gap_end")
     return hit.groupBy(F.col("match.seq").alias("seq")).agg(F.count("*").alias("triggers")).where("triggers > 1")
 
 
@@ -146,12 +156,6 @@ def E22_E23_period_attach(spark, sf):
     return hits.groupBy(F.col("o_seq").alias("cycle")).agg(F.count("*").alias("n"), F.sum("i_dur").alias("total"))
 
 
-@query("""SELECT l_orderkey, l_linenumber, o.cycle FROM lineitem LEFT JOIN (SELECT o_custkey % 1000 AS key, max(o_orderkey) AS cycle FROM orders GROUP BY 1) o ON o.key = l_partkey""")
-def E25_owner_cycle(spark, sf):
-    owners = table(spark, sf, "orders").groupBy((F.col("o_custkey") % 1000).alias("key")).agg(F.max("o_orderkey").alias("cycle"))
-    return table(spark, sf, "lineitem").join(owners, F.col("l_partkey") == F.col("key"), "left").select("l_orderkey", "l_linenumber", "cycle")
-
-
 _MERGE = """, flagged AS (SELECT *, CASE WHEN ts < max(end_ts) OVER (PARTITION BY pid ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS f FROM spans),
  blocks AS (SELECT *, sum(f) OVER (PARTITION BY pid ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS b FROM flagged),
  busy AS (SELECT pid, b, min(ts) AS ts, max(end_ts) AS end_ts, CAST(count(*) AS BIGINT) AS n, CAST(sum(dur) AS BIGINT) AS total_dur FROM blocks GROUP BY pid, b)"""
@@ -159,12 +163,12 @@ _MERGE = """, flagged AS (SELECT *, CASE WHEN ts < max(end_ts) OVER (PARTITION B
 
 @query(f"WITH {SPANS} {_MERGE} SELECT pid, ts, end_ts, n, total_dur FROM busy")
 def H1_interval_merge(spark, sf):
-    return I.merged(spans(spark, sf), ["pid"])
+    return I.merged(spans(spark, sf), ["pid"], cut=DAY)
 
 
 @query(f"WITH {SPANS} {_MERGE} SELECT pid, CAST(sum(end_ts - ts) AS BIGINT) AS busy, CAST(max(end_ts) - min(ts) - sum(end_ts - ts) AS BIGINT) AS idle, round(sum(total_dur) / sum(end_ts - ts), 6) AS depth FROM busy GROUP BY pid")
 def F13_busy_idle(spark, sf):
-    m = I.merged(spans(spark, sf), ["pid"])
+    m = I.merged(spans(spark, sf), ["pid"], cut=DAY)
     busy = F.sum(F.col("end_ts") - F.col("ts"))
     return m.groupBy("pid").agg(busy.alias("busy"), (F.max("end_ts") - F.min("ts") - busy).alias("idle"), F.round(F.sum("total_dur") / busy, 6).alias("depth"))
 
@@ -173,16 +177,13 @@ def F13_busy_idle(spark, sf):
  n AS (SELECT w.seq, s.ts AS t1, s.value AS v1 FROM spans w ASOF LEFT JOIN samples s ON w.pid = s.pid AND w.ts <= s.ts)
  SELECT seq, round(CASE WHEN t0 IS NULL THEN v1 WHEN t1 IS NULL OR t0 = ts THEN v0 ELSE v0 + (v1 - v0) * (ts - t0) / (t1 - t0) END, 4) AS value FROM p JOIN n USING (seq)""")
 def H2_interpolation(spark, sf):
-    return I.interpolated(spans(spark, sf), samples(spark, sf), ["pid"]).select("seq", F.round("interpolated", 4).alias("value"))
+    return I.interpolated(spans(spark, sf), samples(spark, sf), ["pid"], cut=DAY).select("seq", F.round("interpolated", 4).alias("value"))
 
 
 @query(f"""WITH {SPANS}, g AS (SELECT *, ts - lag(ts) OVER (PARTITION BY pid ORDER BY ts, seq) AS gap FROM spans), c AS (SELECT pid, greatest(quantile_cont(gap, 0.998), 1000000) AS cut FROM g GROUP BY pid)
  SELECT pid, seq, CAST(sum(CASE WHEN gap > cut THEN 1 ELSE 0 END) OVER (PARTITION BY pid ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS phase FROM g JOIN c USING (pid)""")
 def H4_gap_phases(spark, sf):
-    w = Window.partitionBy("pid").orderBy("ts", "seq")
-    g = spans(spark, sf).withColumn("gap", F.col("ts") - F.lag("ts").over(w))
-    cut = g.groupBy("pid").agg(F.greatest(F.percentile("gap", 0.998), F.lit(1e6)).alias("cut"))
-    return g.join(F.broadcast(cut), "pid").select("pid", "seq", F.sum((F.coalesce(F.col("gap") > F.col("cut"), F.lit(False))).cast("bigint")).over(w).alias("phase"))  # one row a pid of eight
+    return periods.phases(spans(spark, sf), ["pid"]).select("pid", "seq", "phase")
 
 
 @query(f"WITH {SPANS} SELECT seq, CAST(count(*) OVER (PARTITION BY pid ORDER BY ts RANGE BETWEEN CURRENT ROW AND {HOUR} FOLLOWING) AS BIGINT) AS density FROM spans")
@@ -200,19 +201,23 @@ def H9_start_detection(spark, sf):
     return d.groupBy("pid").agg(F.max_by("day", F.struct(F.round("rise", 6), -F.col("day"))).alias("start_day"), F.round(F.max("rise"), 6).alias("rise"))
 
 
-@query(f"""WITH {_CYCLES}, n AS (SELECT *, lead(ts) OVER (PARTITION BY pid ORDER BY ts, seq) AS nxt FROM cycles) SELECT seq, ts AS start_ts, CASE WHEN COALESCE(nxt, ts + {HOUR}) > ts + {12 * HOUR} THEN ts + {HOUR} ELSE COALESCE(nxt, ts + {HOUR}) END AS end_ts FROM n""")
+@query(f"""WITH {_CYCLES}, s AS (SELECT pid, ts, lead(ts) OVER (PARTITION BY pid ORDER BY ts) AS nxt, row_number() OVER (PARTITION BY pid ORDER BY ts) AS r FROM cycles), b AS (SELECT pid, min(ts) AS begin_ FROM spans GROUP BY pid)
+ SELECT pid, CAST(ts AS DOUBLE) AS start_ts, CAST(COALESCE(nxt, ts + {HOUR}) AS DOUBLE) AS end_ts, 3 AS type FROM s WHERE nxt IS NULL OR nxt - ts > 1
+ UNION ALL SELECT pid, CAST(greatest(begin_, ts - {HOUR}) AS DOUBLE), CAST(ts AS DOUBLE), 3 FROM s JOIN b USING (pid) WHERE r = 1 AND ts - greatest(begin_, ts - {HOUR}) > 0.2 * {HOUR}""")
 def H13_periods_from_seeds(spark, sf):
-    nxt = F.coalesce(F.lead("ts").over(Window.partitionBy("pid").orderBy("ts", "seq")), F.col("ts") + HOUR)
-    return cycles(spark, sf).select("seq", F.col("ts").alias("start_ts"), F.when(nxt > F.col("ts") + 12 * HOUR, F.col("ts") + HOUR).otherwise(nxt).alias("end_ts"))
+    seeds = cycles(spark, sf).select("pid", F.col("ts").cast("double").alias("ts"))
+    starts = spans(spark, sf).groupBy("pid").agg(F.min("ts").cast("double").alias("start_ts")).withColumn("period_us", F.lit(float(HOUR)))
+    return periods.from_seeds(seeds, starts, ["pid"])
 
 
-@query(f"""WITH {_CYCLES}, g AS (SELECT pid, seq, ts, ts - lag(ts) OVER (PARTITION BY pid ORDER BY ts, seq) AS gap FROM cycles), f AS (SELECT pid, min(ts) AS cut FROM g WHERE gap > 1.7 * {HOUR} GROUP BY pid)
- SELECT seq, CASE WHEN ts < cut OR cut IS NULL THEN 1 ELSE 2 END AS type FROM g LEFT JOIN f USING (pid)""")
+@query(f"""WITH {_CYCLES}, lead_ AS (SELECT seq, ts FROM cycles WHERE pid IN (SELECT pid FROM cycles GROUP BY pid ORDER BY count(*) DESC, pid LIMIT 1)),
+ g AS (SELECT row_number() OVER (ORDER BY ts, seq) AS k, ts - lag(ts) OVER (ORDER BY ts, seq) AS gap FROM lead_), f AS (SELECT COALESCE(min(k), 1) - 1 AS split FROM g WHERE gap > 1.7 * {2 * HOUR}),
+ o AS (SELECT CAST(ts AS DOUBLE) AS start_ts, row_number() OVER (ORDER BY ts, seq) - 1 AS k FROM lead_), d AS (SELECT start_ts, lead(start_ts) OVER (ORDER BY k) AS nxt FROM o, f WHERE k >= split)
+ SELECT start_ts, COALESCE(nxt, start_ts + {2 * HOUR}) AS end_ts, 2 AS type FROM d WHERE (nxt IS NULL OR nxt - start_ts > 1) AND (SELECT count(*) FROM d WHERE nxt IS NULL OR nxt - start_ts > 1) >= 2
+ UNION ALL SELECT 0.0, min(start_ts), 1 FROM d HAVING (SELECT split FROM f) > 0 AND min(start_ts) > 0""")
 def H14_first_gap_split(spark, sf):
-    w = Window.partitionBy("pid").orderBy("ts", "seq")
-    g = cycles(spark, sf).withColumn("gap", F.col("ts") - F.lag("ts").over(w))
-    cut = F.min(F.when(F.col("gap") > 1.7 * HOUR, F.col("ts"))).over(Window.partitionBy("pid"))
-    return g.withColumn("cut", cut).select("seq", F.when((F.col("ts") < F.col("cut")) | F.col("cut").isNull(), 1).otherwise(2).alias("type"))
+    lead = cycles(spark, sf).groupBy("pid").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "pid").limit(1)
+    return periods.aligned(cycles(spark, sf).join(lead, "pid", "left_semi").select("pid", "seq", "ts"), 2.0 * HOUR, 0.0)
 
 
 @query(f"WITH {TRACE} SELECT seq, round(CASE WHEN count(*) OVER w = 10 THEN avg(value) OVER w END, 6) AS rolling FROM trace WINDOW w AS (PARTITION BY tid ORDER BY ts, seq ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)")
@@ -223,82 +228,97 @@ def H15_rolling_mean(spark, sf):
 
 @query(f"WITH {TRACE} SELECT seq, round(avg(value) OVER (PARTITION BY tid ORDER BY ts, seq ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) AS smooth FROM trace")
 def H16_centered_mean(spark, sf):
-    return trace(spark, sf).select("seq", F.round(F.avg("value").over(Window.partitionBy("tid").orderBy("ts", "seq").rowsBetween(-2, 2)), 6).alias("smooth"))
+    return trace(spark, sf).select("seq", F.round(detect.smoothed("value", ["tid"], ["ts", "seq"]), 6).alias("smooth"))
 
 
-@query(f"WITH {TRACE}, d AS (SELECT seq, tid, ts, pid <> lag(pid, 1, pid) OVER (ORDER BY seq) AS x, name <> lag(name) OVER (PARTITION BY tid ORDER BY ts, seq) AS changed FROM trace) SELECT seq FROM d WHERE changed")
+@query(f"WITH {TRACE}, d AS (SELECT seq, name <> lag(name) OVER (PARTITION BY tid ORDER BY ts, seq) AS changed FROM trace) SELECT seq FROM d WHERE changed")
 def H20_boundaries(spark, sf):
-    return trace(spark, sf).withColumn("was", F.lag("name").over(Window.partitionBy("tid").orderBy("ts", "seq"))).where("name <> was").select("seq")
+    return detect.trial_starts(trace(spark, sf), ["tid"], ["ts", "seq"], "name").select("seq")
 
 
 @query(f"WITH {SPANS}, n AS (SELECT tid, seq, end_ts, lead(ts) OVER (PARTITION BY tid ORDER BY ts, seq) AS nxt FROM spans) SELECT tid, seq, end_ts AS gap_start, nxt AS gap_end FROM n WHERE nxt > end_ts")
 def H21_idle_gaps(spark, sf):
-    return I.gaps(spans(spark, sf), ["tid"])
+    return I.gaps(spans(spark, sf), ["tid"], cut=7 * DAY)
 
 
-@query("""WITH z AS (SELECT o_orderpriority, o_orderkey, o_totalprice, count(*) OVER g AS n, avg(o_totalprice) OVER g AS m, stddev_pop(o_totalprice) OVER g AS s FROM orders WINDOW g AS (PARTITION BY o_orderpriority)),
- r AS (SELECT *, round(CASE WHEN n < 2 OR s = 0 THEN 0 ELSE (o_totalprice - m) / s END, 4) AS z, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS k FROM z) SELECT o_orderpriority, o_orderkey, z FROM r WHERE k <= 2""")
+@query("""WITH z AS (SELECT o_orderpriority AS fingerprint, o_orderkey AS cycle, o_totalprice, count(*) OVER g AS n, avg(o_totalprice) OVER g AS m, stddev_pop(o_totalprice) OVER g AS s FROM orders WINDOW g AS (PARTITION BY o_orderpriority)),
+ r AS (SELECT *, round(CASE WHEN n < 2 OR s = 0 THEN 0 ELSE (o_totalprice - m) / s END, 4) AS z, row_number() OVER (PARTITION BY fingerprint ORDER BY o_totalprice DESC, cycle) AS k FROM z) SELECT fingerprint, cycle, z FROM r WHERE k <= 2""")
 def H22_representative_cycles(spark, sf):
-    g = Window.partitionBy("o_orderpriority")
-    s, p = F.stddev_pop("o_totalprice").over(g), F.col("o_totalprice")
-    z = F.when((F.count("*").over(g) < 2) | (s == 0), 0.0).otherwise((p - F.avg(p).over(g)) / s)
-    k = F.row_number().over(g.orderBy(F.desc("o_totalprice"), "o_orderkey"))
-    return table(spark, sf, "orders").select("o_orderpriority", "o_orderkey", F.round(z, 4).alias("z"), k.alias("k")).where("k <= 2").drop("k")
+    scores = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("fingerprint"), F.col("o_orderkey").alias("cycle"), F.col("o_totalprice").alias("score"))
+    return diagnose.representatives(scores).select("fingerprint", "cycle", F.round("z", 4).alias("z"))
 
 
 @query(f"""WITH {SPANS}, c AS (SELECT *, CASE WHEN ts - max(end_ts) OVER (PARTITION BY tid ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) < {HOUR} AND name <> 'purchase' THEN 0 ELSE 1 END AS cut FROM spans)
  SELECT seq, CAST(sum(cut) OVER (PARTITION BY tid ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session FROM c""")
 def G8_M2_chains(spark, sf):
-    return I.sessions(spans(spark, sf), ["tid"], HOUR, F.col("name") == "purchase").select("seq", "session")
+    return I.sessions(spans(spark, sf), ["tid"], HOUR, F.col("name") == "purchase", cut=7 * DAY).select("seq", "session")
+
+
+_PRELIM = SPANS + f", prelim AS (SELECT pid, ts // {DAY} AS day, min(ts) AS start_ts, min(end_ts) AS min_end, max(end_ts) AS max_end FROM spans GROUP BY ALL)"
 
 
-@query(f"""WITH {SPANS} SELECT seq, CASE WHEN first THEN ts + 1 ELSE prev + 1 END AS start_ts, end_ts FROM (SELECT *, lag(end_ts) OVER (PARTITION BY tid ORDER BY ts, seq) AS prev, row_number() OVER (PARTITION BY tid ORDER BY ts, seq) = 1 AS first FROM spans)
- WHERE CASE WHEN first THEN ts + 1 ELSE prev + 1 END < end_ts""")
+def _prelim(spark, sf):
+    return C.groups(spans(spark, sf).withColumn("group", F.expr(f"ts div {DAY}")), ["pid"], 2)
+
+
+@query(f"""WITH {_PRELIM}, w AS (SELECT pid, day, max_end, 'token' AS mode, COALESCE(lag(max_end) OVER (PARTITION BY pid ORDER BY start_ts), start_ts) + 1 AS start_ts FROM prelim UNION ALL SELECT pid, day, max_end, 'layer', start_ts FROM prelim
+ UNION ALL SELECT pid, day, max_end, 'align', COALESCE(lag(min_end) OVER (PARTITION BY pid ORDER BY start_ts), min_end) FROM prelim) SELECT mode, pid, day, start_ts, max_end AS end_ts FROM w WHERE start_ts < max_end""")
 def G9_boundary_chain(spark, sf):
-    start = F.coalesce(F.lag("end_ts").over(Window.partitionBy("tid").orderBy("ts", "seq")), F.col("ts")) + 1
-    return spans(spark, sf).select("seq", start.alias("start_ts"), "end_ts").where("start_ts < end_ts")
+    out = None
+    for mode in ("token", "layer", "align"):
+        part = C.chained(_prelim(spark, sf), ["pid"], mode).select(F.lit(mode).alias("mode"), "pid", F.col("group").alias("day"), "start_ts", "end_ts")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
-@query(f"""WITH {SPANS} SELECT pid, ts // {DAY} AS cycle, CAST(count(DISTINCT tid) AS BIGINT) AS threads, CAST(count(*) FILTER (WHERE name = 'purchase') AS BIGINT) AS anchors, count(DISTINCT tid) < max(total) AS delayed
- FROM spans JOIN (SELECT pid, count(DISTINCT tid) AS total FROM spans GROUP BY pid) USING (pid) GROUP BY ALL""")
-def G10_delayed_start(spark, sf):
-    rows = spans(spark, sf)
-    total = rows.groupBy("pid").agg(F.countDistinct("tid").alias("total"))
-    per = rows.groupBy("pid", F.expr(f"ts div {DAY}").alias("cycle")).agg(F.countDistinct("tid").alias("threads"), F.count_if(F.col("name") == "purchase").alias("anchors"))
-    return per.join(F.broadcast(total), "pid").select("pid", "cycle", "threads", "anchors", (F.col("threads") < F.col("total")).alias("delayed"))  # one row a pid of eight
+_ANCHORS = SPANS + f", marks AS (SELECT ts // {7 * DAY} AS week, pid, seq, ts, end_ts, dur FROM spans WHERE name = 'purchase')"
 
 
-@query(f"WITH {SPANS} SELECT tid, COALESCE(min(CASE WHEN name = 'view' THEN ts END), min(ts)) AS start_ts, COALESCE(max(CASE WHEN name = 'view' THEN end_ts END), max(end_ts)) AS end_ts FROM spans GROUP BY tid")
+@query(f"""WITH {SPANS}, e AS (SELECT *, CASE name WHEN 'view' THEN 'python' ELSE 'Kernel' END AS cat FROM spans WHERE dur > 0) SELECT tid, COALESCE(min(ts) FILTER (WHERE cat = 'python'), min(ts)) AS start_ts, COALESCE(max(end_ts) FILTER (WHERE cat = 'python'), max(end_ts)) AS end_ts, min(ts) AS full_start, max(end_ts) AS full_end FROM e GROUP BY tid""")
 def G11_dynamic_boundary(spark, sf):
-    view = lambda c: F.when(F.col("name") == "view", F.col(c))
-    return spans(spark, sf).groupBy("tid").agg(F.coalesce(F.min(view("ts")), F.min("ts")).alias("start_ts"), F.coalesce(F.max(view("end_ts")), F.max("end_ts")).alias("end_ts"))
+    return C.dynamic_bounds(spans(spark, sf).withColumn("cat", F.when(F.col("name") == "view", "python").otherwise("Kernel")), ["tid"])
 
 
 @query(f"""WITH {SPANS}, t AS (SELECT tid, seq, ts, dur, CASE name WHEN 'view' THEN 1 WHEN 'click' THEN 2 ELSE 3 END AS type FROM spans),
- l AS (SELECT *, last_value(CASE WHEN type <> 3 THEN type END IGNORE NULLS) OVER (PARTITION BY tid ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS left_type, lead(type) OVER (PARTITION BY tid ORDER BY ts, seq) AS right_type FROM t)
- SELECT seq, CASE WHEN type <> 3 THEN type WHEN left_type = right_type THEN left_type WHEN left_type IS NULL AND right_type <> 3 THEN right_type ELSE COALESCE(left_type, 3) END AS type FROM l""")
+ n AS (SELECT *, lead(type) OVER w AS r, abs(dur - lag(dur) OVER w) AS ld, abs(dur - lead(dur) OVER w) AS rd, row_number() OVER w AS k FROM t WINDOW w AS (PARTITION BY tid ORDER BY ts, seq)),
+ f AS (WITH RECURSIVE f AS (SELECT tid, k, seq, CASE WHEN type <> 3 THEN type WHEN r <> 3 THEN r ELSE 3 END AS type FROM n WHERE k = 1
+  UNION ALL SELECT n.tid, n.k, n.seq, CASE WHEN n.type <> 3 THEN n.type WHEN f.type <> 3 AND COALESCE(n.r, 3) <> 3 THEN CASE WHEN f.type = n.r OR n.ld <= n.rd THEN f.type ELSE n.r END WHEN f.type <> 3 THEN f.type WHEN n.r <> 3 THEN n.r ELSE 3 END FROM f JOIN n ON n.tid = f.tid AND n.k = f.k + 1) SELECT * FROM f)
+ SELECT seq, type FROM f""")
 def G12_type_correction(spark, sf):
-    w = Window.partitionBy("tid").orderBy("ts", "seq")
     kind = F.when(F.col("name") == "view", 1).when(F.col("name") == "click", 2).otherwise(3)
-    t = spans(spark, sf).withColumn("type", kind)
-    t = t.withColumn("l", F.last(F.when(F.col("type") != 3, F.col("type")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("r", F.lead("type").over(w))
-    fixed = F.when(F.col("type") != 3, F.col("type")).when(F.col("l") == F.col("r"), F.col("l")).when(F.col("l").isNull() & (F.col("r") != 3), F.col("r")).otherwise(F.coalesce("l", F.lit(3)))
-    return t.select("seq", fixed.alias("type"))
+    return C.corrected(spans(spark, sf).withColumn("type", kind), ["tid"], ["ts", "seq"]).select("seq", "type")
 
 
-@query("""SELECT l_orderkey, l_linenumber, CAST(CASE WHEN l_quantity > r THEN l_quantity - r ELSE l_quantity END AS DOUBLE) AS dur FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey, l_shipdate ORDER BY l_orderkey, l_linenumber) - 1 AS r FROM lineitem)""")
+@query(f"""WITH {SPANS}, t AS (SELECT seq, tid, dur % 1000 AS dur, end_ts // {6 * HOUR} AS end_ts, ts FROM spans), r AS (SELECT *, row_number() OVER (PARTITION BY tid, end_ts ORDER BY ts, seq) - 1 AS k FROM t) SELECT seq, CASE WHEN dur > k THEN dur - k ELSE dur END AS dur FROM r""")
 def G13_end_tie_repair(spark, sf):
-    r = F.row_number().over(Window.partitionBy("l_suppkey", "l_shipdate").orderBy("l_orderkey", "l_linenumber")) - 1
-    return table(spark, sf, "lineitem").withColumn("r", r).select("l_orderkey", "l_linenumber", F.when(F.col("l_quantity") > F.col("r"), F.col("l_quantity") - F.col("r")).otherwise(F.col("l_quantity")).alias("dur"))
+    rows = spans(spark, sf).withColumn("dur", F.col("dur") % 1000).withColumn("end_ts", F.expr(f"end_ts div {6 * HOUR}"))
+    return C.untied(rows, ["tid"]).select("seq", "dur")
 
 
-@query(f"""WITH {SPANS} SELECT pid, day, name, n FROM (SELECT *, row_number() OVER (PARTITION BY pid, day ORDER BY n DESC, first) AS r FROM (SELECT pid, ts // {DAY} AS day, name, CAST(count(*) AS BIGINT) AS n, min(seq) AS first FROM spans GROUP BY ALL)) WHERE r = 1""")
-def G14_layer_name(spark, sf):
-    per = spans(spark, sf).groupBy("pid", F.expr(f"ts div {DAY}").alias("day"), "name").agg(F.count("*").alias("n"), F.min("seq").alias("first"))
-    return per.groupBy("pid", "day").agg(F.max(F.struct("n", -F.col("first"), "name")).alias("m")).select("pid", "day", "m.name", "m.n")
+@query(f"""WITH {_CYCLES}, x AS (SELECT c.seq, c.tid, k.ts, k.end_ts FROM (SELECT DISTINCT c.seq, c.tid, w.k FROM cycles c JOIN spans w ON c.tid = w.tid AND w.name = 'view' AND w.ts >= c.ts AND w.end_ts <= c.end_ts) c JOIN spans k ON k.name = 'click' AND k.tid = c.tid AND k.k % 4 = c.k % 4),
+ o AS (SELECT tid, seq, 'purchase_kernels' AS name, min(ts) AS ts, max(end_ts) AS end_ts, CAST(count(*) AS BIGINT) AS n FROM x GROUP BY tid, seq)
+ SELECT tid, seq, name, ts, end_ts, n FROM o UNION ALL SELECT tid, NULL, 'cycle_kernels', min(ts), max(end_ts), CAST(count(*) AS BIGINT) FROM spans WHERE name = 'click' AND tid NOT IN (SELECT tid FROM o) GROUP BY tid""")
+def G16_virtual_kernels(spark, sf):
+    rows = spans(spark, sf).withColumn("corr", F.col("k") % 4)
+    ops = rows.where("name = 'purchase'").withColumn("name", F.lit("purchase.run"))
+    return C.virtual_kernels(ops, rows.where("name = 'view'"), rows.where("name = 'click'"), ["tid"], HOUR)
 
 
-@query(f"WITH {_CYCLES} SELECT c.seq AS operator, w.name, min(w.ts) AS ts, max(w.end_ts) AS end_ts, CAST(count(*) AS BIGINT) AS n FROM cycles c JOIN work w ON c.pid = w.pid AND w.ts >= c.ts AND w.end_ts <= c.end_ts GROUP BY ALL")
-def G16_virtual_kernels(spark, sf):
-    hits = I.contained(cycles(spark, sf), work(spark, sf), ["pid"], HOUR)
-    return hits.groupBy(F.col("o_seq").alias("operator"), F.col("i_name").alias("name")).agg(F.min("i_ts").alias("ts"), F.max("i_end_ts").alias("end_ts"), F.count("*").alias("n"))
+@query(f"WITH {_CYCLES}, a1 AS (SELECT seq, pid, ts, dur FROM cycles), " + ", ".join(_round_sql(k) for k in range(1, 9)) + " " + " UNION ALL ".join(f"SELECT {k} AS round, pacer_seq, seq FROM m{k}" for k in range(1, 9)))
+def E14_pacer_rounds(spark, sf):
+    return C.pacer_rounds(cycles(spark, sf), HOUR).select("round", "pacer_seq", "seq")
+
+
+@query("""WITH a AS (SELECT DISTINCT n_nationkey AS pid FROM nation WHERE n_nationkey < 15), b AS (SELECT DISTINCT n_nationkey AS pid FROM nation WHERE n_nationkey > 10)
+ SELECT pid AS pid1, pid AS pid2, 'strict' AS how FROM a WHERE pid IN (FROM b) UNION ALL SELECT a.pid, b.pid, 'cross' FROM a, b WHERE a.pid NOT IN (FROM b) AND b.pid NOT IN (FROM a)""")
+def E18_process_pairs(spark, sf):
+    n = table(spark, sf, "nation").select(F.col("n_nationkey").alias("pid"))
+    return compare.process_pairs(n.where("pid < 15"), n.where("pid > 10"))
+
+
+@query(f"""WITH {_ANCHORS}, f AS (SELECT week, pid, arg_min(end_ts, (ts, seq)) AS e, min(ts) AS s FROM marks GROUP BY ALL), t AS (SELECT count(DISTINCT pid) AS pids FROM marks), g AS (SELECT week, min(s) AS a, max(e) AS b FROM f, t GROUP BY week, pids HAVING count(*) = pids),
+ m AS (SELECT week, a, b, pid, count(*) AS n FROM marks JOIN g USING (week) WHERE ts >= a AND end_ts <= b + dur * 0.1 GROUP BY ALL) SELECT week, a AS start_ts, b AS end_ts, CAST(sum(n) AS BIGINT) AS n, count(*) < (SELECT pids FROM t) OR min(n) <> max(n) AS delayed FROM m GROUP BY ALL""")
+def G9_G10_genesis(spark, sf):
+    marks = cycles(spark, sf).withColumn("week", F.expr(f"ts div {7 * DAY}"))
+    total = marks.select("week").distinct().join(F.broadcast(marks.agg(F.countDistinct("pid").alias("pids"))), F.lit(True))  # one row
+    return C.genesis(marks, ["week"], total).select("week", "start_ts", "end_ts", "n", "delayed")

@@ -171,10 +171,15 @@ def C1_C2_envelope_args(spark, sf):
     return rows.select(F.col("event_id").alias("seq"), S.number(F.col("args")["k"], "bigint").alias("k"), F.col("args")["id"].alias("id"), F.size(F.map_filter("args", lambda k, _: k != "args")).alias("n_args"))
 
 
-@query("""SELECT conv_id, turn, CASE WHEN role = 'system' THEN 'N/A' ELSE role END AS post_mode, CAST(CASE WHEN role = 'system' THEN 0 ELSE length(text) END AS BIGINT) AS post_len FROM conversations""")
+@query("""WITH f AS (SELECT conv_id, turn, role, role <> 'system' AS has, [length(COALESCE(text, '')), turn, 7] AS lens FROM conversations) SELECT conv_id, turn, CASE WHEN has THEN role ELSE 'N/A' END AS post_forward_mode, CASE WHEN has THEN 2 ELSE 0 END AS post_batch_size, round(CASE WHEN has THEN list_avg(lens) ELSE 0 END, 2) AS post_avg_input_length,
+ CAST(CASE WHEN has THEN list_max(lens) ELSE 0 END AS INTEGER) AS post_max_input_length, CAST(0 AS DOUBLE) AS post_avg_output_length, CAST(0 AS INTEGER) AS post_max_output_length FROM f""")
 def C33_flatten_features(spark, sf):
-    batch = F.when(F.col("role") != "system", F.struct(F.col("role").alias("mode"), F.length("text").cast("bigint").alias("len")))
-    return table(spark, sf, "conversations").select("conv_id", "turn", batch.alias("post")).select("conv_id", "turn", F.coalesce("post.mode", F.lit("N/A")).alias("post_mode"), F.coalesce("post.len", F.lit(0)).alias("post_len"))
+    from .workflow import features
+
+    lens = F.array(F.length(F.coalesce("text", F.lit(""))), F.col("turn").cast("int"), F.lit(7))
+    batch = F.struct(F.col("role").alias("forward_mode"), F.array(F.lit("a"), F.lit("b")).alias("rids"), lens.alias("input_lengths"), F.array().cast("array<int>").alias("output_lengths"))
+    rows = table(spark, sf, "conversations").withColumn("post", F.when(F.col("role") != "system", batch))
+    return rows.select("conv_id", "turn", *features("post", "post"))
 
 
 @query(f"WITH {TRACE} SELECT name, CAST(count(*) AS BIGINT) AS n, CAST(sum(dur) AS BIGINT) AS total FROM trace WHERE ph = 'X' AND dur > 10 GROUP BY ALL")
@@ -214,7 +219,7 @@ def D7_A10_feature_filter(spark, sf):
 def D8_trim_to_marker(spark, sf):
     rows = trace(spark, sf)
     first = rows.where("name = 'purchase'").groupBy("pid").agg(F.min("ts").alias("first"))
-    return rows.join(F.broadcast(first), "pid").where("ts >= first").select("pid", "seq", "ts")  # one row a pid of eight
+    return rows.join(first, "pid").where("ts >= first").select("pid", "seq", "ts")
 
 
 @query(f"WITH {TRACE} SELECT * FROM (SELECT tid, name, CAST(sum(dur) AS BIGINT) AS total, round(100.0 * sum(dur) / sum(sum(dur)) OVER (PARTITION BY tid), 4) AS share FROM trace WHERE ph = 'X' GROUP BY tid, name) WHERE share >= 30")
