@@ -186,7 +186,8 @@ def fp8(text: Column) -> Column:
 def priority(text: Column) -> Column:
     """How specific a value is, 0 (null) to 4."""
     up = F.upper(text)
-    return F.when(text.isNull(), 0).when(up.isin("", "未知"), 1).when(up.contains("AUTO") | up.contains("(NULL)"), 2).when(up.rlike(r"BF16|FP16|FP8|INT|SM|HOPPER|AMPERE|\d"), 4).otherwise(3)
+    unknown = ("", "未知")  # fixed values: what logs say for unknown
+    return F.when(text.isNull(), 0).when(up.isin(*unknown), 1).when(up.contains("AUTO") | up.contains("(NULL)"), 2).when(up.rlike(r"BF16|FP16|FP8|INT|SM|HOPPER|AMPERE|\d"), 4).otherwise(3)
 
 
 def dot_escape(text: Column) -> Column:

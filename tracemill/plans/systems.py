@@ -207,7 +207,9 @@ def M1_alarm_stream(spark, sf):
     return out.select("seq", F.round("rolling", 4).alias("rolling"))
 
 
-@query()
+@query("""WITH e AS (SELECT user_id, epoch_us(ts) AS ts, event_type = 'purchase' AS done, CASE event_type WHEN 'view' THEN 1 ELSE 2 END AS mode FROM events WHERE event_type IN ('view', 'click', 'purchase')), w AS (SELECT (max(ts) // 1000 - 3600000) AS mark FROM e),
+ p AS (SELECT *, lag(ts) OVER o AS was, lag(mode) OVER o AS was_mode, lag(done) OVER o AS was_done, lead(ts) OVER o IS NULL AS last FROM e WINDOW o AS (PARTITION BY user_id ORDER BY ts))
+ SELECT user_id, 'batch' AS kind, was AS start_us, ts AS end_us FROM p WHERE NOT was_done AND (done OR was_mode <> mode) UNION ALL SELECT user_id, 'prefill', ts, mark * 1000 FROM p, w WHERE last AND NOT done AND ts // 1000 + 3600000 < mark""")
 def M3_cycle_stream(spark, sf):
     rows = _stamped(spark, sf).where("event_type in ('view', 'click', 'purchase')").withColumn("kind", F.when(F.col("event_type") == "purchase", "result").otherwise("run")).withColumn("mode", F.when(F.col("event_type") == "view", 1).otherwise(2))
     return monitors.drained(monitors.batch_cycles(rows, "user_id"), scratch(spark))
