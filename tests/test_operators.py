@@ -175,6 +175,18 @@ def test_time_cuts_change_nothing(spark):
             assert all_of(interval.as_of(left, right, ["k"], forward=forward).select("seq", "match")) == all_of(interval.as_of(left, right, ["k"], forward=forward, cut=cut).select("seq", "match"))
 
 
+def test_nesting_by_stretches_changes_nothing(spark):
+    rng = np.random.default_rng(8)
+    rows = [(0, 0, 0, 5000, "main"), (0, 1, 1, 4000, "loop")]
+    for i, (t, d) in enumerate(zip(np.sort(rng.integers(0, 5000, 500)), rng.choice([3, 20, 90, 700], 500), strict=True)):
+        rows.append((int(rng.integers(2)), i + 2, int(t), int(t + d), f"f{rng.integers(6)}"))
+    df = spark.createDataFrame([(None if k else 1, *r) for k, *r in rows], "k int, seq long, ts long, end_ts long, name string")
+    args = (["k"], F.col("name") == "f1", True)
+    want = sorted(map(str, nest.nested(df, *args).collect()))
+    for cut in (50, 333, 1_000_000):
+        assert sorted(map(str, nest.nested(df, *args, cut=cut).collect())) == want
+
+
 def test_found_periods(spark):
     rows = [(p, "m", 10 * i + 2 * p + k, i * 100_000.0 + p * 500 + k * 20_000, name) for p in (1, 2) for i in range(200) for k, name in enumerate(("step", "part"))]
     events = spark.createDataFrame(rows, "pid long, tid string, seq long, ts double, name string")

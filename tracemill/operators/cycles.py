@@ -13,10 +13,10 @@ DECODE, PREFILL, OTHER = 2, 1, 3
 MIN_GAP = 50_000
 
 
-def anchors(events: DataFrame, name: str) -> DataFrame:
-    """Outermost spans of the anchor function: seq, pid, tid, ts, end_ts, dur."""
+def anchors(events: DataFrame, name: str, cut: int | None = 10_000_000) -> DataFrame:
+    """Outermost spans of the anchor function: seq, pid, tid, ts, end_ts, dur. Threads are nested in stretches of `cut` microseconds."""
     python = events.where("cat = 'python' and ph = 'X' and dur > 0")
-    tree = nest.nested(python, ["pid", "tid"]).select("pid", "tid", "seq", "is_recursive")
+    tree = nest.nested(python, ["pid", "tid"], cut=cut).select("pid", "tid", "seq", "is_recursive")
     mine = python.where(F.col("name") == name).select("pid", "tid", "seq", "ts", "end_ts", "dur")
     return mine.join(tree, ["pid", "tid", "seq"]).where("not is_recursive").drop("is_recursive")
 

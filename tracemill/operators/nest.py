@@ -1,7 +1,8 @@
 """Call nesting of spans and what follows from it.
 
 A thread is cut where no earlier span is open any more; the stack is empty there, so the pieces nest by themselves. Pieces
-are packed into runs of a bounded number of spans as far as the data allow; a long thread is many runs in many tasks.
+are packed into runs of a bounded number of spans as far as the data allow; a long thread is many runs in many tasks. A
+thread with a frame around it all has no such places; it is cut by time, with the spans open at a cut carried over.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import interval
+from .lineage import checkpoint
 
 #: Spans of a run, if pieces are small.
 PACK = 20_000
@@ -66,8 +68,12 @@ def stack(rows: list[tuple], callers: bool = True) -> Iterable[tuple]:
 
 
 def nested(spans: DataFrame, keys: list[str], anchor: Column | None = None, callers: bool = False, cut: int | None = None) -> DataFrame:
-    """Keys, seq, depth, parent_seq, is_recursive (a caller has the same name), owner_seq; with callers also above."""
-    pieces = interval.sessions(spans, keys, 0, cut=cut)
+    """Keys, seq, depth, parent_seq, is_recursive (a caller has the same name), owner_seq; with callers also above. With
+    `cut` threads are nested in stretches of that many microseconds, so that a frame around a whole thread holds nothing up."""
+    spans = spans.withColumn("seq", F.col("seq").cast("bigint")).withColumn("_anchor", anchor if anchor is not None else F.lit(False))
+    if cut is not None:
+        return _nested_by_parts(spans, keys, cut, callers)
+    pieces = interval.sessions(spans, keys, 0)
     # pieces are packed by their numbers and sizes: a piece goes where the count of spans before it says
     sizes = pieces.groupBy(*keys, "session").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("session").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -75,10 +81,68 @@ def nested(spans: DataFrame, keys: list[str], anchor: Column | None = None, call
     on = F.col("session") == F.col("_of_session")
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
-    pieces = pieces.join(place, on).withColumn("_anchor", anchor if anchor is not None else F.lit(False))
     kinds = "seq long, depth int, parent_seq long, is_recursive boolean, owner_seq long" + ", above array<bigint>" * callers
-    out = fold(pieces.withColumn("seq", F.col("seq").cast("bigint")), [*keys, "_pack"], ["ts", "seq", "end_ts", "name", "_anchor"], partial(stack, callers=callers), kinds)
-    return out.drop("_pack")
+    return fold(pieces.join(place, on), [*keys, "_pack"], ["ts", "seq", "end_ts", "name", "_anchor"], partial(stack, callers=callers), kinds).drop("_pack")
+
+
+def stack_part(rows: list[tuple]) -> Iterable[tuple]:
+    """From (ts, seq, end_ts, name, anchor, is_old, reaches) sorted, old ones being spans of earlier stretches that are still open: of the
+    others seq, name, parent_seq, base (the old span they stand on), and what lies between: depth, is_recursive, owner_seq, above,
+    and for spans that reach into later stretches the names above."""
+    open_: list[tuple] = []  # end, seq, name, owner, is_old
+    base = 0  # old spans at the bottom of the stack
+    for ts, seq, end, name, anchor, is_old, reaches in rows:
+        if is_old:
+            open_.append((end, seq, name, None, True))
+            base += 1
+            continue
+        while open_ and ts >= open_[-1][0]:
+            base -= open_.pop()[4]
+        mine = open_[base:]
+        owner = seq if anchor else mine[-1][3] if mine else None
+        names = [x[2] for x in mine]
+        yield seq, name, open_[-1][1] if open_ else None, open_[base - 1][1] if base else None, len(mine), name in names, owner, [x[1] for x in reversed(mine)], names if reaches else None
+        open_.append((end, seq, name, owner, False))
+
+
+def resolved(rows: list[tuple]) -> Iterable[tuple]:
+    """From (ts, seq, name, base, depth, owner_seq, above, names) of the spans of a key that reach into later stretches, sorted: seq, depth,
+    owner_seq, above, and the names of the span and all above it. A base comes before what stands on it."""
+    known: dict[int, tuple] = {}
+    for _, seq, name, base, depth, owner, above, names in rows:
+        if base is not None:
+            b_depth, b_owner, b_above, b_names = known[base]
+            depth, owner, above, names = depth + b_depth + 1, owner if owner is not None else b_owner, [*above, base, *b_above], [*names, *b_names]
+        known[seq] = depth, owner, above, sorted({name, *names})
+        yield seq, *known[seq]
+
+
+def _nested_by_parts(spans: DataFrame, keys: list[str], cut: int, callers: bool) -> DataFrame:
+    """A span that is open where a stretch begins stands at the bottom of the stack there. What a stretch cannot know, the way from
+    such a span up, comes from the spans that cross stretches alone: they are few if `cut` is long beside most spans."""
+    last = F.ceil(F.col("end_ts") / cut) - 1  # the last stretch that begins before the end
+    rows = spans.select(*keys, "ts", "seq", "end_ts", "name", "_anchor", F.floor(F.col("ts") / cut).cast("bigint").alias("_part")).withColumn("_reaches", last > F.col("_part"))
+    old = rows.where("_reaches").withColumn("_part", F.explode(F.sequence(F.col("_part") + 1, last.cast("bigint"))))
+    both = rows.withColumn("_old", F.lit(False)).unionByName(old.withColumn("_old", F.lit(True)))
+    kinds = "seq long, name string, parent_seq long, base long, depth int, is_recursive boolean, owner_seq long, above array<bigint>, names array<string>"
+    local = checkpoint(fold(both, [*keys, "_part"], ["ts", "seq", "end_ts", "name", "_anchor", "_old", "_reaches"], stack_part, kinds))
+    crossing = local.where("names is not null").join(spans.select(*(F.col(k).alias(f"_of_{k}") for k in keys), F.col("seq").alias("_of_seq"), "ts"), _same(["seq", *keys])).drop(*(f"_of_{k}" for k in ["seq", *keys]))
+    up = fold(crossing, keys, ["ts", "seq", "name", "base", "depth", "owner_seq", "above", "names"], resolved, "seq long, depth int, owner_seq long, above array<bigint>, names array<string>")
+    up = up.select(*(F.col(k).alias(f"_of_{k}") for k in keys), F.col("seq").alias("_of_base"), F.col("depth").alias("_depth"), F.col("owner_seq").alias("_owner"), F.col("above").alias("_above"), F.col("names").alias("_names"))
+    tree = local.join(up, _same(["base", *keys]), "left")
+    depth = (F.col("depth") + F.coalesce(F.col("_depth") + 1, F.lit(0))).alias("depth")
+    same = (F.col("is_recursive") | F.coalesce(F.array_contains("_names", F.col("name")), F.lit(False))).alias("is_recursive")
+    above = F.when(F.col("base").isNull(), F.col("above")).otherwise(F.concat("above", F.array("base"), "_above")).alias("above")
+    out = tree.select(*keys, "seq", depth, "parent_seq", same, F.coalesce("owner_seq", "_owner").alias("owner_seq"), above)
+    return out if callers else out.drop("above")
+
+
+def _same(columns: list[str]) -> Column:
+    """columns equal their _of_ twins; null keys are keys too."""
+    on = F.lit(True)
+    for c in columns:
+        on = on & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    return on
 
 
 def ancestors(tree: DataFrame, keys: list[str]) -> DataFrame:

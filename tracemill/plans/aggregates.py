@@ -95,7 +95,7 @@ def F23_mann_whitney(spark, sf):
 @query()
 def F23_mann_whitney_p_values(spark, sf):
     rows = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("fn"), F.when(F.col("l_linestatus") == "F", 1).otherwise(2).alias("side"), "l_quantity")
-    return compare.rank_sums(rows, ["fn"], F.col("side"), "l_quantity").select("fn", "u", compare.normal_p_value(F.col("z")).alias("p"))
+    return compare.rank_sums(rows, ["fn"], F.col("side"), "l_quantity").select("fn", "u", compare.u_p_value().alias("p"))
 
 
 @query("""WITH c AS (SELECT DISTINCT CASE o_orderstatus WHEN 'F' THEN 1 ELSE 2 END AS side, o_orderkey, o_totalprice FROM orders), a AS (SELECT CAST(count(*) FILTER (WHERE side = 1) AS BIGINT) AS cycles1, avg(o_totalprice) FILTER (WHERE side = 1) AS m1, CAST(count(*) FILTER (WHERE side = 2) AS BIGINT) AS cycles2, avg(o_totalprice) FILTER (WHERE side = 2) AS m2 FROM c)

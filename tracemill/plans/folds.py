@@ -35,7 +35,7 @@ def _joined(spark, sf, *more):
 
 @query(f"{_TREE} SELECT tid, seq, depth, parent AS parent_seq, rec AS is_recursive, owner AS owner_seq FROM r")
 def G1_G2_G3_nesting(spark, sf):
-    return nest.nested(_spans(spark, sf), ["tid"], F.col("name") == "purchase")
+    return nest.nested(_spans(spark, sf), ["tid"], F.col("name") == "purchase", cut=7 * DAY)
 
 
 @query(f"{_TREE} SELECT name, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (WHERE depth = 0) AS BIGINT) AS top_level, CAST(max(depth) AS INTEGER) AS deepest FROM r WHERE NOT rec GROUP BY name")
