@@ -364,7 +364,12 @@ def test_workflows(spark):
     got = parts["perf"].where("name = 'triton_kernel' and metric = 'gpu_usage'").collect()
     assert len(got) == 4 and all(abs(r.mu_pct - 80) < 1e-9 for r in got)
     assert {r.fingerprint for r in parts["bottlenecks"].collect()} == {"CPU_THERMAL_THROTTLING"}
-    assert "CPU_THERMAL_THROTTLING" in workflow.report(parts, "run")
+    text = workflow.report(parts, "run")
+    assert "4 cycles. Most show CPU_THERMAL_THROTTLING (100.0 %)." in text and "Stable: all cycles show one pattern." in text and "| CPU_THERMAL_THROTTLING | a | 4 | 100.00 |" in text
+    inner = [("wrap.call", "python", "X", "a(1)", "m", 500, 100, {}), ("wrap.run", "python", "X", "a(1)", "m", 501, 95, {}), ("decoder_layer.f", "python", "X", "a(1)", "m", 510, 20, {}), ("decoder_layer.f", "python", "X", "a(1)", "m", 540, 20, {}), ("op", "python", "X", "a(1)", "m", 541, 5, {}), ("_Z3fooi", "Kernel", "X", "a(1)", "stream 7", 550, 40, {})]
+    more = sources.normalised(spark.createDataFrame([(i, n, c, ph, p, t, str(ts), str(d), None, None, a) for i, (n, c, ph, p, t, ts, d, a) in enumerate(inner)], df.schema))
+    text = workflow.cycle_details(more, 3, 500, 700, layer=3)
+    assert "200.00 us, 2 layers." in text and "wrap.call" not in text and "| Python | wrap.run | 1 | 95.00 |" in text and "| 0001/ " not in text and "| 0000/0000/ | 1 | op | 1 | 5.00 | 5.00 |" in text
     scores = workflow.compared(parts["perf"], parts["perf"])["scores"]
     assert scores.where("suspicion <> 0 or u_p_beta < 0.5").count() == 0 and scores.count() > 0
 

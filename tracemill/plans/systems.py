@@ -7,10 +7,11 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import compare, cycles, detect, folds, learn, metrics
-from ..operators.lineage import shared_folder
+from ..operators.lineage import checkpoint, shared_folder
 from ..sources import logs, sinks
 from ..sources import trace as sources
 from ..streaming import monitors
+from . import workflow
 from .registry import SPANS, TRACE, query, samples, spans, table, trace
 
 
@@ -423,3 +424,15 @@ def L10_importances(spark, sf):
     rows = _features(spark, sf)
     (_, model), = learn.trained(rows, ["x1", "x2", "x3"], "y", "ridge")
     return spark.createDataFrame(learn.importances(model, ["x1", "x2", "x3"]), "feature string, weight double")
+
+
+@query()
+def I7_I9_report(spark, sf):
+    path, n = scratch(spark), F.col("name")
+    e = _events(spark, sf).where("name <> 'signup'").withColumns({"ts": F.col("ts") / 3600, "dur": F.col("dur") / 3600, "cat": F.when(n == "click", "CAT_CPU").otherwise(F.col("cat"))})  # a second for an hour
+    sinks.write_trace(e.withColumn("name", F.when(n == "click", "oncpu click").when(n == "error", "process_cpu_usage").otherwise(n)), path)
+    events = checkpoint(sources.read_json_lines(spark, path))
+    parts = workflow.deep_dive(events, "purchase")
+    first = parts["cycles"].orderBy("start_ts", "cycle").first()
+    text = workflow.report(parts, "run") + "\n\n" + workflow.cycle_details(events, first.cycle, first.start_ts, first.end_ts)
+    return spark.createDataFrame(list(enumerate(text.split("\n"))), "line long, text string")
