@@ -199,18 +199,27 @@ def _held(windows: DataFrame) -> DataFrame:
     return windows.join(held, (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2"))).drop("_h1", "_h2")
 
 
-def chains(found: DataFrame, window: int) -> DataFrame:
-    """From doc_id, found (start, h1, h2 of all repeated windows), places (null: all starts) the levels of each window that begins at a
-    place: doc_id, start, and in h1s, h2s its hash and those of twice, four times ... the length, as long as repeated windows
-    follow each other without a gap of more than a window. A longer window's hash is made of those of its halves."""
+def chains(found: DataFrame, places: DataFrame | None, window: int) -> tuple[DataFrame, DataFrame]:
+    """From repeated windows doc_id, start, h1, h2, first: the starts of those that a smaller id holds too (_id, starts), and the levels of
+    each window that begins at a place (places: _id, places; None: at any start): doc_id, start, and in h1s, h2s its hash and those
+    of twice, four times ... the length, as long as repeated windows follow each other. A longer window's hash is made of those
+    of its halves. The windows of a document meet once, packed into two numbers each; what is written is far less."""
+    last = (F.shiftleft(F.col("h2").cast("long"), 32) + F.col("start") * 2 + (F.col("doc_id") > F.col("first")).cast("int")).alias("b")
+    per = found.groupBy("doc_id").agg(F.collect_list(F.struct(F.col("h1").alias("a"), last)).alias("found"))
+    per = per.join(places, F.col("doc_id") == F.col("_id")) if places is not None else per.withColumn("places", F.lit(None).cast("array<int>"))
+    names = ["doc_id", "starts", "place", "offset", "reach", "h1", "h2"]
+
     def run(batches):
         for batch in batches:
+            out = []
             for k in range(batch.num_rows):
                 each = batch.column(1)[k].values
-                start, at = np.unique(each.field(0).to_numpy(zero_copy_only=False), return_index=True)
-                one, two = (each.field(f).to_numpy(zero_copy_only=False)[at].astype(np.int64).view(np.uint64) for f in (1, 2))
-                places = batch.column(2)[k]
-                mine = np.flatnonzero(np.isin(start, np.asarray(places.values))) if places.is_valid else np.arange(len(start))
+                a, b = (each.field(f).to_numpy(zero_copy_only=False) for f in (0, 1))
+                low = b & 0xFFFFFFFF
+                later = np.unique(low[low & 1 == 1] >> 1)
+                start, at = np.unique(low >> 1, return_index=True)
+                one, two = a[at].view(np.uint64), (b[at] >> 32).view(np.uint64)
+                mine = np.flatnonzero(np.isin(start, np.asarray(batch.column(2)[k].values))) if batch.column(2)[k].is_valid else np.arange(len(start))
                 alive, levels, length = np.ones(len(start), bool), [], window
                 while alive[mine].any():
                     levels.append((alive[mine], one[mine], two[mine]))
@@ -218,12 +227,17 @@ def chains(found: DataFrame, window: int) -> DataFrame:
                     alive = alive & (start[nxt] == start + length) & alive[nxt]
                     one, two = _mix(one * _BASES[0] ^ one[nxt]), _mix(two * _BASES[1] ^ two[nxt])
                     length *= 2
-                reach = np.sum([x[0] for x in levels], axis=0).astype(np.int64) if levels else np.zeros(0, np.int64)
-                stops = np.concatenate([[0], np.cumsum(reach)])
-                lists = [_lists(np.concatenate([[x[j][i] for x in levels[: reach[i]]] for i in range(len(mine))]).astype(np.uint64).view(np.int64) if len(mine) else np.zeros(0, np.int64), stops, pa.int64()) for j in (1, 2)]
-                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[k].as_py()] * len(mine), pa.int64()), pa.array(start[mine].astype(np.int32)), *lists], names=["doc_id", "start", "h1s", "h2s"])
+                on = np.array([x[0] for x in levels], bool).T.reshape(len(mine), len(levels))  # a place by level; levels of a place have no holes
+                reach = on.sum(axis=1)
+                flat = [np.array([x[j] for x in levels], np.uint64).T.reshape(on.shape)[on].view(np.int64) for j in (1, 2)]
+                out.append((batch.column(0)[k].as_py(), later, start[mine], np.cumsum(reach) - reach, reach, *flat))
+            kinds = [pa.int64(), *(pa.list_(t) for t in (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], names=names)
 
-    return found.select("doc_id", "found", "places").mapInArrow(run, "doc_id long, start int, h1s array<long>, h2s array<long>")
+    kept = common.checkpoint(per.select("doc_id", "found", "places").mapInArrow(run, "doc_id long, starts array<int>, place array<int>, offset array<int>, reach array<int>, h1 array<long>, h2 array<long>"))
+    rows = kept.select("doc_id", "h1", "h2", F.explode(F.arrays_zip("place", "offset", "reach")).alias("x"))
+    part = lambda c: F.slice(c, F.col("x.offset") + 1, F.col("x.reach"))
+    return kept.where("size(starts) > 0").select(F.col("doc_id").alias("_id"), "starts"), rows.select("doc_id", F.col("x.place").alias("start"), part("h1").alias("h1s"), part("h2").alias("h2s"))
 
 
 def doubled(chained: DataFrame, length: int) -> Iterator[tuple[int, DataFrame]]:
@@ -250,13 +264,11 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     rows = survey.drop("hashes", "places").join(copied, (F.col("d1") == F.col("_d1")) & (F.col("d2") == F.col("_d2")), "left")
     rows = common.checkpoint(rows.select("doc_id", "n_words", "whole", F.coalesce("rep", "doc_id").alias("rep")))
     texts, places, found = repeated(docs, survey, window, rows.where("doc_id = rep").select("rep"))
-    each = F.collect_list(F.struct("start", "h1", "h2", (F.col("doc_id") > F.col("first")).alias("later")))
-    per = common.checkpoint(found.groupBy("doc_id").agg(each.alias("found")))
-    starts = per.select(F.col("doc_id").alias("_id"), F.array_distinct(F.transform(F.filter("found", lambda x: x["later"]), lambda x: x["start"])).alias("starts")).where("size(starts) > 0")
+    starts, chained = chains(found, places, window)
     cut = reduced(texts.join(starts, F.col("doc_id") == F.col("_id")), window).select(F.col("doc_id").alias("_id"), "n_removed", "kept_text", F.sha2("kept_text", 256).alias("_sha")).dropDuplicates(["_id", "_sha"])
     # further levels, until no candidates survive
     reach = docs.sparkSession.createDataFrame([], "_doc long, longest long")
-    for length, level in doubled(chains(per.join(places, F.col("doc_id") == F.col("_id")), window), window):
+    for length, level in doubled(chained, window):
         reach = reach.unionByName(level.where("doc_id > first").select(F.col("doc_id").alias("_doc"), F.lit(length).cast("long").alias("longest")).distinct())
     reach = reach.groupBy("_doc").agg(F.max("longest").alias("_longest"))
     rows = rows.join(cut, F.col("doc_id") == F.col("_id"), "left").join(reach, F.col("doc_id") == F.col("_doc"), "left")
@@ -273,5 +285,5 @@ def levels(docs: DataFrame, start: int = WINDOW // 2) -> list[tuple[int, int]]:
     of that length that do, wherever they begin."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     _, _, found = repeated(docs, common.checkpoint(surveyed(docs, start)), start)
-    per = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "h1", "h2")).alias("found")).withColumn("places", F.lit(None).cast("array<int>"))
-    return [(length, level.select("h1", "h2").distinct().count()) for length, level in doubled(chains(per, start), start)]
+    _, chained = chains(found, None, start)
+    return [(length, level.select("h1", "h2").distinct().count()) for length, level in doubled(chained, start)]
