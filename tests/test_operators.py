@@ -19,6 +19,18 @@ from tracemill.sources import trace as sources
 SPAN = "seq long, pid long, tid string, name string, ts double, end_ts double, dur double"
 
 
+def _metrics(plan, name):
+    """The metric of a run plan's nodes, through the stages of adaptive execution."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return _metrics(plan.executedPlan(), name)
+    if kind.endswith("QueryStageExec"):
+        return _metrics(plan.plan(), name)
+    own = plan.metrics().get(name)
+    below = plan.children()
+    return ([own.get()] if own.isDefined() else []) + [m for k in range(below.size()) for m in _metrics(below.apply(k), name)]
+
+
 def frame(spark, rows):
     return spark.createDataFrame([(i, 1, "t", n, float(a), float(b), float(b - a)) for i, (n, a, b) in enumerate(rows)], SPAN)
 
@@ -64,6 +76,49 @@ def test_ticks_round_as_printf_does(spark):
     assert {r.v: r.t for r in got} == {v: "%.1fM" % (v / 1e6) if v >= 1e6 else "%.0fk" % (v / 1e3) if v >= 1e3 else "%.0f" % v for v in values}
 
 
+def plain_greedy(events, others, reach, closed):
+    """(ts, seq) lists; pairs of seqs by the rule's own words."""
+    free, out = set(others), set()
+    for ts, seq in sorted(events):
+        near = [(abs(t - ts), t, s) for t, s in free if ts - reach <= t and (t <= ts + reach if closed else t < ts + reach)]
+        if near:
+            _, t, s = min(near)
+            free.remove((t, s))
+            out.add((seq, s))
+    return out
+
+
+@pytest.mark.parametrize(("closed", "cut"), [(True, None), (False, None), (True, 7), (False, 7)])
+def test_greedy_matching_against_plain_python(spark, closed, cut):
+    rng = np.random.default_rng(1)
+    draw = lambda n, top: [(float(t), k) for k, t in enumerate(rng.integers(0, top, n))]
+    rows = {"dense": (draw(150, 60), draw(120, 60)), "thin": (draw(60, 2000), draw(60, 2000)), "one side": (draw(5, 50), []), "other side": ([], draw(5, 50)), "ties": ([(1.0, 1), (1.0, 0), (5.0, 2)], [(3.0, 9), (-1.0, 8), (3.0, 7)])}
+    made = [spark.createDataFrame([(n, s, t) for n, x in rows.items() for t, s in x[k]], "name string, seq long, ts double") for k in (0, 1)]
+    got = collections.defaultdict(set)
+    for r in interval.greedy(*made, ["name"], 4.0, closed, cut).collect():
+        got[r.name].add((r.seq, r.other_seq))
+    assert {n: got[n] for n in rows} == {n: plain_greedy(*x, 4.0, closed) for n, x in rows.items()}
+
+
+def test_greedy_matching_drops_what_is_out_of_reach():
+    rng = np.random.default_rng(2)
+    events, others = ([(float(t), k) for k, t in enumerate(rng.integers(0, 30_000, 25_000))] for _ in range(2))
+    come = sorted([(t, 0, t, s) for t, s in others] + [(t + 2.0, 1, t, s) for t, s in events])
+    got = {(seq, other) for _, seq, _, other in interval._nearest(2.0, True)(come)}
+    at = collections.defaultdict(list)
+    for t, s in others:
+        at[t].append(s)
+    for x in at.values():
+        x.sort(reverse=True)
+    want = set()
+    for t, s in sorted(events):
+        if hit := next((t + d for d in (0, -1, 1, -2, 2) if at.get(t + d)), None) if not at.get(t) else t:
+            want.add((s, at[hit].pop()))
+        elif at.get(0.0) and t <= 2:
+            want.add((s, at[0.0].pop()))
+    assert got == want
+
+
 def test_tolerance_match_is_greedy_and_once(spark):
     e = spark.createDataFrame([(0, "a", 10.0), (1, "a", 12.0), (2, "a", 100.0)], "seq long, name string, ts double")
     c = spark.createDataFrame([(0, "a", 11.0), (1, "a", 16.9), (2, "b", 100.0)], "seq long, name string, ts double")
@@ -143,6 +198,17 @@ def test_followers_are_free_and_near(spark):
     assert got == {(1, 0, 10), (1, 1, 11), (2, 1, 21), (2, 2, 20), (3, 1, 30)}
 
 
+def test_followers_of_a_dense_trace_list_no_pairs(spark):
+    # 200 pacers and 400 seeds, all in reach of each other: 80,000 pairs
+    pacers = spark.range(200).select(F.col("id").alias("seq"), F.col("id").cast("double").alias("ts"))
+    seeds = spark.range(400).select((F.col("id") % 2 + 1).alias("pid"), F.col("id").alias("seq"), (F.expr("id div 2") + 0.25).alias("ts"))
+    got = periods.followers(pacers, seeds, 1000.0)
+    assert {(r.pid, r.pacer_seq, r.follower_seq) for r in got.collect()} == {(p, s, 2 * s + p - 1) for p in (1, 2) for s in range(200)}
+    plan = got._jdf.queryExecution().executedPlan()
+    largest = max(int(m.value()) for m in _metrics(plan, "numOutputRows"))
+    assert largest < 2000
+
+
 def test_pacer_rounds(spark):
     marks = spark.createDataFrame([(0, 1, 0, 10), (1, 1, 100, 10), (2, 2, 5, 10), (3, 2, 104, 10), (4, 3, 50, 10), (5, 2, 99, 10)], "seq long, pid long, ts long, dur long")
     got = {(r["round"], r.pacer_seq, r.seq) for r in cycles.pacer_rounds(marks, 100).collect()}

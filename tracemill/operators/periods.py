@@ -74,11 +74,13 @@ def followers(pacers: DataFrame, seeds: DataFrame, period: float, band: float =
     """Pid, pacer_seq, follower_seq: of each other process each pacer, in the order of time, takes the nearest seed that none has
     taken, from band periods before to less than band periods behind it. pacers: seq, ts; seeds: pid, seq, ts."""
     reach = band * period
-    wide = pacers.select("seq", F.col("ts").cast("double").alias("at"), (F.col("ts") - reach).alias("ts"), (F.col("ts") + reach).alias("end_ts"))
-    points = seeds.select("pid", "seq", F.col("ts").cast("double").alias("ts")).withColumn("end_ts", F.col("ts"))
-    pairs = interval.contained(wide, points, [], int(2 * reach) + 1, F.col("i_ts") < F.col("o_end_ts"))
-    pairs = pairs.select(F.col("i_pid").alias("pid"), F.col("o_at").alias("ts"), F.col("o_seq").alias("seq"), F.col("i_ts").alias("other_ts"), F.col("i_seq").alias("other_seq"))
-    return interval.greedy(pairs, ["pid"], 2 * reach).select("pid", F.col("seq").alias("pacer_seq"), F.col("other_seq").alias("follower_seq"))
+    points = seeds.select("pid", "seq", F.col("ts").cast("double").alias("ts"))
+    # a pacer is a row of those processes that have a seed in its stretch of time or in one beside it
+    cell = F.floor(F.col("ts") / (2 * reach or 1.0))
+    near = points.select("pid", cell.alias("_cell")).distinct().select("pid", F.explode(F.sequence(F.col("_cell") - 1, F.col("_cell") + 1)).alias("_cell")).distinct()
+    wide = pacers.select("seq", F.col("ts").cast("double").alias("ts")).withColumn("_cell", cell).join(near, "_cell").select("pid", "seq", "ts")
+    pairs = interval.greedy(wide, points, ["pid"], reach, closed=False, cut=max(int(100 * period), 1))
+    return pairs.select("pid", F.col("seq").alias("pacer_seq"), F.col("other_seq").alias("follower_seq"))
 
 
 def aligned(seeds: DataFrame, period: float, begin: float, band: float = 0.4) -> DataFrame:
