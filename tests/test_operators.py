@@ -3,6 +3,7 @@
 import collections
 import math
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +12,8 @@ from tracemill.functions import demangle
 from tracemill.functions import scalar as S
 from tracemill.operators import compare, cycles, detect, diagnose, folds, interval, learn, metrics, nest, periods, profile
 from tracemill.plans import folds as plan_folds
-from tracemill.plans import systems, workflow
+from tracemill.plans import intervals as plan_intervals
+from tracemill.plans import registry, systems, workflow
 from tracemill.plans.registry import spans, table
 from tracemill.sources import logs, sinks
 from tracemill.sources import trace as sources
@@ -126,6 +128,17 @@ def test_tolerance_match_is_greedy_and_once(spark):
     assert got == {0: 0, 1: 1}
 
 
+def test_configs_of_close_events_as_in_sql(spark, sf, tmp_path):
+    events = table(spark, sf, "events")
+    close = events.withColumn("event_id", F.col("event_id") + 1_000_000).withColumn("ts", F.expr("ts + INTERVAL 0.000001 SECOND"))
+    events.unionByName(close).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    got = plan_intervals.E8_tolerance_match(spark, str(tmp_path)).select("seq", "config_seq", "ts_diff").collect()
+    want = con.sql(f"select seq, config_seq, ts_diff from ({registry.ORACLES['E8_tolerance_match']})").fetchall()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_nesting_rules(spark):
     got = {r.seq: r for r in nest.nested(frame(spark, [("f", 0, 100), ("g", 10, 50), ("f", 20, 60), ("h", 50, 55), ("k", 100, 110)]), ["pid", "tid"], F.col("name") == "g", callers=True).collect()}
     assert [got[i].depth for i in range(5)] == [0, 1, 2, 3, 0]  # h starts when g ends, but f outlives g and stays open
