@@ -383,6 +383,17 @@ def test_models_of_many_modes_predict_all_rows(spark):
     assert learn.predicted(df, []).count() == len(rows)
 
 
+def test_boosting_takes_equal_rows_once_with_their_weight(spark, monkeypatch):
+    made, fit = [], learn.Pipeline.fit
+    monkeypatch.setattr(learn.Pipeline, "fit", lambda self, rows: made.append(rows.count()) or fit(self, rows))
+    data = [(0.0, 10.0)] * 6 + [(0.0, 16.0)] * 3 + [(1.0, 20.0)] + [(2.0, 50.0)] * 5 + [(2.0, 62.0)]
+    model = learn.boosted(spark.createDataFrame(data, "x double, y double"), ["x"], "y", trees=1, depth=1)
+    got = {r.x: r.predicted for r in learn.predicted(spark.createDataFrame(data, "x double, y double"), [(None, model)]).collect()}
+    assert made == [3]
+    low, high = np.mean([y for x, y in data if x < 2]), np.mean([y for x, y in data if x == 2])
+    assert got == pytest.approx({0.0: low, 1.0: low, 2.0: high})
+
+
 def test_registered_models_use_all_rows_and_trees(spark, sf, monkeypatch):
     asked, fit = [], learn.trained
     monkeypatch.setattr(learn, "trained", lambda *a, **k: asked.append(k.pop("trees", 200)) or fit(*a, **k, **({"trees": 2} if "boosted" in a else {})))
