@@ -383,6 +383,16 @@ def test_models_of_many_modes_predict_all_rows(spark):
     assert learn.predicted(df, []).count() == len(rows)
 
 
+def test_experiments_share_their_bounds(spark, sf, monkeypatch):
+    made, bound = [], systems.detect.iqr_bounds
+    monkeypatch.setattr(systems.detect, "iqr_bounds", lambda *a, **k: made.append(a[1:]) or bound(*a, **k))
+    got = {(r.log, r.mode): r.r2 for r in systems.L4_L8_L9_experiments(spark, sf).collect()}
+    assert len(made) == 1 and len(got) == 4
+    rows = systems._features(spark, sf)
+    whole = learn.experiment(rows, ["x1", "x2", "x3"], "y", ["x1"], learn.grid(kinds=("ridge",), splits=("group",), iqr=(3.0,))[0])
+    assert whole["mdape"] is not None and whole["r2"] == pytest.approx(got[whole["log"], whole["mode"] or "unified"])
+
+
 def test_boosting_takes_equal_rows_once_with_their_weight(spark, monkeypatch):
     made, fit = [], learn.Pipeline.fit
     monkeypatch.setattr(learn.Pipeline, "fit", lambda self, rows: made.append(rows.count()) or fit(self, rows))
