@@ -139,6 +139,22 @@ def test_configs_of_close_events_as_in_sql(spark, sf, tmp_path):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_events_take_the_nearest_free_config_of_their_name(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    rows = [(k, "abc"[k % 3], int(rng.integers(0, (150, 900, 9000)[k % 3])), int(rng.integers(0, 3))) for k in range(360)] + [(400, "d", 5, 1), (401, "a", None, 1), (402, None, 7, 1), (403, "a", 8, None)]
+    made = spark.createDataFrame(rows, "event_id long, event_type string, at long, k long")
+    made.selectExpr("event_id", "cast(timestamp_micros(at + 86399999900) as timestamp_ntz) as ts", "event_id % 9 as user_id", "event_type", "1.0D as value", "to_json(named_struct('k', k)) as props").write.parquet(f"{tmp_path}/events.parquet")
+    want = set()
+    for name in "abcd":
+        own = [(r[2] + 86399999900, r[0], r[3]) for r in rows if r[1] == name and r[2] is not None]
+        want |= plain_greedy([x[:2] for x in own], [(t + k % 3 - 1, s) for t, s, k in own if k is not None], 5, True)
+    got = plan_intervals.E8_tolerance_match(spark, str(tmp_path)).collect()
+    assert {(r.seq, r.config_seq) for r in got} == want and any(a != b for a, b in want)
+    con = duckdb.connect()
+    con.sql(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    assert sorted(map(tuple, got)) == sorted(con.sql(registry.ORACLES["E8_tolerance_match"]).fetchall())
+
+
 def test_nesting_rules(spark):
     got = {r.seq: r for r in nest.nested(frame(spark, [("f", 0, 100), ("g", 10, 50), ("f", 20, 60), ("h", 50, 55), ("k", 100, 110)]), ["pid", "tid"], F.col("name") == "g", callers=True).collect()}
     assert [got[i].depth for i in range(5)] == [0, 1, 2, 3, 0]  # h starts when g ends, but f outlives g and stays open
